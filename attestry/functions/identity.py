@@ -19,7 +19,7 @@ def clean(c: Column | str) -> Column:
 
 def find_email(c: Column | str) -> Column:
     """First email address in the lower-cased text, else null."""
-    return blank_to_null(F.regexp_extract(F.lower(col(c)), V.EMAIL, 0))
+    return F.get(F.regexp_extract_all(F.lower(col(c)), F.lit(V.EMAIL), F.lit(0)), F.lit(0))
 
 
 def strip_login_prefix(c: Column | str) -> Column:

@@ -12,18 +12,16 @@ from attestry.functions.text import blank_to_null, col, filled, first_filled, st
 
 def synthetic_arn() -> Column:
     """``db:NAME`` where a database is named and no ARN is given."""
-    return first_filled("resourceArn", F.concat(F.lit(V.DB_ARN_PREFIX), blank_to_null("database")))
+    return F.coalesce(blank_to_null("resourceArn"), F.concat(F.lit(V.DB_ARN_PREFIX), blank_to_null("database")))
 
 
 def _is_db_session() -> Column:
-    named = filled("database") | F.coalesce(F.startswith(col("resourceArn"), F.lit(V.DB_ARN_PREFIX)), F.lit(False))
-    return strip("eventName").isin(V.DB_CONNECT, V.DB_DISCONNECT) & named
+    named = (col("database") != "") | F.startswith(col("resourceArn"), F.lit(V.DB_ARN_PREFIX))
+    return strip("eventName").isin(V.DB_CONNECT, V.DB_DISCONNECT) & F.coalesce(named, F.lit(False))
 
 
 def _db_name() -> Column:
-    arn = col("resourceArn")
-    at = F.instr(arn, ":")
-    return first_filled("database", F.when(at > 0, F.substring(arn, at + 1, F.length(arn))).otherwise(arn))
+    return F.coalesce(blank_to_null("database"), F.regexp_replace("resourceArn", "^[^:]*:", ""))
 
 
 def _object_location() -> tuple[Column, Column]:
@@ -49,14 +47,14 @@ def resource_arn(db_arn_map: dict[str, str] | None = None, databases: list[str]
     known = F.lit(None).cast("string")
     if db_arn_map:
         pairs = [F.lit(x) for kv in db_arn_map.items() for x in kv]
-        known = blank_to_null(F.try_element_at(F.create_map(*pairs), _db_name()))
+        known = F.try_element_at(F.create_map(*pairs), _db_name())
     sole = F.lit(databases[0] if databases and len(databases) == 1 else None).cast("string")
     bucket, _ = _object_location()
     object_arn = F.coalesce(F.concat(F.lit(V.OBJECT_ARN_PREFIX), bucket), blank_to_null(strip("resourceArn")))
     return (
-        F.when(_is_db_session(), first_filled(known, sole, "resourceArn"))
+        F.when(_is_db_session(), F.coalesce(known, sole, col("resourceArn")))
         .when(is_object_event(), object_arn)
-        .otherwise(blank_to_null("resourceArn"))
+        .otherwise(col("resourceArn"))
     )
 
 

@@ -69,7 +69,7 @@ def access_candidates(events: DataFrame, db_arn_map: dict[str, str] | None = Non
     """Conformed events that can be violations: no issuances, a known resource, not whitelisted."""
     df = events.where(F.coalesce(col("eventName") != V.CREDS_ISSUED, F.lit(True)))
     df = df.withColumn("resource_arn", resources.resource_arn(db_arn_map, databases))
-    return drop_whitelisted(df.where(filled("resource_arn")), db_users, actors)
+    return drop_whitelisted(df.where("resource_arn <> ''"), db_users, actors)
 
 
 def _windows(requests: DataFrame) -> DataFrame:

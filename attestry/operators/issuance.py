@@ -16,7 +16,7 @@ _NOTES = ["iss_email", "iss_lease", "iss_ip", "iss_agent"]
 
 
 def _user_key():
-    return blank_to_null(clean(blank_to_null("db_username")))
+    return clean("db_username")
 
 
 def issuance_notes(curated: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def issuance_notes(curated: DataFrame) -> DataFrame:
         blank_to_null("lease_id").alias("iss_lease"),
         blank_to_null("sourceIpAddress").alias("iss_ip"),
         blank_to_null("userAgent").alias("iss_agent"),
-    ).where("user_key is not null")
+    ).where("user_key <> ''")
 
 
 def issuance_per_user(curated: DataFrame, keep: str = "earliest") -> DataFrame:

@@ -66,7 +66,10 @@ def scan_object_events(raw: DataFrame, start: str | None = None, end: str | None
     df = df.where((col("eventSource") == V.OBJECT_SOURCE) & col("eventName").isin(V.OBJECT_EVENTS))
     df = df.select(
         *[c for c in ("ord", "local_date") if c in raw.columns],
-        "eventTime", "eventName", "eventSource", "awsRegion", "sourceIpAddress", "userAgent",
+        "eventTime", "eventName",
+        # Constant after the filter: later steps fold their database branches away.
+        F.lit(V.OBJECT_SOURCE).alias("eventSource"),
+        "awsRegion", "sourceIpAddress", "userAgent",
         col("userIdentity.type").alias("userIdentityType"),
         col("userIdentity.principalId").alias("principalId"),
         col("userIdentity.arn").alias("userIdentityArn"),

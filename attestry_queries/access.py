@@ -79,7 +79,7 @@ def named_objects(t: Inputs) -> DataFrame:
     """Object events that keep the IAM user name, as a wider projection would."""
     return t["fx_audit"].where("event_source IS NOT NULL").select(
         "ord", "local_date", F.col("event_time").alias("eventTime"), F.col("event_name").alias("eventName"),
-        F.col("event_source").alias("eventSource"), F.col("aws_region").alias("awsRegion"),
+        F.lit("s3.amazonaws.com").alias("eventSource"), F.col("aws_region").alias("awsRegion"),
         F.col("source_ip").alias("sourceIpAddress"), F.col("user_agent").alias("userAgent"),
         F.col("identity_type").alias("userIdentityType"), F.col("principal_id").alias("principalId"),
         F.col("identity_arn").alias("userIdentityArn"), F.col("issuer").alias("sessionIssuerUserName"),
@@ -89,7 +89,13 @@ def named_objects(t: Inputs) -> DataFrame:
 
 
 def curated(t: Inputs) -> DataFrame:
-    return S.scan_curated_events(raw_curated(t))
+    """Curated rows as the scan returns them."""
+    return t.sql("""
+SELECT ord, local_date, event_time AS eventTime, event_name AS eventName, CAST(NULL AS <str>) AS auth_display_name, db_username,
+  db_name AS database, CAST(NULL AS <str>) AS path, CAST(NULL AS <str>) AS lease_id, source_ip AS sourceIpAddress, CAST(NULL AS <str>) AS userAgent
+FROM fx_audit WHERE event_source IS NULL
+UNION ALL SELECT issue_id, local_date, event_time, 'VaultCredsIssued', auth_display_name, db_username, NULL, 'database/creds/prod-ro', lease_id,
+  NULL, concat('vault-', CAST(issue_id AS <str>)) FROM fx_issuances""")
 
 
 def requests(t: Inputs) -> DataFrame:
@@ -140,7 +146,7 @@ UNION ALL SELECT issue_id, event_time, 'VaultCredsIssued', auth_display_name, db
 FROM fx_issuances
 """)
 def s2(t):
-    return curated(t).drop("local_date").toDF(
+    return S.scan_curated_events(raw_curated(t)).drop("local_date").toDF(
         "ord", "event_time", "event_name", "auth_display_name", "db_username", "db", "path", "lease_id", "source_ip", "user_agent")
 
 
