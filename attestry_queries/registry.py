@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestry_queries import access
+from attestry_queries import access, reports
 
-MODULES = [access]
+MODULES = [access, reports]
 
 
 def queries() -> dict:
