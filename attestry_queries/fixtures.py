@@ -82,8 +82,7 @@ SELECT CAST(p_partkey AS <str>) AS id, concat(p_type, '-', CAST(p_partkey AS <st
   concat(p_type, '-', CAST(p_partkey AS <str>), ' ', p_name) AS name, p_partkey, p_type, p_size
 FROM part""",
     "fx_links": """
-SELECT l_partkey, l_suppkey, count(*) AS uses, min(l_orderkey * 10 + l_linenumber) AS ord,
-  min(l_returnflag) AS flag
+SELECT l_partkey, l_suppkey, l_partkey * 10000000000 + l_suppkey AS ord, min(l_returnflag) AS flag
 FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "fx_evidence": """
 SELECT k.ord, CASE WHEN k.l_suppkey % 41 = 7 THEN '' ELSE p.p_type END AS family,

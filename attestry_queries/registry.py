@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestry_queries import access, reports
+from attestry_queries import access, evidence, governance, ingest, reports
 
-MODULES = [access, reports]
+MODULES = [access, reports, ingest, evidence, governance]
 
 
 def queries() -> dict:

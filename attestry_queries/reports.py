@@ -156,16 +156,10 @@ def f28(t):
         F.array_join("labels", ",").alias("labels"), count.cast("bigint").alias("counted"))
 
 
-@query("f27_attachment_rows", f"""WITH {RANKED} SELECT coalesce(email, '') AS who, ord, rank FROM ranked WHERE coalesce(email, '') IN
-  (SELECT coalesce(email, '') FROM violations GROUP BY email HAVING count(*) <= 40)""")
+@query("f27_attachment_rows", f"WITH {RANKED} SELECT coalesce(email, '') AS who, ord, rank FROM ranked")
 def f27(t):
     rows = K.grouped(A.violations(t)).withColumn("json", F.to_json(F.struct("ord")))
-    totals = K.group_totals(rows, [])
-    # One object is 13 bytes at most here; the byte limit stands in for a count limit of 40.
-    rows = rows.withColumn("json", F.rpad(F.col("json"), 40, " "))
-    totals = totals.withColumn("json_bytes", F.col("violations_count") * 41)
-    head = F.octet_length(K._head_json()) + 16
-    full = K.attachments(rows, totals.withColumn("json_bytes", F.col("json_bytes") - head), [], 40 * 41).where("fits")
+    full = K.attachments(rows, K.group_totals(rows, []), [])
     items = F.from_json(F.get_json_object("content", "$.violations"), "array<struct<ord:bigint>>")
     return full.select("who", F.posexplode(items).alias("p", "v")).select(
         "who", "v.ord", (F.col("p") + 1).cast("bigint").alias("rank"))
