@@ -130,9 +130,12 @@ class Inputs:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
 
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            return self.table(name)
         return self.sql(f"SELECT * FROM {name}")
 
     def sql(self, body: str) -> DataFrame:
@@ -147,3 +150,13 @@ class Inputs:
             head = ", ".join(f"{v} AS ({VIEWS[v].replace('<str>', 'STRING')})" for v in views)
             text = f"WITH {head} {text}" if not text.lstrip().upper().startswith("WITH ") else f"WITH {head}, {text.lstrip()[5:]}"
         return self.spark.sql(text)
+
+
+class StreamInputs(Inputs):
+    """The same tables and views read as streams."""
+
+    def table(self, name: str) -> DataFrame:
+        path = f"{self.dir}/{name}.parquet"
+        schema = self.spark.read.parquet(path).schema
+        # A pattern, because a stream's plain path has to be a folder and this may be one file.
+        return self.spark.readStream.schema(schema).parquet(f"{path}*")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestry_queries import access, evidence, governance, ingest, reports
+from attestry_queries import access, evidence, governance, ingest, reports, streams
 
-MODULES = [access, reports, ingest, evidence, governance]
+MODULES = [access, reports, ingest, evidence, governance, streams]
 
 
 def queries() -> dict:
