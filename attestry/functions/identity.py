@@ -10,11 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
-from attestry.functions.text import blank_to_null, col, contains_any, filled, first_filled, strip
-
-
-def clean(c: Column | str) -> Column:
-    return F.lower(strip(c))
+from attestry.functions.text import blank_to_null, clean, clean_sql, col, contains_any, filled, first_filled
 
 
 def find_email(c: Column | str) -> Column:
@@ -37,15 +33,24 @@ def session_name(principal: Column | str) -> Column:
     return F.when(at > 0, F.substring(col(principal), at + 1, F.length(col(principal))))
 
 
-def _identifier(c: Column | str) -> Column:
-    s = clean(c)
-    return F.when(filled(c), F.coalesce(find_email(s), F.substring_index(s, ":", -1)))
+def _identifier(name: str) -> Column:
+    s = clean_sql(name)
+    return F.expr(
+        f"case when coalesce({name} <> '', false) then "
+        f"coalesce(get(regexp_extract_all({s}, r'{V.EMAIL}', 0), 0), substring_index({s}, ':', -1)) end")
+
+
+def _login_email(name: str) -> Column:
+    """Email in a column once its login prefix is gone."""
+    bare = f"regexp_replace({clean_sql(name)}, '^({'|'.join(V.LOGIN_PREFIXES)})', '')"
+    return F.expr(f"get(regexp_extract_all({bare}, r'{V.EMAIL}', 0), 0)")
 
 
 def derived_identifier() -> Column:
     """First non-empty identity field, reduced to an email or its last segment."""
     mails = [
-        F.when(clean(c).rlike("^" + V.EMAIL), clean(c)) for c in ("user_email", "email", "userEmail")
+        F.expr(f"case when {clean_sql(c)} rlike r'^{V.EMAIL}' then {clean_sql(c)} end")
+        for c in ("user_email", "email", "userEmail")
     ]
     names = [_identifier(c) for c in ("principalId", "sessionIssuerUserName", "userName")]
     nested = [_identifier(f"userIdentity.{c}") for c in ("userName", "principalId", "arn")]
@@ -73,10 +78,10 @@ def is_object_event() -> Column:
 def resolved_email(raw: Column | str = "raw_user_id", owner_email: Column | str = "owner_email") -> Column:
     """Email used for correlation, by a fixed order of places to look."""
     on_object = is_object_event()
-    places = [login_email(clean(c)) for c in ("human_id", "auth_display_name")]
+    places = [_login_email(c) for c in ("human_id", "auth_display_name")]
     places.append(F.when(on_object, login_email(clean(session_name("principalId")))))
     places += [F.when(on_object, login_email(F.lower(col(c)))) for c in ("userName", "sessionIssuerUserName")]
-    places += [login_email(clean(f"userIdentity.{c}")) for c in ("userName", "principalId", "arn", "type")]
+    places += [_login_email(f"userIdentity.{c}") for c in ("userName", "principalId", "arn", "type")]
     return F.coalesce(*places, col(owner_email), login_email(F.lower(col(raw))))
 
 

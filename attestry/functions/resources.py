@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.identity import is_object_event
-from attestry.functions.text import blank_to_null, col, filled, first_filled, strip
+from attestry.functions.text import SPACE_SQL, blank_to_null, col, filled, first_filled, strip
 
 
 def synthetic_arn() -> Column:
@@ -74,7 +74,8 @@ def evidence(email: Column | str = "user_id") -> Column:
     """Twenty-field evidence record of an event."""
 
     def tidy(*names: str) -> Column:
-        return blank_to_null(strip(first_filled(*names)))
+        text = ", ".join(f"nullif({n}, '')" for n in names)
+        return F.expr(f"nullif(btrim(coalesce({text}), {SPACE_SQL}), '')")
 
     return F.struct(
         blank_to_null(email).alias("user_email"),

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from attestry import fixed_values as V
 from attestry.functions import identity, resources
-from attestry.functions.text import blank_to_null, col, filled, first_filled
+from attestry.functions.text import blank_to_null, clean, col, filled, first_filled
 from attestry.functions.times import day_bounds, local_date, parse_time
 from attestry.operators.joins import SALTS, first_per_key, salted_left_join, with_columns_or_null
 from attestry.operators.whitelist import drop_whitelisted
@@ -38,7 +38,7 @@ def conform(events: DataFrame, zone: str = V.DEFAULT_ZONE) -> DataFrame:
 def requests_by_identifier(requests: DataFrame) -> DataFrame:
     """One row per request and distinct identifier it is known under."""
     df = with_columns_or_null(requests, ["user_id", "user_email", "user_name"])
-    names = F.array(*[F.when(filled(c), identity.clean(c)) for c in ("user_id", "user_email", "user_name")])
+    names = F.array(*[F.when(filled(c), clean(c)) for c in ("user_id", "user_email", "user_name")])
     return df.withColumn("ident", F.explode(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))))
 
 
@@ -47,7 +47,7 @@ def owner_emails(tags: DataFrame) -> DataFrame:
     df = tags if "ordinal" in tags.columns else tags.withColumn("ordinal", F.lit(0))
     found = df.where("tag_key = 'owner'").select(
         col("user_name").alias("iam_user"), "ordinal", "tag_value",
-        identity.find_email(identity.clean("tag_value")).alias("owner_email"),
+        identity.find_email(clean("tag_value")).alias("owner_email"),
     ).where("owner_email is not null")
     return first_per_key(found, ["iam_user"], ["ordinal", "tag_value"]).select("iam_user", "owner_email")
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
-from attestry.functions.identity import clean, strip_login_prefix
+from attestry.functions.identity import strip_login_prefix
 from attestry.functions.resources import synthetic_arn
-from attestry.functions.text import blank_to_null, col, first_filled
+from attestry.functions.text import blank_to_null, clean, col, first_filled
 from attestry.functions.times import parse_time
 from attestry.operators.joins import SALTS, first_per_key, last_before, salted_left_join, with_columns_or_null
 

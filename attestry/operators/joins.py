@@ -46,7 +46,8 @@ def salted_left_join(
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.when(no_key, F.xxhash64(spread)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)))
     left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    copies = F.lit(0).cast("long") if salts == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    right = small.withColumn("_salt", copies)
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
-from attestry.functions.identity import by_actor, clean, is_object_event, session_name
-from attestry.functions.text import blank_to_null, col, contains_any, first_filled
+from attestry.functions.identity import by_actor, is_object_event, session_name
+from attestry.functions.text import blank_to_null, clean, col, contains_any, first_filled
 
 
 def db_user_listed(users: list[str]) -> Column:
