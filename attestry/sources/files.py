@@ -42,7 +42,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_families(spark: SparkSession, path: str) -> DataFrame:
     """(family, display_name) from a JSON object; absent file gives no rows."""
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], strings("family", "display_name"))
     pairs = F.map_entries(F.from_json("value", "map<string,string>"))
@@ -51,7 +51,7 @@ def read_families(spark: SparkSession, path: str) -> DataFrame:
 
 def read_requirements(spark: SparkSession, path: str) -> DataFrame:
     """Requirement files as ``file, text``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
