@@ -138,19 +138,20 @@ ALARM_PERIOD_SECONDS = 300
 ALARM_PERIODS = 2
 
 # --- FIXED VALUES: secrets and identifiers that must not be published --------
+# (rule, pattern, texts of which a document needs one for the pattern to match)
 SENSITIVE_PATTERNS = [
-    ("account_id", r"\b[0-9]{12}\b"),
-    ("account_arn", r"arn:aws:[a-z0-9-]+:[a-z0-9-]*:[0-9]{12}:[A-Za-z0-9/_.:-]+"),
-    ("access_key", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("credential", r"(?i)\b(?:password|passwd|secret|api_key|token)\s*[=:]\s*[\"'][^\"'\s]+[\"']"),
-    ("internal_host", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|corp)\b(?:\.[a-z]+)*"),
-    ("private_ip", r"\b(?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("channel_id", r"\b[CT]0[0-9A-Z]{7,9}\b"),
-    ("ticket_key", r"\b[A-Z][A-Z0-9]+-[0-9]+\b"),
-    ("sso_url", r"https?://(?:sso|idp|login)\.[a-z0-9.-]+"),
-    ("service_email", r"\bsvc-[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]{2,}\b"),
-    ("bucket_name", r"\b[a-z0-9]+-(?:prod|dev|stage)-[a-z0-9-]+\b"),
-    ("internal_path", r"#\s*from\s+[a-z0-9_-]+/[A-Za-z0-9_./-]+"),
+    ("account_id", r"\b[0-9]{12}\b", []),
+    ("account_arn", r"arn:aws:[a-z0-9-]+:[a-z0-9-]*:[0-9]{12}:[A-Za-z0-9/_.:-]+", ["arn:aws:"]),
+    ("access_key", r"\bAKIA[0-9A-Z]{16}\b", ["AKIA"]),
+    ("credential", r"(?i)\b(?:password|passwd|secret|api_key|token)\s*[=:]\s*[\"'][^\"'\s]+[\"']", ["\"", "'"]),
+    ("internal_host", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|corp)\b(?:\.[a-z]+)*", [".internal", ".corp"]),
+    ("private_ip", r"\b(?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}\b", ["10.", "192.168.", "172."]),
+    ("channel_id", r"\b[CT]0[0-9A-Z]{7,9}\b", ["C0", "T0"]),
+    ("ticket_key", r"\b[A-Z][A-Z0-9]+-[0-9]+\b", ["-"]),
+    ("sso_url", r"https?://(?:sso|idp|login)\.[a-z0-9.-]+", ["://"]),
+    ("service_email", r"\bsvc-[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]{2,}\b", ["svc-"]),
+    ("bucket_name", r"\b[a-z0-9]+-(?:prod|dev|stage)-[a-z0-9-]+\b", ["-prod-", "-dev-", "-stage-"]),
+    ("internal_path", r"#\s*from\s+[a-z0-9_-]+/[A-Za-z0-9_./-]+", ["#"]),
 ]
 SENSITIVE_ALLOWED = [
     r"\$\{[A-Z0-9_]+\}",

@@ -114,36 +114,33 @@ def hourly_windows(known: DataFrame, keys: list[str], zone: str | None) -> DataF
     )
 
 
-def request_calendar(known: DataFrame, zone: str) -> DataFrame:
-    """Everything an event has to know about requests, keyed by (ident, local_date, hour).
+def with_coverage(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False) -> DataFrame:
+    """Add ``covered``: the event lies inside an access window of its person.
 
-    Each requester-day has one row per hour of the day (and hour -1 for events
-    without a readable time): the newest request and the windows of that hour.
-    The hour in the key lets a busy person's events spread over the cluster.
+    Each event looks only at requests of its own local day; ``carry_over=True``
+    looks at all days.  The join key holds the hour, so a busy person's events
+    spread over the cluster and an event meets one row: the windows of its hour.
     """
-    keys = ["ident", "local_date"]
-    first, following = day_bounds("local_date", zone)
-    hours = F.concat(F.array(F.lit(-1).cast("long")), F.sequence(_hour(first), _hour(following)))
-    calendar = latest_request(known, keys).withColumn("hour", F.explode(hours))
-    return calendar.join(hourly_windows(known, keys, zone), [*keys, "hour"], "left")
+    keys = ["ident"] if carry_over else ["ident", "local_date"]
+    pieces = hourly_windows(requests_by_identifier(requests), keys, None if carry_over else zone)
+    df = events.withColumns({"ident": blank_to_null("user_id"), "hour": _hour("event_ts")})
+    df = salted_left_join(df, pieces, [*keys, "hour"], "ord", salts=1)
+    inside = F.exists("windows", lambda w: col("event_ts").between(w["lo"], w["hi"]))
+    return df.withColumn("covered", F.coalesce(inside, F.lit(False))).drop("ident", "hour", "windows")
+
+
+def with_request(events: DataFrame, requests: DataFrame, carry_over: bool = False, salts: int = SALTS) -> DataFrame:
+    """Add ``matched_request``: the newest request of the person, null without any."""
+    keys = ["ident"] if carry_over else ["ident", "local_date"]
+    newest = latest_request(requests_by_identifier(requests), keys)
+    df = events.withColumn("ident", blank_to_null("user_id"))
+    return salted_left_join(df, newest, keys, "ord", salts).drop("ident")
 
 
 def match_requests(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False,
                    salts: int = SALTS) -> DataFrame:
-    """Events with ``matched_request`` (null without any) and ``covered``.
-
-    Each event looks only at requests of its own local day; ``carry_over=True``
-    looks at all days.  One request row at most meets each event.
-    """
-    known = requests_by_identifier(requests)
-    df = events.withColumns({"ident": blank_to_null("user_id"), "hour": F.coalesce(_hour("event_ts"), F.lit(-1))})
-    if carry_over:
-        df = salted_left_join(df, latest_request(known, ["ident"]), ["ident"], "ord", salts)
-        df = salted_left_join(df, hourly_windows(known, ["ident"], None), ["ident", "hour"], "ord", 1)
-    else:
-        df = salted_left_join(df, request_calendar(known, zone), ["ident", "local_date", "hour"], "ord", 1)
-    inside = F.exists("windows", lambda w: col("event_ts").between(w["lo"], w["hi"]))
-    return df.withColumn("covered", F.coalesce(inside, F.lit(False))).drop("ident", "hour", "windows")
+    """All events with ``covered`` and ``matched_request``."""
+    return with_request(with_coverage(events, requests, zone, carry_over), requests, carry_over, salts)
 
 
 def unapproved(matched: DataFrame) -> DataFrame:
@@ -152,13 +149,14 @@ def unapproved(matched: DataFrame) -> DataFrame:
     An unreadable time with a request leaves no trace; without one it is a violation.
     """
     has = col("matched_request").isNotNull()
-    return matched.where(~has | (~col("covered") & col("event_ts").isNotNull())).withColumns({
+    return matched.where(~col("covered") & (~has | col("event_ts").isNotNull())).withColumns({
         "type": F.when(has, V.OUTSIDE_WINDOW).otherwise(V.UNAUTHORIZED),
         "severity": F.when(has, V.MEDIUM).otherwise(V.HIGH),
     })
 
 
-VIOLATION_KEY = ["local_date", "type", "user_id", "resource_arn", "eventTime", "eventName"]
+# The type is not in the key: person and day decide it.
+VIOLATION_KEY = ["local_date", "user_id", "resource_arn", "eventTime", "eventName"]
 VIOLATION_ORDER = ["src_rank", "ord"]
 
 

@@ -5,6 +5,8 @@ The thresholds here are parameters: the rules are fixed, the numbers are policy.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,14 +83,22 @@ def changed_since(current: DataFrame, passed: DataFrame, keys: list[str]) -> Dat
     return current.join(passed.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
 
 
-def sensitive_hits(documents: DataFrame, text: str = "text", patterns: list[tuple[str, str]] = V.SENSITIVE_PATTERNS,
+def sensitive_hits(documents: DataFrame, text: str = "text", patterns: list[tuple[str, str, list[str]]] = V.SENSITIVE_PATTERNS,
                    allowed: list[str] = V.SENSITIVE_ALLOWED) -> DataFrame:
     """One row per sensitive string: rule and match, allowed forms left out.
 
     Whole texts are scanned on the JVM; a document's hits are exploded at once.
     """
-    found = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.regexp_extract_all(col(text), F.lit(p), F.lit(0)).alias("hits")) for name, p in patterns])
+
+
+    def matches(pattern: str, needed: list[str]):
+        all_hits = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
+        if not needed:
+            return all_hits
+        likely = reduce(lambda a, b: a | b, [F.contains(col(text), F.lit(n)) for n in needed])
+        return F.when(likely, all_hits).otherwise(F.array().cast("array<string>"))
+
+    found = F.array(*[F.struct(F.lit(name).alias("rule"), matches(p, needed).alias("hits")) for name, p, needed in patterns])
     keep = [c for c in documents.columns if c != text]
     rows = documents.select(*keep, F.explode(found).alias("f")).where(F.size("f.hits") > 0)
     hits = rows.select(*keep, col("f.rule").alias("rule"), F.posexplode("f.hits").alias("hit_no", "hit"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 8
 
 
 def with_columns_or_null(df: DataFrame, names: list[str], kind: str = "string") -> DataFrame:

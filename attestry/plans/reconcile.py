@@ -34,10 +34,15 @@ def access_events(objects: DataFrame, curated: DataFrame | None, settings: Setti
     return C.conform(union_sources(objects, curated), settings.zone)
 
 
-def correlated(events: DataFrame, requests: DataFrame, tags: DataFrame | None, settings: Settings) -> DataFrame:
-    """Candidate events with actor, matched request and coverage."""
+def candidates(events: DataFrame, tags: DataFrame | None, settings: Settings) -> DataFrame:
+    """Events that can be violations, with their actor."""
     rows = C.access_candidates(events, settings.db_arn_map, settings.databases, settings.db_users, settings.actors)
-    rows = C.resolve_actors(rows, tags, settings.salts)
+    return C.resolve_actors(rows, tags, settings.salts)
+
+
+def correlated(events: DataFrame, requests: DataFrame, tags: DataFrame | None, settings: Settings) -> DataFrame:
+    """Every candidate event with matched request and coverage."""
+    rows = candidates(events, tags, settings)
     return C.match_requests(rows, requests, settings.zone, settings.carry_over, settings.salts)
 
 
@@ -46,8 +51,10 @@ def reconcile(objects: DataFrame, curated: DataFrame | None, requests: DataFrame
     """Deduplicated violations of all days in the input.
 
     Inputs carry ``ord`` (a stable event number) and, for ``curated``,
-    ``local_date``.  Object and curated rows come from the scans.
+    ``local_date``.  Covered events leave first and copies next, so the newest
+    request is looked up for the remaining few only.
     """
-    events = access_events(objects, curated, settings)
-    rows = correlated(events, requests, tags, settings)
-    return C.as_violations(C.keep_first_violation(C.unapproved(rows)))
+    rows = candidates(access_events(objects, curated, settings), tags, settings)
+    rows = C.with_coverage(rows, requests, settings.zone, settings.carry_over).where("not covered")
+    rows = C.with_request(C.keep_first_violation(rows), requests, settings.carry_over, settings.salts)
+    return C.as_violations(C.unapproved(rows))

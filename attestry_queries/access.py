@@ -476,5 +476,5 @@ def flagship(t):
 WITH {MATCHED} SELECT local_date, type, resource_arn, count(*) AS kept, sum(ord)::BIGINT AS ord_sum FROM violations GROUP BY ALL
 """)
 def w1(t):
-    return C.keep_first_violation(C.unapproved(_matched(t))).groupBy("local_date", "type", "resource_arn").agg(
+    return C.unapproved(C.keep_first_violation(_matched(t).where("not covered"))).groupBy("local_date", "type", "resource_arn").agg(
         F.count("*").alias("kept"), F.sum("ord").alias("ord_sum"))

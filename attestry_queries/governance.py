@@ -117,7 +117,7 @@ def _sensitive_sql() -> str:
     from attestry import fixed_values as V
 
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    parts = [f"SELECT doc_id, '{name}' AS rule, unnest(regexp_extract_all(text, {quote(p)})) AS hit FROM documents" for name, p in V.SENSITIVE_PATTERNS]
+    parts = [f"SELECT doc_id, '{name}' AS rule, unnest(regexp_extract_all(text, {quote(p)})) AS hit FROM documents" for name, p, _ in V.SENSITIVE_PATTERNS]
     return f"SELECT doc_id, rule, hit, count(*) AS times FROM ({' UNION ALL '.join(parts)}) WHERE NOT regexp_matches(hit, {quote('|'.join(V.SENSITIVE_ALLOWED))}) GROUP BY ALL"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import report as R
 from attestry.operators import tickets as K
+from attestry.plans.nightly import stored
 from attestry_queries import access as A
 from attestry_queries.fixtures import Inputs, oracle
 
@@ -112,7 +113,7 @@ def f25(t):
 
 
 def all_tickets(t):
-    return K.tickets(A.violations(t), PERIOD, "run", "SEC", "Task", by=[], limit=LIMIT)
+    return K.tickets(stored(A.violations(t), "violations"), PERIOD, "run", "SEC", "Task", by=[], limit=LIMIT)
 
 
 LINE_SQL = """concat(chr(10), '| ', left(event_time, 16), ' | ', event_name, ' | ', resource_arn, ' | ', details, ' | **<Provide your justification here>** |')"""
@@ -158,7 +159,7 @@ def f28(t):
 
 @query("f27_attachment_rows", f"WITH {RANKED} SELECT coalesce(email, '') AS who, ord, rank FROM ranked")
 def f27(t):
-    rows = K.grouped(A.violations(t)).withColumn("json", F.to_json(F.struct("ord")))
+    rows = K.grouped(stored(A.violations(t), "violations")).withColumn("json", F.to_json(F.struct("ord")))
     full = K.attachments(rows, K.group_totals(rows, []), [])
     items = F.from_json(F.get_json_object("content", "$.violations"), "array<struct<ord:bigint>>")
     return full.select("who", F.posexplode(items).alias("p", "v")).select(
