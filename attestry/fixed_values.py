@@ -65,7 +65,6 @@ BODY_KEPT_CHARS = 31800
 ATTACHMENT_MAX_BYTES = 100 * 1024 * 1024
 TABLE_MAX_ROWS = 20
 SUMMARY_MAX_ROWS = 10
-TICKET_LABELS = ["audit", "cdaa", "violation"]
 TRUNCATION_NOTICE = (
     "\n\n---\n**Content truncated due to Jira size limits. Full details available in attachment.**"
 )

@@ -95,9 +95,10 @@ def latest_request(known: DataFrame, keys: list[str]) -> DataFrame:
 def hourly_windows(known: DataFrame, keys: list[str], zone: str | None) -> DataFrame:
     """Access windows cut into hours: per (keys, hour) an array of (lo, hi), inclusive.
 
-    Equal starts are merged before the arrays are built, so an array holds at
-    most one entry per distinct start inside its hour.  With ``zone`` windows end
-    with their local day.
+    Equal pieces merge on the map side already, and a piece starts and ends inside
+    its hour, so an array holds at most one entry per start second and allowed
+    duration however many requests there are.  With ``zone`` windows end with
+    their local day.
     """
     df = _windows(known).where("win_start is not null")
     if zone:
@@ -108,10 +109,7 @@ def hourly_windows(known: DataFrame, keys: list[str], zone: str | None) -> DataF
     opens = F.timestamp_seconds(col("hour") * HOUR)
     pieces = df.select(*keys, "hour", F.greatest("win_start", opens).alias("lo"),
                        F.least("win_end", F.timestamp_seconds((col("hour") + 1) * HOUR)).alias("hi"))
-    return (
-        pieces.groupBy(*keys, "hour", "lo").agg(F.max("hi").alias("hi"))
-        .groupBy(*keys, "hour").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
-    )
+    return pieces.groupBy(*keys, "hour").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
 
 
 def with_coverage(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False) -> DataFrame:

@@ -170,7 +170,7 @@ def attachments(rows: DataFrame, totals: DataFrame, by: list[str], limit: int =
 
 
 def tickets(violations: DataFrame, period: dict[str, str], generated_at: str, project: str, issue_type: str,
-            by: list[str] = ("local_date",), limit: int = V.ATTACHMENT_MAX_BYTES, salts: int = SALTS) -> DataFrame:
+            labels: list[str], by: list[str] = ("local_date",), limit: int = V.ATTACHMENT_MAX_BYTES, salts: int = SALTS) -> DataFrame:
     """One ticket record per person and one for everything else, per run day.
 
     No violations, no tickets.  Sending is somebody else's job.
@@ -196,7 +196,7 @@ def tickets(violations: DataFrame, period: dict[str, str], generated_at: str, pr
             F.concat(F.lit("Customer data access violation - service or unknown actor - "), span)).alias("summary"),
         F.when(is_person, human_body(period)).otherwise(non_human_body(period, generated_at)).alias("description"),
         F.when(is_person, col("who")).alias("assignee"),
-        F.array(*[F.lit(x) for x in V.TICKET_LABELS]).alias("labels"),
+        F.array(*[F.lit(x) for x in labels]).alias("labels"),
         F.array(F.struct(
             F.when(is_person, F.concat(F.lit("violations_"), F.replace("who", F.lit("@"), F.lit("_at_")), F.lit(".json")))
             .otherwise("non_human_violations.json").alias("filename"),

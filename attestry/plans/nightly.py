@@ -21,12 +21,12 @@ def stored(df: DataFrame, name: str = "stored", path: str | None = None) -> Data
 
 
 def report_and_tickets(violations: DataFrame, period: dict[str, str], run: dict[str, str], project: str,
-                       issue_type: str, by: list[str] = ("local_date",), path: str | None = None) -> dict[str, DataFrame]:
+                       issue_type: str, labels: list[str], by: list[str] = ("local_date",), path: str | None = None) -> dict[str, DataFrame]:
     """Tables of a run: violations, header, groups, tickets."""
     kept = stored(violations, "violations", path)
     return {
         "violations": kept,
         "header": R.report_header(kept, period, run, list(by)),
         "human_groups": R.human_groups(kept, list(by)),
-        "tickets": K.tickets(kept, period, run["generated_at"], project, issue_type, by),
+        "tickets": K.tickets(kept, period, run["generated_at"], project, issue_type, labels, by),
     }

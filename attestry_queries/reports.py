@@ -113,7 +113,7 @@ def f25(t):
 
 
 def all_tickets(t):
-    return K.tickets(stored(A.violations(t), "violations"), PERIOD, "run", "SEC", "Task", by=[], limit=LIMIT)
+    return K.tickets(stored(A.violations(t), "violations"), PERIOD, "run", "SEC", "Task", ["audit", "violation"], by=[], limit=LIMIT)
 
 
 LINE_SQL = """concat(chr(10), '| ', left(event_time, 16), ' | ', event_name, ' | ', resource_arn, ' | ', details, ' | **<Provide your justification here>** |')"""
@@ -148,7 +148,7 @@ def f26(t):
   CASE WHEN email IS NOT NULL THEN concat('Customer data access violation - ', email, ' - 2024-01-01T01:00 - 2024-01-31T00:59')
     ELSE 'Customer data access violation - service or unknown actor - 2024-01-01T01:00 - 2024-01-31T00:59' END AS summary,
   CASE WHEN email IS NOT NULL THEN concat('violations_', replace(email, '@', '_at_'), '.json') ELSE 'non_human_violations.json' END AS filename,
-  'audit,cdaa,violation' AS labels, n AS counted FROM bodies""")
+  'audit,violation' AS labels, n AS counted FROM bodies""")
 def f28(t):
     content = F.unbase64(F.col("attachments")[0]["content"]).cast("string")
     count = F.coalesce(F.get_json_object(content, "$.violations_count"), F.get_json_object(content, "$.total_count"))

@@ -29,7 +29,7 @@ def frame(spark, rows):
 
 
 def make(spark, rows, **kw):
-    got = K.tickets(frame(spark, rows), PERIOD, "run", "SEC", "Task", **kw).collect()
+    got = K.tickets(frame(spark, rows), PERIOD, "run", "SEC", "Task", ["audit", "violation"], **kw).collect()
     return {r.assignee: r for r in got}
 
 
@@ -48,7 +48,7 @@ def test_table_limit(spark):
     assert full["violations_count"] == 25 and [v["description"] for v in full["violations"]][:2] == ["d24", "d23"]
     assert got["a@example.com"].attachments[0].filename == "violations_a_at_example.com.json"
     assert got["a@example.com"].summary == "Customer data access violation - a@example.com - 2024-01-01T01:00 - 2024-01-02T01:00"
-    assert list(got["a@example.com"].labels) == ["audit", "cdaa", "violation"]
+    assert list(got["a@example.com"].labels) == ["audit", "violation"]
 
 
 def test_requests_once_and_long_bodies(spark):
@@ -87,7 +87,7 @@ def test_non_human_ticket_and_counts(spark):
     r = R.non_human(df).first()
     assert r.total_count == 4 and r.aws_service + r.unknown + r.service_principal + r.service_account == 3
     assert R.by_category(df).first().asDict() == {"s3_unauthorized_access": 2, "s3_outside_window": 0, "db_unauthorized_access": 1, "db_outside_window": 1}
-    assert K.tickets(df.where("false"), PERIOD, "run", "SEC", "Task").count() == 0
+    assert K.tickets(df.where("false"), PERIOD, "run", "SEC", "Task", ["audit"]).count() == 0
 
 
 def test_group_order_and_texts(spark):
@@ -112,5 +112,5 @@ def test_report_lines_and_formats(spark, tmp_path):
         sinks.write_report(df, str(tmp_path / fmt), fmt)
         back = spark.read.format(fmt).option("header", True).option("rowTag", "violation").load(str(tmp_path / fmt))
         assert back.count() == 2
-    log = json.loads(K.ticket_log(K.tickets(df, PERIOD, "run", "SEC", "Task"), PERIOD, {"generated_at": "g"}).where("record like '%Non-Human%'").first().record)
+    log = json.loads(K.ticket_log(K.tickets(df, PERIOD, "run", "SEC", "Task", ["audit"]), PERIOD, {"generated_at": "g"}).where("record like '%Non-Human%'").first().record)
     assert log["attachments_count"] == 1 and log["time_period"]["start"] == PERIOD["start"]
