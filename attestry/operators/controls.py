@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.text import blank_to_null, col, filled, first_filled, strip
+from attestry.operators.joins import salted_left_join
 
 
 def rows_before_error(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,8 +21,7 @@ def rows_before_error(pages: DataFrame, keys: list[str]) -> DataFrame:
     stop = F.when(filled("error"), col("page_no") - 1).when(
         ~F.coalesce(col("results.pageInfo.hasNextPage"), F.lit(False)), col("page_no"))
     stops = pages.groupBy(*keys).agg(F.min(stop).alias("_last"))
-    # One row per listing; adaptive execution broadcasts it while it is small.
-    kept = pages.join(stops, keys).where(col("_last").isNull() | (col("page_no") <= col("_last")))
+    kept = salted_left_join(pages, stops, keys, "page_no").where(col("_last").isNull() | (col("page_no") <= col("_last")))
     return kept.select(*keys, "page_no", F.posexplode("results.data").alias("item_no", "item"))
 
 

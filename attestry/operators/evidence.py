@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.text import col, file_stem, filled, safe_filename
-from attestry.operators.controls import family_of
 from attestry.operators.joins import SALTS, first_per_key, salted_left_join
 
 
@@ -53,6 +52,14 @@ def evidence_rows(documents: DataFrame, links: DataFrame, base_url: str = "") ->
     return files.unionByName(urls).withColumn("doc_type", F.lit("none"))
 
 
+def link_uploads(documents: DataFrame, uploads: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Every linked document with each of its uploads, or once without any.
+
+    ``documents``: ord, doc_id and more; ``uploads``: doc_id, upload_id, file_name.
+    """
+    return salted_left_join(documents, uploads, ["doc_id"], "ord", salts).withColumn("has_uploads", col("upload_id").isNotNull())
+
+
 def clean_index(rows: DataFrame) -> DataFrame:
     """Index rows as read: missing columns and nulls empty, unknown types ``none``."""
     have = {c: F.coalesce(col(c), F.lit("")) if c in rows.columns else F.lit("") for c in V.EVIDENCE_COLUMNS}
@@ -67,7 +74,7 @@ def merge_evidence(existing: DataFrame, new: DataFrame) -> DataFrame:
     by ``ord`` is added.
     """
     keys = ["family", "control", "link"]
-    added = first_per_key(new, keys, [F.asc("ord")]).join(existing.select(*keys), keys, "left_anti")
+    added = first_per_key(new, keys, [F.asc("ord")]).join(existing.select(*keys).distinct(), keys, "left_anti")
     cols = ["ord", *V.EVIDENCE_COLUMNS]
     return existing.select(*cols).withColumn("batch", F.lit(0)).unionByName(added.select(*cols).withColumn("batch", F.lit(1)))
 
@@ -77,7 +84,3 @@ def missing_count(index: DataFrame, by: list[str] = ()) -> DataFrame:
     return index.groupBy(*by).agg(F.count_if(col("status") == "needs_manual_fetch").alias("missing"))
 
 
-def with_family(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("family", family_of())
-
-

@@ -59,13 +59,16 @@ def last_before(
     payload: list[str],
     fact_order: list[str],
     bucket_seconds: int = 3600,
+    salts: int = SALTS,
 ) -> DataFrame:
     """As-of join: per row, the payload of the latest fact of its key at or before ``ts``.
 
     Time is cut into buckets.  The last fact of each (key, bucket) is carried to
     the later buckets over the short bucket list; inside a bucket an ordered
-    window fills forward.  No (row, fact) pair is formed and a hot key is split
-    by its buckets.  Among facts of one instant the highest ``fact_order`` wins.
+    window fills forward.  No (row, fact) pair is formed.  A hot key is split by
+    its buckets and a hot bucket by ``salts``: its rows are dealt out, its facts
+    (one per instant at most) go to each share.  Among facts of one instant the
+    highest ``fact_order`` wins.
     """
     bucket = F.floor(F.col(ts).cast("double") / bucket_seconds)
     packed = F.struct(*[F.col(c) for c in payload])
@@ -73,6 +76,7 @@ def last_before(
         F.col(key).alias("_k"), F.col(ts).alias("_t"), bucket.alias("_b"),
         packed.alias("_p"), F.struct(*[F.col(c) for c in fact_order]).alias("_o"),
     )
+    facts = first_per_key(facts, ["_k", "_t"], [F.desc("_o")])
     keyed = rows.withColumns({"_k": F.col(key), "_t": F.col(ts), "_b": bucket})
     joinable = F.col("_k").isNotNull() & F.col("_t").isNotNull()
 
@@ -91,22 +95,24 @@ def last_before(
 
     whole = F.struct(*[F.col(c) for c in rows.columns])
     events = keyed.where(joinable).select("_k", "_b", "_t", whole.alias("_row"))
+    events = events.withColumn("_share", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     mixed = events.withColumns({
         "_p": F.lit(None).cast(facts.schema["_p"].dataType),
         "_o": F.lit(None).cast(facts.schema["_o"].dataType),
         "_side": F.lit(1),
     }).unionByName(
-        facts.withColumns({"_row": F.lit(None).cast(events.schema["_row"].dataType), "_side": F.lit(0)})
+        facts.withColumns({"_row": F.lit(None).cast(events.schema["_row"].dataType), "_side": F.lit(0)}).withColumn("_share", shares)
     )
     so_far = (
-        Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_o")
+        Window.partitionBy("_k", "_b", "_share").orderBy("_t", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = (
         mixed.withColumn("_seen", F.last("_p", ignorenulls=True).over(so_far))
         .where("_side = 1").select("_k", "_b", "_row", "_seen")
     )
-    found = salted_left_join(filled, carried, ["_k", "_b"], F.struct("_row")).select(
+    found = salted_left_join(filled, carried, ["_k", "_b"], "_row", salts).select(
         "_row.*", F.coalesce("_seen", "_carry").alias("_p")
     )
     rest = keyed.where(~F.coalesce(joinable, F.lit(False))).select(

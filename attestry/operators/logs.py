@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
@@ -184,8 +184,8 @@ def ingest(lines: DataFrame, databases: str = "", scope: list[str] = (), ingest_
     return keep_first_event(with_dedup_key(parsed, ingest_ts), scope=list(scope))
 
 
-def ingest_counters(lines: DataFrame, name: str = "ingest") -> DataFrame:
-    """Observe parsed and emitted counts while the rows pass."""
+def ingest_counters(lines: DataFrame, name: str | Observation = "ingest") -> DataFrame:
+    """Observe parsed and emitted counts while the rows pass (A11); ``lines`` has ``db`` and ``cred``."""
     emitted = F.count_if(col("db").isNotNull() | col("cred").isNotNull())
     return lines.observe(name, F.count("*").alias("parsed_messages"), emitted.alias("emitted_events"))
 

@@ -13,6 +13,7 @@ from attestry.functions.times import parse_time
 from attestry.operators import correlate as C
 from attestry.operators import logs as L
 from attestry.operators.alarms import Alarm, alarms
+from attestry.operators.joins import SALTS
 from attestry.operators.whitelist import monitored_databases
 
 
@@ -22,13 +23,19 @@ def parsed_stream(lines: DataFrame, databases: str = "") -> DataFrame:
     return L.with_dedup_key(parsed).withColumn("event_ts", parse_time("event_time_norm"))
 
 
-def deduplicated_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def deduplicated_stream(events: DataFrame, delay: str = "1 hour", spread: str | None = None, salts: int = SALTS) -> DataFrame:
     """One event per key across deliveries while the watermark remembers it.
 
     The key holds the event's own time, so copies share their time and meet in
-    the remembered span, and state is bounded by ``delay``.
+    the remembered span, and state is bounded by ``delay``.  With a ``spread``
+    column, copies are first thinned out in ``salts`` shares per key, so a key
+    delivered a great many times does not meet in one task.
     """
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(L.DEDUP_KEY)
+    df = events.withWatermark("event_ts", delay)
+    if spread:
+        share = F.pmod(F.xxhash64(spread), F.lit(salts))
+        df = df.withColumn("_share", share).dropDuplicatesWithinWatermark([*L.DEDUP_KEY, "_share"]).drop("_share")
+    return df.dropDuplicatesWithinWatermark(L.DEDUP_KEY)
 
 
 def sink_stream(events: DataFrame, channel_arn: str) -> DataFrame:

@@ -71,7 +71,10 @@ def s10(t):
     ups = C.as_uploads(t["fx_links"].where("flag = 'A'").select("l_partkey", F.col("l_suppkey").cast("string").alias("doc_id"), F.struct(
         F.lit("1").alias("id"), F.lit(None).cast("string").alias("fileName"),
         F.concat(F.lit("file"), F.col("l_suppkey").cast("string"), F.lit(".txt")).alias("name")).alias("item")))
-    joined = docs.join(ups, ["l_partkey", "doc_id"], "left").join(
+    # A document belongs to one control here, so its id holds both numbers.
+    both = F.concat("doc_id", F.lit("@"), F.col("l_partkey").cast("string"))
+    linked = E.link_uploads(docs.withColumns({"ord": F.col("l_partkey"), "doc_id": both}), ups.withColumn("doc_id", both).drop("l_partkey"))
+    joined = linked.withColumn("doc_id", F.substring_index("doc_id", "@", 1)).join(
         controls(t).select(F.col("id").cast("bigint").alias("l_partkey"), "external_id"), "l_partkey")
     return joined.select("external_id", "doc_id", "file_name")
 
@@ -227,6 +230,11 @@ def f38(t):
     return C.ordered_lines(C.skeleton_lines(fam, names, existing)).select("family", "sort_key", "line_no", "line")
 
 
+@query("f37_control_title", f"""SELECT p_partkey, trim(CASE WHEN external_id <> '' AND starts_with(name, external_id) THEN substr(name, length(external_id) + 1) ELSE name END) AS title FROM ({FAMILY_CASES})""")
+def f37(t):
+    return t.sql(FAMILY_CASES).select("p_partkey", C.control_title().alias("title"))
+
+
 SCORED = """scored AS (SELECT c.p_type AS family, c.external_id AS control, c.p_partkey, c.p_size % 11 AS score FROM fx_controls c)"""
 JUDGED = f"""{SCORED}, own AS (SELECT family, control, count(*) AS n, count(*) FILTER (status='ready') AS r, count(*) FILTER (status='needs_manual_fetch') AS w FROM fx_evidence WHERE control <> '' GROUP BY ALL),
 shared AS (SELECT family, count(*) AS n, count(*) FILTER (status='ready') AS r, count(*) FILTER (status='needs_manual_fetch') AS w FROM fx_evidence WHERE control = '' GROUP BY ALL),

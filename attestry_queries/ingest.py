@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import gzip
 import json
 
 from pyspark.sql import functions as F
 
-from attestry.functions import config, hashing, times
+from attestry.functions import config, hashing, text, times
 from attestry.operators import logs as L
 from attestry.operators import requests as Q
 from attestry.operators.scans import retained
@@ -295,3 +296,33 @@ def f30(t):
     return df.select("event_id", config.flag("setting").alias("enabled"),
                      F.array_join(config.allowed_minutes("list"), ",").alias("minutes"), config.unset("value").alias("missing"))
 
+
+
+@query("p1_yesterday_window", """SELECT event_id, local_date FROM (SELECT event_id, ts, strftime(timezone('Europe/Berlin', timezone('UTC', ts)), '%Y-%m-%d') AS local_date FROM events)
+WHERE ts >= TIMESTAMP '2024-01-10 23:00:00' AND ts <= TIMESTAMP '2024-01-11 22:59:59.999999'""")
+def p1(t):
+    now = dt.datetime(2024, 1, 12, 3, 0, tzinfo=dt.timezone.utc)
+    lo, hi = times.reconciliation_window(now, zone="Europe/Berlin")
+    df = t["events"].withColumn("ts", F.col("ts").cast("timestamp"))
+    return df.where(F.col("ts").between(lo, hi)).select("event_id", times.local_date("ts", "Europe/Berlin").alias("local_date"))
+
+
+@query("f8_accounts", "SELECT event_id, nullif(split_part(arn, ':', 5), '') AS account, split_part(arn, '/', -1) AS store FROM (SELECT event_id, concat('arn:aws:x:eu:', CASE WHEN event_type = 'view' THEN '' ELSE CAST(user_id AS VARCHAR) END, ':store/', event_type) AS arn FROM events)")
+def f8(t):
+    arn = F.concat(F.lit("arn:aws:x:eu:"), F.when(F.col("event_type") == "view", "").otherwise(F.col("user_id").cast("string")), F.lit(":store/"), "event_type")
+    return t["events"].select("event_id", hashing.account_of(arn).alias("account"), text.table_id(arn).alias("store"))
+
+
+@query("f21_title_range", """SELECT event_id, CASE WHEN event_type = 'view' THEN 'soon' ELSE concat(strftime(ts, '%Y-%m-%dT%H:%M'), ' - ', strftime(ts + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M')) END AS title FROM events""")
+def f21(t):
+    shape = "yyyy-MM-dd'T'HH:mm:ssXXX"
+    ts = F.col("ts").cast("timestamp")
+    start = F.when(F.col("event_type") == "view", "soon").otherwise(F.date_format(ts, shape))
+    return t["events"].select("event_id", times.title_range(start, F.date_format(ts + F.expr("interval 1 day"), shape)).alias("title"))
+
+
+@query("f31_whitelist_entries", """SELECT user_id, concat('user', user_id) AS entry FROM events GROUP BY user_id UNION ALL SELECT user_id, 'bot' FROM events GROUP BY user_id""")
+def f31(t):
+    users = t["events"].select("user_id").distinct()
+    setting = F.concat(F.lit('[" User'), F.col("user_id").cast("string"), F.lit('", "BOT"]'))
+    return users.select("user_id", F.explode(config.whitelist_entries(setting)).alias("entry"))

@@ -120,3 +120,13 @@ def test_request_rows(table):
 def test_replay(table):
     df = table([{"received_epoch": 1000, "sent_epoch": s} for s in (700, 699, 1300, 1301)])
     assert sorted(r.sent_epoch for r in Q.fresh(df).collect()) == [700, 1300]
+
+
+def test_observed_counts(table):
+    from pyspark.sql import Observation
+
+    df = table([{"ord": 1, "message": "connection authorized: user=u database=d"}, {"ord": 2, "message": "x"}]).withColumn("ingest_ts", later())
+    df = L.with_credential_event(L.with_db_event(df, "ingest_ts"), "ingest_ts")
+    seen = Observation("ingest")
+    L.ingest_counters(df, seen).collect()
+    assert seen.get == {"parsed_messages": 2, "emitted_events": 1}
