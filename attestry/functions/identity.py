@@ -15,7 +15,8 @@ from attestry.functions.text import blank_to_null, clean, clean_sql, col, contai
 
 def find_email(c: Column | str) -> Column:
     """First email address in the lower-cased text, else null."""
-    return F.get(F.regexp_extract_all(F.lower(col(c)), F.lit(V.EMAIL), F.lit(0)), F.lit(0))
+    found = F.get(F.regexp_extract_all(F.lower(col(c)), F.lit(V.EMAIL), F.lit(0)), F.lit(0))
+    return F.when(F.contains(col(c), F.lit("@")), found)
 
 
 def strip_login_prefix(c: Column | str) -> Column:
@@ -33,17 +34,22 @@ def session_name(principal: Column | str) -> Column:
     return F.when(at > 0, F.substring(col(principal), at + 1, F.length(col(principal))))
 
 
+def _email_sql(name: str, text: str) -> str:
+    """First email in ``text``, a form of column ``name``; the plain search spares most regular expressions."""
+    return f"case when contains({name}, '@') then get(regexp_extract_all({text}, r'{V.EMAIL}', 0), 0) end"
+
+
 def _identifier(name: str) -> Column:
     s = clean_sql(name)
     return F.expr(
         f"case when coalesce({name} <> '', false) then "
-        f"coalesce(get(regexp_extract_all({s}, r'{V.EMAIL}', 0), 0), substring_index({s}, ':', -1)) end")
+        f"coalesce({_email_sql(name, s)}, substring_index({s}, ':', -1)) end")
 
 
 def _login_email(name: str) -> Column:
     """Email in a column once its login prefix is gone."""
     bare = f"regexp_replace({clean_sql(name)}, '^({'|'.join(V.LOGIN_PREFIXES)})', '')"
-    return F.expr(f"get(regexp_extract_all({bare}, r'{V.EMAIL}', 0), 0)")
+    return F.expr(_email_sql(name, bare))
 
 
 def derived_identifier() -> Column:

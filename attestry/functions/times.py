@@ -23,12 +23,14 @@ def parse_time(c: Column | str) -> Column:
     null.  Fields need their full number of digits.
     """
     s = strip(c)
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?Z$"),
-                 F.try_to_timestamp(F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})Z$", "$1T00:00:00Z")))
-    plain = F.try_to_timestamp(
-        F.concat(F.substring_index(s, ".", 1), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX")
+    iso = F.when(
+        s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?Z$"),
+        F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})Z$", "$1T00:00:00Z").try_cast("timestamp"),
     )
-    return F.when(F.endswith(s, F.lit("Z")), iso).otherwise(plain)
+    # The shape is checked first, so the fast cast reads exactly what is allowed.
+    plain = F.substring_index(s, ".", 1)
+    wall = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.concat(plain, F.lit("Z")).try_cast("timestamp"))
+    return F.when(F.endswith(s, F.lit("Z")), iso).otherwise(wall)
 
 
 def iso_utc(ts: Column | str) -> Column:

@@ -154,7 +154,7 @@ def unapproved(matched: DataFrame) -> DataFrame:
 
 
 # The type is not in the key: person and day decide it.
-VIOLATION_KEY = ["local_date", "user_id", "resource_arn", "eventTime", "eventName"]
+VIOLATION_KEY = ["user_id", "eventTime", "resource_arn", "eventName", "local_date"]
 VIOLATION_ORDER = ["src_rank", "ord"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
-from attestry.functions.text import blank_to_null, col, first_filled, strip
+from attestry.functions.text import col, first_filled, strip
 from attestry.functions.times import ISO, local_date
 
 
@@ -62,23 +62,27 @@ def parse_command(df: DataFrame) -> DataFrame:
 
 def parse_dialog(deliveries: DataFrame) -> DataFrame:
     """Dialog submissions: JSON in the form's ``payload`` field."""
-    payload = form_field(decoded_body(), "payload")
-    df = deliveries.withColumn("_p", payload)
-    df = df.where((F.get_json_object("_p", "$.type") == "view_submission")
-                  & (F.get_json_object("_p", "$.view.callback_id") == "access_request"))
-
-    def value(path: str) -> Column:
-        return F.coalesce(F.get_json_object("_p", path), F.lit(""))
-
-    state = "$.view.state.values"
-    return df.select(
-        *[c for c in deliveries.columns if c not in ("body", "is_base64")],
-        F.coalesce(blank_to_null(value("$.user.id")), F.lit("unknown")).alias("user_id"),
-        F.coalesce(first_filled(value("$.user.username"), value("$.user.name")), F.lit("unknown")).alias("user_name"),
-        value(f"{state}.jira.jira_key.value").alias("jira_issue_id"),
-        value(f"{state}.just.justification.value").alias("justification"),
-        F.coalesce(_whole_number(value(f"{state}.duration.duration_select.selected_option.value")), F.lit(0)).alias("duration_minutes"),
-    )
+    names = [c for c in deliveries.columns if c not in ("body", "is_base64")]
+    df = deliveries.withColumn("_p", F.from_json(form_field(decoded_body(), "payload"), _DIALOG))
+    state = "_p.view.state.values"
+    submitted = (col("_p.type") == "view_submission") & (col("_p.view.callback_id") == "access_request")
+    row = F.struct(
+        first_filled("_p.user.id", F.lit("unknown")).alias("user_id"),
+        first_filled("_p.user.username", "_p.user.name", F.lit("unknown")).alias("user_name"),
+        F.coalesce(f"{state}.jira.jira_key.value", F.lit("")).alias("jira_issue_id"),
+        F.coalesce(f"{state}.just.justification.value", F.lit("")).alias("justification"),
+        F.coalesce(_whole_number(col(f"{state}.duration.duration_select.selected_option.value")), F.lit(0)).alias("duration_minutes"))
+    # Exploding one or no row keeps the test above the parsing, which so runs once.
+    return df.select(*names, F.inline(F.when(submitted, F.array(row))))
+
+
+_DIALOG = """
+type string, user struct<id: string, username: string, name: string>,
+view struct<callback_id: string, state: struct<values: struct<
+  jira: struct<jira_key: struct<value: string>>,
+  just: struct<justification: struct<value: string>>,
+  duration: struct<duration_select: struct<selected_option: struct<value: string>>>>>>
+"""
 
 
 def _problems(allowed: list[int], texts: tuple[str, str, str]) -> list[Column]:
