@@ -21,8 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Pieces kept in a worker's memory and the longest that is kept; they bound memory, not results.
-KEPT_PIECES, KEPT_LENGTH = 500_000, 48
+#: Pieces in each of two generations that a worker keeps, the longest that is kept, and tested pairs; they bound memory, not results.
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 400_000
 OUT_BYTES = 1 << 24
 
 # The split of the vocabulary's published pattern. The first spelling holds for texts of
@@ -111,17 +111,39 @@ class SuffixAutomaton:
         return found if size == self.length[state] else tuple(x for x in found if x[0] <= size)
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _ids(spec: dict) -> dict[bytes, int]:
+    letters = _byte_letters()
+    return {bytes(letters[c] for c in text): i for text, i in spec["model"]["vocab"].items()}
+
+
+class Decoder:
+    """The bytes of each id of a vocabulary file."""
+
+    def __init__(self, path: str):
+        spec = _spec(path)
+        found = {i: b for b, i in _ids(spec).items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+        self.pieces = [found.get(i, b"") for i in range(max(found) + 1)]
+
+    def decode(self, ids: bytes) -> str:
+        found = self.pieces
+        return b"".join([found[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+
+
 class Vocabulary:
-    """Tokens, merges and splits of one vocabulary file."""
+    """Tokens, merges and splits of one vocabulary file, to encode with."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         letters = _byte_letters()
         model = spec["model"]
-        self.ids = {bytes(letters[c] for c in text): i for text, i in model["vocab"].items()}
+        self.ids = _ids(spec)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = {i: b for b, i in self.ids.items()}
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
         self.made_by: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -131,12 +153,9 @@ class Vocabulary:
             self.made_by.setdefault(token, (rank, a, b))
         self.fits: dict[int, bool] = {}
         # a longer token whose two parts would not stand side by side can't arise from merges
-        usable = [(b, i) for b, i in self.ids.items() if len(b) == 1 or self._arises(i)]
-        self.automaton = SuffixAutomaton(usable)
-        self.whole = dict(usable)
+        self.whole = {b: i for b, i in self.ids.items() if len(b) == 1 or self._arises(i)}
+        self.automaton = SuffixAutomaton(list(self.whole.items()))
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        top = max(self.bytes_of) + 1
-        self.pieces_by_id = [self.bytes_of.get(i, b"") for i in range(top)]
         self.kept = _Pieces(self)
 
     def _arises(self, token: int) -> bool:
@@ -171,7 +190,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * KEPT_PIECES:
+            if len(self.fits) >= KEPT_PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible_below(a, b, 1 << 60)
         return known
@@ -219,35 +238,34 @@ class Vocabulary:
                 out.append(b"".join(map(self.kept.__getitem__, split.findall(part))))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        found = self.pieces_by_id
-        return b"".join([found[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
-
 
 class _Pieces(dict):
     """Encoded pieces of a worker, bounded in number and length."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.piece(piece.encode()), dtype="<u4").tobytes()
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            ids = np.array(self.vocabulary.piece(piece.encode()), dtype="<u4").tobytes()
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
-_LOADED: dict[str, Vocabulary] = {}
+_LOADED: dict[tuple[type, str], Vocabulary | Decoder] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, built once in each worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+def loaded(kind: type, path: str) -> Vocabulary | Decoder:
+    """The vocabulary or decoder of a file, built once in each worker."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def _by_size(batch: pa.RecordBatch, column: str, made, kind: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
@@ -268,7 +286,7 @@ def encode(frame: DataFrame, text: str, path: str, ids: str = "ids") -> DataFram
     """Add the ids of ``text`` as little-endian unsigned 32-bit integers; other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
+        known = loaded(Vocabulary, path)
         for batch in batches:
             yield from _by_size(batch, text, lambda t: known.encode(t or ""), pa.binary(), ids)
 
@@ -279,7 +297,7 @@ def decode(frame: DataFrame, ids: str, path: str, text: str = "decoded") -> Data
     """Add the text of ``ids``; bytes that are no UTF-8 become replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
+        known = loaded(Decoder, path)
         for batch in batches:
             yield from _by_size(batch, ids, lambda b: known.decode(b or b""), pa.string(), text)
 

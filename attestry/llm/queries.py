@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, packing, quality, toxicity, urls, warc
+from attestry.llm import bpe, jaccard, packing, quality, suffixes, toxicity, urls, warc
 from attestry.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,17 +33,27 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op6_urls": op6_urls,
     "op7_warc": op7_warc,
+    "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
+    "op10_passages": op10_passages,
 }
 
 ORACLES: dict[str, str] = {"op6_urls": urls.VERDICTS_SQL}

@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma, log
 
 import ahocorasick
 import numpy as np
@@ -29,6 +30,8 @@ from attestry.llm.quality import labelled_sample
 SAMPLE, LEXICON = 20_000, 20_000
 STEMS = range(4, 9)
 LEAST_TOXIC, LEAST_RATIO = 3, 30.0
+#: Accepted number of entries, among all words and stems seen, that are on the list by chance.
+CHANCE = 0.01
 WORD = re.compile(r"\w+(?:['’]\w+)*|[\"“”„«»]")
 CLAUSE_END, NEXT_END = ".!?;\n", re.compile(r"[.!?;\n]")
 
@@ -223,7 +226,13 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
     n_toxic, n_clean = top["toxic"], top["clean"]
     ratio = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / (n_clean + 1))
     rows = counts.where("feature <> ''").where(F.col("toxic") >= LEAST_TOXIC).where(ratio >= LEAST_RATIO).orderBy(F.desc("toxic"), "feature").limit(LEXICON).collect()
-    found = {r["feature"]: (r["toxic"], r["clean"]) for r in rows}
+    share, tried = n_toxic / (n_toxic + n_clean), counts.count()
+
+    def by_chance(toxic: int, clean: int) -> float:
+        """Logarithm of the number of entries expected to be split so by chance."""
+        return lgamma(toxic + clean + 1) - lgamma(toxic + 1) - lgamma(clean + 1) + toxic * log(share) + log(tried)
+
+    found = {r["feature"]: (r["toxic"], r["clean"]) for r in rows if by_chance(r["toxic"], r["clean"]) <= log(CHANCE)}
     kept: dict[str, float] = {}
     for feature in sorted(found, key=lambda f: (len(f.rstrip("$")), f)):
         stem = feature.rstrip("$")
