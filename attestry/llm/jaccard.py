@@ -247,7 +247,8 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out += [(node, y) for y in nodes[good][once]]
         return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
 
-    return left.select(columns).groupBy("crowd", "a", "b").cogroup(right.select(columns).groupBy("crowd", "a", "b")).applyInPandas(run, "x bigint, y bigint")
+    right = right.select(*(F.col(c).alias(c) for c in columns))  # columns of their own, as both sides come from one table
+    return left.select(columns).groupBy("crowd", "a", "b").cogroup(right.groupBy("crowd", "a", "b")).applyInPandas(run, "x bigint, y bigint")
 
 
 def join_components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -289,9 +290,9 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     return join_components(documents).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component: the one with the smallest id, or one without id if none has any; no words: all stay."""
-    told = stored(join_components(documents).withColumn("__place", F.struct(F.col("doc_id").isNull(), "doc_id", "row")), "joined")
+    told = stored(join_components(documents, n, percent).withColumn("__place", F.struct(F.col("doc_id").isNull(), "doc_id", "row")), "joined")
     first = told.where("component is not null").groupBy("component").agg(F.min("__place").alias("__first"))
     gone = stored(told.join(first, "component").where("not (__place <=> __first)").select("row").distinct(), "gone")
     again = stored(told.where("component is not null").groupBy("row").count().where("count > 1").select("row").join(gone, "row", "left_anti"), "again")

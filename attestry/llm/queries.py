@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, jaccard, packing, quality, suffixes, toxicity, urls, warc
+import corpus_pipeline
+from attestry.llm import bpe, impacts, jaccard, packing, quality, suffixes, toxicity, urls, vamana, warc
 from attestry.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +26,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.top_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
@@ -49,11 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_impacts": op4_impacts,
+    "op5_vamana": op5_vamana,
     "op6_urls": op6_urls,
     "op7_warc": op7_warc,
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
     "op10_passages": op10_passages,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op6_urls": urls.VERDICTS_SQL}
+ORACLES: dict[str, str] = {"op4_impacts": impacts.TOP_SQL, "op6_urls": urls.VERDICTS_SQL}
