@@ -17,7 +17,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import lgamma, log
 
 import ahocorasick
 import numpy as np
@@ -226,24 +225,44 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
     n_toxic, n_clean = top["toxic"], top["clean"]
     ratio = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / (n_clean + 1))
     rows = counts.where("feature <> ''").where(F.col("toxic") >= LEAST_TOXIC).where(ratio >= LEAST_RATIO).orderBy(F.desc("toxic"), "feature").limit(LEXICON).collect()
-    share, tried = n_toxic / (n_toxic + n_clean), counts.count()
-
-    def by_chance(toxic: int, clean: int) -> float:
-        """Logarithm of the number of entries expected to be split so by chance."""
-        return lgamma(toxic + clean + 1) - lgamma(toxic + 1) - lgamma(clean + 1) + toxic * log(share) + log(tried)
-
-    found = {r["feature"]: (r["toxic"], r["clean"]) for r in rows if by_chance(r["toxic"], r["clean"]) <= log(CHANCE)}
-    kept: dict[str, float] = {}
-    for feature in sorted(found, key=lambda f: (len(f.rstrip("$")), f)):
-        stem = feature.rstrip("$")
-        if any(stem[:n] in kept for n in STEMS):
-            continue
-        toxic, clean = found[feature]
-        longer = [f for f in found if f != feature and f.startswith(feature) and not feature.endswith("$")]
-        if any(found[f][0] >= 0.98 * toxic for f in longer):
-            continue  # a longer stem, or the word itself, says as much
-        kept[feature] = (toxic + 1) / (toxic + clean * n_toxic / max(n_clean, 1) + 2)
-    return kept
+    entries = [r["feature"] for r in rows]
+    toxic, clean = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("toxic", "clean"))
+    if not entries:
+        return {}
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {e: k for k, e in enumerate(entries)}
+        for batch in batches:
+            found = [sorted({number[f] for w in set(WORD.findall((t.as_py() or "").lower())) for f in _features(w) if f in number}) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["found"])
+
+    texts = [np.array(r["found"], dtype=np.int64) for r in sample.where("__label = 1").select("text").mapInArrow(present, "found array<bigint>").collect()]
+    return _chosen(entries, toxic, clean, texts, n_toxic / (n_toxic + n_clean), counts.count(), n_toxic / max(n_clean, 1))
+
+
+def _chosen(entries: list[str], toxic: np.ndarray, clean: np.ndarray, texts: list[np.ndarray], share: float, tried: int, odds: float) -> dict[str, float]:
+    """Entries in turn, the one least explained by chance first, as judged by toxic texts without an earlier entry.
+
+    So words that merely stand in copies of texts that an entry explains are left out.
+    """
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, toxic.sum() + clean.sum() + 2)))))
+    of_entry: list[list[int]] = [[] for _ in entries]
+    for t, found in enumerate(texts):
+        for e in found.tolist():
+            of_entry[e].append(t)
+    left = np.array([len(x) for x in of_entry], dtype=np.int64)
+    length = np.array([len(e) for e in entries])
+    covered, kept = np.zeros(len(texts), dtype=bool), {}
+    while True:
+        chance = log_factorial[left + clean] - log_factorial[left] - log_factorial[clean] + left * np.log(share) + np.log(tried)
+        at = np.lexsort((-length, chance))[0]
+        if left[at] < LEAST_TOXIC or chance[at] > np.log(CHANCE):
+            return kept
+        kept[entries[at]] = float((toxic[at] + 1) / (toxic[at] + clean[at] * odds + 2))
+        for t in of_entry[at]:
+            if not covered[t]:
+                covered[t] = True
+                left[texts[t]] -= 1
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
