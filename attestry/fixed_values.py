@@ -48,7 +48,6 @@ LINE_CONTEXT = r":([^:@\s]+)@([^:\s]+):"
 LINE_DISCONNECT = r"disconnection: session time: (\d+):(\d+):(\d+) user=([^\s]+) database=([^\s]+)"
 DB_LOG_FILTER = r"connection authorized|disconnection:|.*@.*:"
 CRED_LOG_TERMS = ["database", "creds", "prod-"]
-CRED_PATH_PREFIX = "database/creds/"
 PROD_CRED_PATH_PREFIX = "database/creds/prod-"
 OID_NAMESPACE_HEX = "6ba7b8129dad11d180b400c04fd430c8"
 DEFAULT_EVENT_SOURCE = "audit.prod"

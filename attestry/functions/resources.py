@@ -27,7 +27,7 @@ def _db_name() -> Column:
 def _object_location() -> tuple[Column, Column]:
     """Bucket and key, from a projected ARN when there is one, else from the request."""
     arn = blank_to_null(strip("resourceArn"))
-    path = F.when(F.startswith(arn, F.lit(V.OBJECT_ARN_PREFIX)), F.substring(arn, len(V.OBJECT_ARN_PREFIX) + 1, 1 << 20))
+    path = F.when(F.startswith(arn, F.lit(V.OBJECT_ARN_PREFIX)), F.substring(arn, F.lit(len(V.OBJECT_ARN_PREFIX) + 1), F.length(arn)))
     arn_bucket = F.substring_index(path, "/", 1)
     arn_key = F.when(F.contains(path, F.lit("/")), F.substring(path, F.instr(path, "/") + 1, F.length(path)))
     req_bucket = blank_to_null(strip("reqBucketName"))

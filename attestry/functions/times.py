@@ -18,14 +18,14 @@ PLAIN = "yyyy-MM-dd HH:mm:ss"
 def parse_time(c: Column | str) -> Column:
     """Instant of a stamp in one of the two accepted spellings, else null (F1).
 
-    Accepted: ISO ending in ``Z`` (fraction kept) and ``yyyy-MM-dd HH:mm:ss[.f]``
+    Accepted: ISO ending in ``Z`` (fraction cut to microseconds) and ``yyyy-MM-dd HH:mm:ss[.f]``
     (fraction dropped), both UTC.  ``T`` without zone and explicit offsets are
     null.  Fields need their full number of digits.
     """
     s = strip(c)
     iso = F.when(
-        s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?Z$"),
-        F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})Z$", "$1T00:00:00Z").try_cast("timestamp"),
+        s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?Z$"),
+        F.regexp_replace(F.regexp_replace(s, r"(\.\d{6})\d+", "$1"), r"^(\d{4}-\d{2}-\d{2})Z$", "$1T00:00:00Z").try_cast("timestamp"),
     )
     # The shape is checked first, so the fast cast reads exactly what is allowed.
     plain = F.substring_index(s, ".", 1)

@@ -62,7 +62,7 @@ def judge(resolved: DataFrame, score: str = "score", mixed: str = "incomplete")
 
     No evidence: ``No``, 0.  Evidence waiting to be fetched: ``Incomplete``, no
     score.  Ready evidence: the supplied score, ``Yes`` from seven up, else
-    ``Partial``.  With both kinds, ``mixed='incomplete'`` defers and ``'ready'``
+    ``Partial``; while no score is supplied, neither.  With both kinds, ``mixed='incomplete'`` defers and ``'ready'``
     scores.
     """
     none = col("sources") == 0
@@ -70,7 +70,7 @@ def judge(resolved: DataFrame, score: str = "score", mixed: str = "incomplete")
     given = col(score).cast("int")
     return resolved.withColumns({
         "sufficiency": F.when(none, "No").when(deferred, "Incomplete").when(given >= 7, "Yes")
-        .when(given > 0, "Partial").otherwise("No"),
+        .when(given > 0, "Partial").when(given <= 0, "No"),
         "final_score": F.when(none, 0).when(~deferred, given),
     })
 

@@ -105,7 +105,4 @@ def sensitive_hits(documents: DataFrame, text: str = "text", patterns: list[tupl
     return hits.where(~col("hit").rlike("|".join(allowed)) & filled("hit"))
 
 
-def hits_by_rule(hits: DataFrame, by: list[str] = ()) -> DataFrame:
-    return hits.groupBy(*by, "rule").agg(F.count("*").alias("hits"))
-
 

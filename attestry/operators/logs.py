@@ -91,7 +91,8 @@ def with_credential_event(lines: DataFrame, ingest_ts: Column | str) -> DataFram
         col("_rec.auth.entity_id").alias("entity_id"),
         col("_rec.auth.client_token_accessor").alias("client_token_accessor"),
         only_issued(username).alias("username"),
-        only_issued(first_filled("_rec.response.lease_duration", "_rec.response.ttl")).alias("lease_ttl_s"),
+        # a lease of zero counts as none
+        only_issued(first_filled(F.when(col("_rec.response.lease_duration") != "0", col("_rec.response.lease_duration")), "_rec.response.ttl")).alias("lease_ttl_s"),
         F.coalesce(first_filled("_rec.request_id", "_rec.request.id"), F.sha2(col("message").cast("binary"), 256)).alias("request_id"),
         only_issued(at).alias("response_ts"),
         col("_rec.mount_type").alias("mount_type"), col("_rec.mount_accessor").alias("mount_accessor"),

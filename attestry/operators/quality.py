@@ -23,7 +23,7 @@ def bad_status(index: DataFrame) -> DataFrame:
 def missing_files(index: DataFrame, files: DataFrame) -> DataFrame:
     """Ready local files that are not in the listing ``files(path)``."""
     ready = index.where((col("status") == "ready") & (col("source_type") == "local_file"))
-    return ready.join(files.select(col("path").alias("link")).distinct(), "link", "left_anti")
+    return ready.join(files.select(col("path").alias("link")), "link", "left_anti")
 
 
 def unknown_controls(index: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def unknown_controls(index: DataFrame, requirements: DataFrame) -> DataFrame:
     both facts, so no row meets a whole family.
     """
     rows = index.withColumns({"_c": strip(F.coalesce("control", F.lit(""))), "_f": F.upper(strip(F.coalesce("family", F.lit(""))))})
-    listed = requirements.select(col("family").alias("_f"), col("control").alias("_c")).distinct()
+    listed = requirements.select(col("family").alias("_f"), col("control").alias("_c"))
     known_families = listed.select("_f").distinct()
     return (
         rows.where("_c <> ''").join(listed, ["_f", "_c"], "left_anti")

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.text import col, filled
+from attestry.functions.times import parse_time
 
 
 def list_order() -> list[Column]:
-    """Order of violations in every list: object events first, newest first (L1)."""
-    return [F.asc("src_rank"), F.desc("event_time"), F.asc("ord")]
+    """Order of violations in every list: object events first, newest first whatever a stamp's spelling, unreadable ones last (L1)."""
+    return [F.asc("src_rank"), F.desc_nulls_last(parse_time("event_time")), F.asc("ord")]
 
 
 def person() -> Column:
@@ -126,7 +127,7 @@ def report_lines(violations: DataFrame, header: DataFrame) -> DataFrame:
                          F.to_json(F.struct(*header.columns)).alias("json"))
     body = violations.select(
         F.when(person().isNotNull(), "human").otherwise("non_human").alias("section"), person().alias("user_email"),
-        F.to_json(violation_json(violations)).alias("json"))
+        F.to_json(violation_json(violations), {"ignoreNullFields": "false"}).alias("json"))
     return head.unionByName(body)
 
 

@@ -122,13 +122,15 @@ def request_rows(valid: DataFrame, zone: str, retention_years: int, email: Colum
     """Rows of the request table.
 
     Typed commands have no email, so the chat user name stands in ``user_email``
-    (the default); dialogs pass their resolved email.
+    (the default) and the row has no chat user of its own; dialogs pass their
+    resolved email and keep id and name.
     """
+    dialog = F.lit(not (isinstance(email, str) and email == "user_name"))
     now = F.timestamp_seconds("received_epoch")
     stamp = F.date_format(now, ISO)
     return valid.select(
         F.sha2(F.concat_ws("\x1f", "received_epoch", "user_id", "jira_issue_id", "justification", "duration_minutes").cast("binary"), 256).alias("request_id"),
-        stamp.alias("timestamp"), local_date(now, zone).alias("local_date"), "user_id", "user_name",
+        stamp.alias("timestamp"), local_date(now, zone).alias("local_date"), F.when(dialog, col("user_id")).alias("user_id"), F.when(dialog, col("user_name")).alias("user_name"),
         col(email).alias("user_email"), "jira_issue_id", "justification", "duration_minutes",
         stamp.alias("request_timestamp"),
         F.date_format(F.timestamp_seconds(col("received_epoch") + col("duration_minutes") * 60), ISO).alias("expiry_timestamp"),

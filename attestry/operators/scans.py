@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,11 +47,17 @@ def source_actor_filter(whitelist: dict[str, list[str]] | None, issuer: str = "s
 
 
 def _between(df: DataFrame, column: str, start: str | None, end: str | None) -> DataFrame:
-    """Inclusive range over text stamps of one spelling; compares as text, so it reaches the file scan."""
+    """Inclusive range over stamps in any accepted spelling, to whole seconds.
+
+    Instants are compared. A coarse bound on the day, which sorts alike in every spelling, reaches the file
+    scan. Stamps that can't be read are compared as text.
+    """
+    at = F.date_trunc("second", parse_time(column))
     if start is not None:
-        df = df.where(col(column) >= start)
+        df = df.where(col(column) >= start[:10]).where(F.coalesce(at >= F.date_trunc("second", parse_time(F.lit(start))), col(column) >= start))
     if end is not None:
-        df = df.where(col(column) <= end)
+        following = (dt.date.fromisoformat(end[:10]) + dt.timedelta(days=1)).isoformat()
+        df = df.where(col(column) < following).where(F.coalesce(at <= F.date_trunc("second", parse_time(F.lit(end))), col(column) <= end))
     return df
 
 
@@ -60,7 +67,7 @@ def scan_object_events(raw: DataFrame, start: str | None = None, end: str | None
     """Object-access events of a period in 14 columns plus any carried ``ord``.
 
     ``raw`` has nested ``userIdentity`` and ``requestParameters``
-    (:data:`attestry.schemas.RAW_OBJECT_EVENT`), stamps as ``yyyy-MM-dd HH:mm:ss``.
+    (:data:`attestry.schemas.RAW_OBJECT_EVENT`), stamps in any spelling of :func:`parse_time`.
     """
     df = _between(raw, "eventTime", start, end)
     df = df.where((col("eventSource") == V.OBJECT_SOURCE) & col("eventName").isin(V.OBJECT_EVENTS))
@@ -116,12 +123,12 @@ def union_sources(objects: DataFrame, curated: DataFrame | None = None) -> DataF
 
 def requests_for_day(requests: DataFrame, day: str, start: str, end: str) -> DataFrame:
     """Requests of one local day inside the window (S5); prunes the ``local_date`` partition."""
-    return requests.where(col("local_date") == day).where(col("timestamp").between(start, end))
+    return _between(requests.where(col("local_date") == day), "timestamp", start, end)
 
 
 def requests_for_range(requests: DataFrame, start: str, end: str) -> DataFrame:
     """Requests of a period whatever their local day."""
-    return requests.where(col("timestamp").between(start, end))
+    return _between(requests, "timestamp", start, end)
 
 
 def selected_for_ingest(raw: DataFrame, resource_types: list[str], arn_prefixes: list[str] = (),
@@ -155,7 +162,3 @@ def retained(requests: DataFrame, now_epoch: int) -> DataFrame:
     return requests.where(col("ttl") > now_epoch)
 
 
-def with_event_ts(events: DataFrame) -> DataFrame:
-    return events.withColumn("event_ts", parse_time("eventTime"))
-
-

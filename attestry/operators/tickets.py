@@ -7,12 +7,12 @@ gathered: rows are ranked first, byte totals decide who gets a full attachment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.text import clip_body, col, fill, filled
-from attestry.functions.times import title_range
+from attestry.functions.times import parse_time, title_range
 from attestry.operators.joins import SALTS, first_per_key, salted_left_join, top_per_key
 from attestry.operators.report import list_order, person, violation_json
 
@@ -80,11 +80,15 @@ EVIDENCE_FIELDS = [
     "s3_error_code", "s3_error_message", "source_ip", "user_agent", "aws_region", "access_key_id", "event_id",
     "recipient_account_id",
 ]
-# No body shows more requests than fit its length limit.
+# No body shows more requests than fit its length limit: the text is cut there, so later ones can't be seen.
 _MIN_REQUEST = len(V.HUMAN_REQUEST.format(i=1, jira="", why="", at="", minutes=""))
 MAX_SHOWN_REQUESTS = V.BODY_MAX_CHARS // _MIN_REQUEST + 1
 
 
+#: Attachments write every key, empty ones as null; compact, since the byte limit is on what is sent.
+ALL_KEYS = {"ignoreNullFields": "false"}
+
+
 def grouped(violations: DataFrame) -> DataFrame:
     """Violations with their ticket group ``who``: an email, or empty for services."""
     return violations.withColumn("who", F.coalesce(person(), F.lit("")))
@@ -95,13 +99,15 @@ def ticket_rows(rows: DataFrame, by: list[str], n: int = V.TABLE_MAX_ROWS) -> Da
     return top_per_key(rows, [*by, "who"], list_order(), n)
 
 
-def matched_requests(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct requests of each group, numbered by first appearance."""
+def matched_requests(rows: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """Distinct requests of each group, numbered by first appearance (A7); all of them, or the first ``most``."""
     asked = rows.where(col("matched_request").isNotNull()).select(
         *by, "who", "src_rank", "event_time", "ord", "matched_request",
         F.coalesce(col("matched_request.request_timestamp"), F.lit("N/A")).alias("request_key"))
     once = first_per_key(asked, [*by, "who", "request_key"], list_order())
-    return top_per_key(once, [*by, "who"], list_order(), MAX_SHOWN_REQUESTS, "i")
+    if most is not None:
+        return top_per_key(once, [*by, "who"], list_order(), most, "i")
+    return once.withColumn("i", F.row_number().over(Window.partitionBy(*by, "who").orderBy(*list_order())))
 
 
 def _joined(ranked: DataFrame, keys: list[str], rank: str, text: Column, name: str, sep: str = "") -> DataFrame:
@@ -137,9 +143,9 @@ def non_human_body(period: dict[str, str], generated_at: str) -> Column:
 
 def _head_json() -> Column:
     """JSON text of an attachment before its list, without the closing brace."""
-    human = F.to_json(F.struct(col("who").alias("user_email"), "violations_count"))
+    human = F.to_json(F.struct(col("who").alias("user_email"), "violations_count"), ALL_KEYS)
     cats = F.struct(*V.NON_HUMAN_CATEGORIES)
-    other = F.to_json(F.struct(col("violations_count").alias("total_count"), cats.alias("by_category")))
+    other = F.to_json(F.struct(col("violations_count").alias("total_count"), cats.alias("by_category")), ALL_KEYS)
     text = F.when(col("who") != "", human).otherwise(other)
     return F.left(text, F.length(text) - 1)
 
@@ -156,14 +162,14 @@ def attachments(rows: DataFrame, totals: DataFrame, by: list[str], limit: int =
     size = col("json_bytes") + F.octet_length("head") + len(',"violations":[') + len("]}") - 1
     sized = sized.withColumn("fits", size <= limit).select(*keys, "head", "fits")
     known = salted_left_join(rows, sized.select(*keys, "fits"), keys, "ord", salts)
-    packed = F.struct("src_rank", F.negative(F.unix_micros(F.try_to_timestamp(F.replace("event_time", F.lit("T"), F.lit(" "))))).alias("t"), "ord", "json")
+    packed = F.struct("src_rank", F.coalesce(F.negative(F.unix_micros(parse_time("event_time"))), F.lit((1 << 63) - 1)).alias("t"), "ord", "json")
     full = known.where("fits").groupBy(*keys).agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(packed)), lambda x: x["json"]), ",").alias("list"))
-    brief = F.to_json(F.struct("type", "event_time", "resource_arn", "description"))
+    brief = F.to_json(F.struct("type", "event_time", "resource_arn", "description"), ALL_KEYS)
     first_ten = top_per_key(known.where("not fits"), keys, list_order(), V.SUMMARY_MAX_ROWS)
     short = _joined(first_ten, keys, "rank", brief, "brief_list", ",")
     told = F.to_json(F.struct(F.lit(V.OVERSIZE_MESSAGE).alias("message")))
-    told = F.substring(told, 2, 1000)
+    told = F.substring(told, F.lit(2), F.length(told))
     content = F.when(col("fits"), F.concat("head", F.lit(',"violations":['), F.coalesce("list", F.lit("")), F.lit("]}"))).otherwise(
         F.concat(col("head"), F.lit(","), F.regexp_replace(told, "}$", ""), F.lit(',"violation_summary":['), col("brief_list"), F.lit("]}")))
     return sized.join(full, keys, "left").join(short, keys, "left").select(*keys, content.alias("content"), "fits")
@@ -177,14 +183,14 @@ def tickets(violations: DataFrame, period: dict[str, str], generated_at: str, pr
     """
     by = list(by)
     keys = [*by, "who"]
-    rows = grouped(violations).withColumn("json", F.to_json(violation_json(violations)))
+    rows = grouped(violations).withColumn("json", F.to_json(violation_json(violations), ALL_KEYS))
     totals = group_totals(rows, by)
     people = rows.where("who <> ''")
     shown = _joined(ticket_rows(people, by), keys, "rank", table_line(), "shown_rows")
     block = fill(V.HUMAN_REQUEST, i=col("i"), jira=or_none("matched_request.jira_issue_id"),
                  why=or_none("matched_request.justification"), at=or_none("matched_request.request_timestamp"),
                  minutes=or_none("matched_request.duration_minutes"))
-    asked = _joined(matched_requests(people, by), keys, "i", block, "shown_requests")
+    asked = _joined(matched_requests(people, by, MAX_SHOWN_REQUESTS), keys, "i", block, "shown_requests")
     files = attachments(rows, totals, by, limit, salts)
     df = totals.join(shown, keys, "left").join(asked, keys, "left").join(files, keys, "left")
     is_person = col("who") != ""

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.identity import by_actor, is_object_event, session_name
-from attestry.functions.text import blank_to_null, clean, col, contains_any, first_filled
+from attestry.functions.text import blank_to_null, clean, col, contains_any
 
 
 def db_user_listed(users: list[str]) -> Column:
-    name = clean(first_filled("db_username", "userName"))
+    # the separate user name of an object event belongs to another directory
+    name = clean(F.coalesce(blank_to_null("db_username"), F.when(~F.coalesce(is_object_event(), F.lit(False)), blank_to_null("userName"))))
     return F.coalesce(name.isin([u for u in users if u]), F.lit(False))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,31 +15,48 @@ from attestry.schemas import DELIVERY_PAYLOAD
 
 
 def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def text(raw: bytes | None) -> str:
+    def text(raw: bytes | None) -> tuple[str | None, str | None]:
+        if raw is None:
+            return None, "not base64"
         try:
             plain = gzip.decompress(raw)
-        except OSError:
+        except gzip.BadGzipFile:
             plain = raw
-        return bytes(plain).decode("utf-8", errors="replace")
+        except (EOFError, OSError, zlib.error):
+            return None, "broken gzip"
+        return bytes(plain).decode("utf-8", errors="replace"), None
 
     for pdf in batches:
-        pdf["payload"] = pdf.pop("raw").map(text)
+        told = [text(None if raw is None else bytes(raw)) for raw in pdf.pop("raw")]
+        pdf["payload"], pdf["problem"] = [t for t, _ in told], [p for _, p in told]
         yield pdf
 
 
+def _opened(deliveries: DataFrame, data: str) -> DataFrame:
+    """Deliveries with parsed content ``p``, or a ``problem``; those without data are left out."""
+    keep = [f for f in deliveries.schema if f.name != data]
+    raw = deliveries.where(F.coalesce(F.col(data), F.lit("")) != "").select(
+        *[f.name for f in keep], F.try_to_binary(data, F.lit("base64")).alias("raw"))
+    out = StructType([*keep, StructField("payload", StringType()), StructField("problem", StringType())])
+    parsed = raw.mapInPandas(_inflate, out).withColumn("p", F.from_json("payload", DELIVERY_PAYLOAD))
+    return parsed.withColumn("problem", F.coalesce("problem", F.when(F.col("p.logEvents").isNull(), F.lit("no log events"))))
+
+
+def rejected_deliveries(deliveries: DataFrame, data: str = "data") -> DataFrame:
+    """Deliveries that can't be read, with their ``problem``: for a dead-letter table."""
+    return _opened(deliveries, data).where("problem is not null").drop("payload", "p")
+
+
 def decode_deliveries(deliveries: DataFrame, data: str = "data") -> DataFrame:
     """Base64 gzip deliveries to one row per log message.
 
     Deliveries that are not gzip count as plain JSON; empty data gives no rows, a
     missing message is an empty line.  Spark has no gunzip function, so only that
-    step runs in Python, batch-wise.
+    step runs in Python, batch-wise.  What can't be read is in
+    :func:`rejected_deliveries`.
     """
-    keep = [f for f in deliveries.schema if f.name != data]
-    raw = deliveries.where(F.coalesce(F.col(data), F.lit("")) != "").select(
-        *[f.name for f in keep], F.unbase64(data).alias("raw"))
-    out = StructType([*keep, StructField("payload", StringType())])
-    parsed = raw.mapInPandas(_inflate, out).withColumn("p", F.from_json("payload", DELIVERY_PAYLOAD))
-    names = [f.name for f in keep]
+    names = [c for c in deliveries.columns if c != data]
+    parsed = _opened(deliveries, data).where("problem is null")
     return parsed.select(*names, F.col("p.logGroup").alias("log_group"), F.posexplode("p.logEvents").alias("line_no", "e")).select(
         *names, "log_group", "line_no", F.timestamp_millis("e.timestamp").alias("log_ts"),
         F.coalesce("e.message", F.lit("")).alias("message"))

@@ -17,8 +17,12 @@ from attestry.operators.evidence import clean_index
 from attestry.schemas import LISTING_PAGE, strings
 
 
+#: Quotes in quoted cells are doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
 class EvidenceSource(Protocol):
-    """What a compliance tool has to offer: two tables."""
+    """What an audit tool has to offer: two tables."""
 
     def controls(self, framework: str) -> DataFrame: ...
 
@@ -31,9 +35,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Evidence index CSV; an absent file is an empty index."""
+    """Evidence index CSV, quoted as in RFC 4180; an absent file is an empty index."""
     try:
-        raw = spark.read.option("header", True).csv(path)
+        raw = spark.read.options(**CSV, multiLine=True).csv(path)
     except AnalysisException:
         raw = spark.createDataFrame([], strings(*V.EVIDENCE_COLUMNS))
     return clean_index(raw).select(*V.EVIDENCE_COLUMNS)

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.operators.controls import ordered_lines
+from attestry.sources.files import CSV
 
 
 def write_index(index: DataFrame, path: str, single_file: bool = False) -> None:
     """Evidence index as CSV with the fixed column order."""
     df = index.select(*V.EVIDENCE_COLUMNS)
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_inventory(inventory: DataFrame, csv_path: str, json_path: str | None = None) -> None:
     """Control inventory as CSV, on request also JSON lines."""
-    inventory.write.mode("overwrite").option("header", True).csv(csv_path)
+    inventory.write.mode("overwrite").options(**CSV).csv(csv_path)
     if json_path:
         inventory.write.mode("overwrite").json(json_path)
 
@@ -28,8 +29,8 @@ def write_skeletons(lines: DataFrame, path: str) -> None:
 
 
 def write_requests(rows: DataFrame, path: str) -> None:
-    """Request table, partitioned by local day so a day's scan reads one folder."""
-    rows.repartition("local_date").write.mode("append").partitionBy("local_date").parquet(path)
+    """Request table, partitioned by local day so a day's scan reads one folder; a large day gets several files."""
+    rows.hint("rebalance", "local_date").write.mode("append").partitionBy("local_date").parquet(path)
 
 
 def write_report(violations: DataFrame, path: str, format: str = "json") -> None:
@@ -50,7 +51,7 @@ def write_report(violations: DataFrame, path: str, format: str = "json") -> None
         df = df.select(*flat)
     writer = df.write.mode("overwrite").format(format)
     if format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
     if format == "xml":
         writer = writer.option("rowTag", "violation")
     writer.save(path)

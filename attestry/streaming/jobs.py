@@ -68,12 +68,14 @@ def reconcile_stream(events: DataFrame, requests: DataFrame, zone: str, delay: s
     A left outer interval join on (person, day, hour): an event waits until the
     watermarks rule out a covering window.  The window test is on event time, so
     a late request never excuses an earlier access.  An event in two overlapping
-    windows comes out once for each.  ``events``: ord, user_id, event_ts,
-    local_date.
+    windows comes out once for each.  Events without a person match nothing and
+    pass by the join, so they are neither buffered nor gathered under one null
+    key.  ``events``: ord, user_id, event_ts, local_date.
     """
-    left = events.select(
-        "ord", "user_id", "event_ts", blank_to_null("user_id").alias("ident"), "local_date", C._hour("event_ts").alias("hour"),
-    ).withWatermark("event_ts", delay)
+    named = events.select(
+        "ord", "user_id", "event_ts", blank_to_null("user_id").alias("ident"), "local_date", C._hour("event_ts").alias("hour"))
+    nobody = named.where("ident is null").select("ord", "user_id", "event_ts", F.lit(False).alias("covered"))
+    left = named.where("ident is not null").withWatermark("event_ts", delay)
     right = request_windows_stream(requests, zone, delay)
     inside = (
         (col("ident") == col("w_ident")) & (col("local_date") == col("w_date")) & (col("hour") == col("w_hour"))
@@ -81,4 +83,4 @@ def reconcile_stream(events: DataFrame, requests: DataFrame, zone: str, delay: s
         & (col("event_ts") <= col("lo") + F.expr("interval 1 hour"))
     )
     joined = left.join(right, inside, "left_outer")
-    return joined.select("ord", "user_id", "event_ts", col("lo").isNotNull().alias("covered"))
+    return joined.select("ord", "user_id", "event_ts", col("lo").isNotNull().alias("covered")).unionByName(nobody)

@@ -245,7 +245,7 @@ def p7(t):
 
 
 @query("p6_db_user_whitelist", """
-SELECT ord, db_username FROM fx_audit WHERE coalesce(lower(trim(coalesce(db_username, user_name))) NOT IN ('v-user7','v-user18'), true)
+SELECT ord, db_username FROM fx_audit WHERE coalesce(lower(trim(CASE WHEN event_source IS NOT NULL THEN db_username ELSE coalesce(db_username, user_name) END)) NOT IN ('v-user7','v-user18'), true)
 """)
 def p6(t):
     rows = C.conform(S.union_sources(named_objects(t), curated(t).where("eventName <> 'VaultCredsIssued'")), "UTC")

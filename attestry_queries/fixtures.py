@@ -7,6 +7,7 @@ table; roles (request or issuance, bucket, actor) follow from row values.
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -128,6 +129,8 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):  # as on one machine, in tests
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="attestry-"))
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

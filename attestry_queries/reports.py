@@ -14,7 +14,6 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 PERIOD = {"start": "2024-01-01T00:00:00+00:00", "end": "2024-01-30T23:59:59+00:00",
           "start_local": "2024-01-01T01:00:00+01:00", "end_local": "2024-01-31T00:59:59+01:00"}
-LIMIT = 30000
 
 
 def query(name: str, sql: str | None = None):
@@ -113,7 +112,7 @@ def f25(t):
 
 
 def all_tickets(t):
-    return K.tickets(stored(A.violations(t), "violations"), PERIOD, "run", "SEC", "Task", ["audit", "violation"], by=[], limit=LIMIT)
+    return K.tickets(stored(A.violations(t), "violations"), PERIOD, "run", "SEC", "Task", ["audit", "violation"], by=[])
 
 
 LINE_SQL = """concat(chr(10), '| ', left(event_time, 16), ' | ', event_name, ' | ', resource_arn, ' | ', details, ' | **<Provide your justification here>** |')"""
