@@ -12,6 +12,7 @@ count as empty and give no ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 #: Pieces in each of two generations that a worker keeps, the longest that is kept, and tested pairs; they bound memory, not results.
-KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 400_000
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 150_000, 48, 400_000
 OUT_BYTES = 1 << 24
 
 # The split of the vocabulary's published pattern. The first spelling holds for texts of
@@ -309,9 +310,20 @@ def _ddl(frame: DataFrame) -> str:
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    ids = encode(documents.select("doc_id", "text"), "text", path).drop("text")
-    return decode(ids, "ids", path).select(
-        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document.
+
+    Encoded and decoded in one worker, so that neither ids nor texts travel to the JVM and back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = loaded(Vocabulary, path), loaded(Decoder, path)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                ids = encoder.encode(text.as_py() or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoder.decode(ids).encode()).hexdigest()))
+            number, coded, back = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(number, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
