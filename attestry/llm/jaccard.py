@@ -5,6 +5,9 @@ order that holds for all sets. Candidates come from an order that puts tokens se
 last; they must share prefix tokens under two hashed orders too before they are verified
 exactly. Equal sets are one node from the start.
 
+Prefixes are taken a little longer than that, so that linked sets share several tokens
+there; documents that share only a passage with others drop out by this alone.
+
 Links only matter up to connection, so a bucket of nodes that share a token first meets its
 smallest node. What that connects needs no more comparison inside the bucket. Small buckets
 then compare the nodes of different components; large ones compare, in blocks, the nodes
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from attestry.llm.graph import components
 from attestry.llm.shared import stored
@@ -32,7 +35,10 @@ from attestry.llm.words import Words, groups, mix, ngram_hashes, text_bytes
 
 #: Tokens counted together, the count from which a token is told of, and how many such tokens (the most frequent) the order knows.
 COUNTED_TOGETHER, OFTEN, KNOWN_TOKENS = 2_000_000, 8, 1_000_000
+HANDED_ON = 1_000_000
 SMALL_BUCKET, BLOCK_NODES = 32, 256
+#: Prefixes are longer by this share of the set, so that linked sets have to share as many tokens there.
+EXTRA_PERCENT = 7
 #: Rows up to which a list of documents is sent to all executors instead of shuffling the texts.
 SENT_ROWS = 1_000_000
 _ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93))
@@ -58,8 +64,19 @@ def _text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def needed(n: int, percent: int) -> int:
+    """Common tokens that a link needs of a set of ``n``."""
+    return (percent * n + 99) // 100
+
+
+def prefix_size(n: int, percent: int, shared: int = 1) -> int:
+    """So many first tokens hold ``shared`` common ones with any linked set whose prefix is taken so too."""
+    return n - needed(n, percent) + shared
+
+
+def shared_in_prefix(n: int) -> int:
+    """Common tokens that the prefix of a set of ``n`` is made long enough for."""
+    return max(1, EXTRA_PERCENT * n // 100)
 
 
 class Order:
@@ -70,7 +87,7 @@ class Order:
         self.tokens, self.seen = tokens[at], seen[at]
 
     def prefix(self, found: np.ndarray, percent: int) -> np.ndarray:
-        size = prefix_size(len(found), percent) if len(found) else 0
+        size = prefix_size(len(found), percent, shared_in_prefix(len(found))) if len(found) else 0
         if not len(self.tokens):
             return found[:size]
         at = np.minimum(np.searchsorted(self.tokens, found), len(self.tokens) - 1)
@@ -104,30 +121,46 @@ def often_seen(documents: DataFrame, n: int) -> Order:
     return Order(rows["token"].to_numpy(np.int64).view(np.uint64), rows["seen"].to_numpy(np.int64))
 
 
-def _described(documents: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """doc_id, row (a key of doc_id and text), n_shingles, node and check (two hashes of the set), prefix."""
+def set_hash(found: np.ndarray) -> int:
+    return int(mix(found).sum(dtype=np.uint64)) & (1 << 63) - 1
+
+
+def _described(documents: DataFrame, n: int) -> DataFrame:
+    """doc_id, row (a key of doc_id and text), n_shingles, node and check (two hashes of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, checks, prefixes = [], [], [], []
+            sizes, nodes, checks = [], [], []
             for found in _text_sets(batch.column(2), n):
                 sizes.append(len(found))
-                nodes.append(int(mix(found).sum(dtype=np.uint64)) & (1 << 63) - 1)
+                nodes.append(set_hash(found))
                 checks.append(int(np.bitwise_xor.reduce(mix(found * _ORDERS[0]))) >> 1 if len(found) else 0)
-                prefixes.append(order.prefix(found, percent).view(np.int64))
-            lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), values)],
-                ["doc_id", "row", "n_shingles", "node", "check", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (sizes, nodes, checks))], ["doc_id", "row", "n_shingles", "node", "check"])
+
+    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint")
+
+
+def _prefix_tokens(documents: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
+    """token and node for every token in the prefix of a document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, nodes, size = [], [], 0
+            for found in _text_sets(batch.column(0), n):
+                tokens.append(order.prefix(found, percent).view(np.int64))
+                nodes.append(np.full(len(tokens[-1]), set_hash(found)))
+                size += len(tokens[-1])
+                if size > HANDED_ON:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                    tokens, nodes, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
 
-    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(
-        run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint, prefix array<bigint>")
+    return documents.select("text").mapInArrow(run, "token bigint, node bigint")
 
 
-def _shared_tokens(described: DataFrame) -> DataFrame:
-    """token and node, once each, of the tokens that stand in the prefixes of two nodes or more.
+def _shared_tokens(rows: DataFrame) -> DataFrame:
+    """token and node, once each, of tokens that two nodes or more have; a few tokens of one node may stay.
 
     Rows are sorted by token and node over the whole table, so a frequent token spreads over partitions. A
     partition drops tokens that only one node has, but for its first and last, which may go on elsewhere.
@@ -152,16 +185,59 @@ def _shared_tokens(described: DataFrame) -> DataFrame:
         if len(held_token):
             yield pa.RecordBatch.from_arrays([pa.array(held_token), pa.array(held_node)], ["token", "node"])
 
-    rows = described.where("n_shingles > 0").select(F.explode("prefix").alias("token"), "node")
-    near = stored(rows.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(run, "token bigint, node bigint"), "shared-tokens")
-    wide = near.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
-    return stored(near.join(wide, "token"), "buckets")
+    return rows.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(run, "token bigint, node bigint")
+
+
+def _reserve(n: Column) -> Column:
+    """``shared_in_prefix`` as a column."""
+    return F.greatest(F.lit(1), F.floor(F.lit(EXTRA_PERCENT) * n / 100))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two sets are near enough in size."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def _buckets(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """token, node, n, size and lead of the tokens that still connect nodes; n is the set's size, lead the smallest node with its n.
+
+    A node with a link shares at least as many prefix tokens with one other node as the smallest set that it
+    can be linked with has in reserve. Nodes that share fewer with all others together have no link and go;
+    this is done twice, since their going leaves other tokens alone.
+    """
+    for turn in ("first", "second"):
+        wide = rows.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+        rows = rows.select("token", "node").join(wide, "token")
+        good = rows.groupBy("node").agg(F.count("*").alias("shared")).join(sizes, "node")
+        good = good.where(F.col("shared") >= _reserve(F.floor((F.lit(percent) * F.col("n") + 99) / 100))).select("node", "n")
+        rows = stored(rows.join(good, "node"), f"buckets-{turn}")
+    wide = rows.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
+    return stored(rows.join(wide, "token"), "buckets")
+
+
+def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Nodes with the smallest node of their buckets, where they share enough of them; the other pairs come later."""
+    pairs = buckets.where("node <> lead.node").groupBy(F.col("lead.node").alias("x"), F.col("node").alias("y"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.min("lead.n").alias("n_x"), F.min("n").alias("n_y"))
+    return pairs.where((F.col("shared") >= F.least(_reserve(F.col("n_x")), _reserve(F.col("n_y")))) & _may_link("n_x", "n_y", percent)).select("x", "y")
+
+
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs from different components that share a small bucket and, with what large ones may add, enough buckets."""
+    large = rows.where(F.col("size") > SMALL_BUCKET).groupBy("node").agg(F.count("*").alias("more"))
+    small = rows.where(F.col("size") <= SMALL_BUCKET).join(large, "node", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    small = small.groupBy("token").agg(F.collect_list(F.struct("node", "component", "n", "more")).alias("all"))
+    pairs = small.select(F.explode("all").alias("p"), "all").select("p", F.explode(F.filter("all", lambda q: (q["node"] > F.col("p.node")) & (q["component"] != F.col("p.component")))).alias("q"))
+    pairs = pairs.where(_may_link("p.n", "q.n", percent)).groupBy(F.col("p.node").alias("x"), F.col("q.node").alias("y")).agg(
+        F.count("*").alias("shared"), F.min(F.least("p.more", "q.more")).alias("more"), F.min(F.least(_reserve(F.col("p.n")), _reserve(F.col("q.n")))).alias("least"))
+    return pairs.where(F.col("shared") + F.col("more") >= F.col("least")).select("x", "y")
 
 
 def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """node and set (its hashes as bytes) of the given nodes, from one document of each."""
     rows = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     rows = stored(rows, "nodes")
+    repeated = described.groupBy("row").count().where("count > 1").join(rows, "row", "left_semi").limit(1).count()
     rows = F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +246,8 @@ def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, n:
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "set"])
 
     found = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(rows, "row")
-    return stored(found.select("node", "text").mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "sets")
+    sets = found.select("node", "text").mapInArrow(run, "node bigint, set binary")
+    return stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -254,19 +331,19 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join_components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, row, n_shingles and component_id of every row; see ``similar_documents``."""
     order = often_seen(documents, n)
-    described = stored(_described(documents, order, n, percent), "described")
+    described = stored(_described(documents, n), "described")
     wrong = described.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b")
     if wrong.limit(1).count():
         raise ValueError("two different sets have one hash; choose another multiplier")
-    buckets = _shared_tokens(described)
+    near = stored(_shared_tokens(_prefix_tokens(documents, order, n, percent)), "shared-tokens")
+    sizes = described.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    buckets = _buckets(near, sizes, percent)
     sets = _node_sets(documents, described, buckets.select("node").distinct(), n)
 
-    stars = buckets.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct()
+    stars = _star_pairs(buckets, percent)
     links = stored(_verified(stars, sets, percent), "star-links")
     rows = _labelled(buckets, links)
-    small = rows.where(F.col("size") <= SMALL_BUCKET).groupBy("token").agg(F.collect_list(F.struct("node", "component")).alias("all"))
-    pairs = small.select(F.explode("all").alias("p"), "all").select("p", F.explode(F.filter("all", lambda q: q["node"] > F.col("p.node"))).alias("q"))
-    pairs = pairs.where("p.component <> q.component").select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct()
+    pairs = _small_pairs(rows, percent)
     links = links.unionByName(stored(_verified(pairs, sets, percent), "small-links"))
     large = rows.where(F.col("size") > SMALL_BUCKET)
     if large.limit(1).count():
