@@ -32,7 +32,7 @@ from attestry.llm.words import Words, _power_tables, groups, mix, text_bytes
 PASSAGE, CORE = 50, 25
 STARTS = PASSAGE - CORE + 1
 #: Rows up to which a list of documents is sent to all executors instead of shuffling the texts.
-SENT_ROWS = 500_000
+SENT_ROWS = 200_000
 LAST = (1 << 63) - 1
 _PLACE_BITS = np.uint64(26)
 
@@ -97,8 +97,39 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, Words, Ranges]]:
         yield a, words, Ranges(words.hashes())
 
 
+def own_repeats(doc: np.ndarray, begin: np.ndarray, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of suffixes with equal keys in one document, those to compare with others, and the passages repeated within.
+
+    The first stays and so does the last that overlaps it: what they cover covers those between. All that don't
+    overlap the first repeat it, whatever other documents hold; they come back merged, as document, start and end.
+    """
+    keep = np.ones(len(key), dtype=bool)
+    order = np.lexsort((begin, key))
+    same = key[order][1:] == key[order][:-1]
+    twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    at = order[twice]
+    if not len(at):
+        return keep, (np.zeros(0, np.int64),) * 3
+    head = np.concatenate(([True], key[at][1:] != key[at][:-1]))
+    first = begin[at][head][np.cumsum(head) - 1]
+    overlaps = begin[at] - first < words[at]
+    last = overlaps & np.concatenate((~overlaps[1:] | head[1:], [True]))
+    keep[at] = head | last
+    own = at[~overlaps]
+    own = own[np.lexsort((begin[own], doc[own]))]
+    if not len(own):
+        return keep, (np.zeros(0, np.int64),) * 3
+    far = np.int64(1) << 40
+    ends = np.maximum.accumulate(doc[own] * far + begin[own] + words[own])
+    fresh = np.concatenate(([True], doc[own][1:] * far + begin[own][1:] > ends[:-1]))
+    return keep, (doc[own][fresh], begin[own][fresh], ends[np.concatenate((np.flatnonzero(fresh)[1:], [len(own)])) - 1] - doc[own][fresh] * far)
+
+
 def _suffixes(documents: DataFrame) -> DataFrame:
-    """core, span, doc, mark and place of every kept suffix; place packs its start, words to the left and stretches."""
+    """core, span, doc, mark and place of kept suffixes; place packs start, words to the left and stretches.
+
+    Rows with ``own_end`` are passages that repeat within their document, from place to there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,15 +138,20 @@ def _suffixes(documents: DataFrame) -> DataFrame:
                 start, first, last = suffix_starts(words, ranges)
                 if not len(start):
                     continue
-                left = start - first
+                own = words.doc[first]
+                left, begin = start - first, first - words.first[own]
                 core = ranges.of(start, start + CORE)
                 span = mix(ranges.of(first, last + PASSAGE) + left.astype(np.uint64))
-                own = words.doc[first]
-                place = (start - words.first[own]) << 16 | left << 8 | (last - first)
-                rows = pa.array(own + a)
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), doc.take(rows), mark.take(rows), pa.array(place)], ["core", "span", "doc", "mark", "place"])
+                keep, (own_doc, own_begin, own_end) = own_repeats(own, begin, last - first + PASSAGE, mix(core ^ mix(span + mix(own.astype(np.uint64)))))
+                place = (begin + left) << 16 | left << 8 | (last - first)
+                rows = pa.array(np.concatenate((own[keep], own_doc)) + a)
+                none = np.zeros(len(own_doc), np.int64)
+                ends = pa.array(np.concatenate((np.zeros(int(keep.sum()), np.int64), own_end)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate((core.view(np.int64)[keep], none))), pa.array(np.concatenate((span.view(np.int64)[keep], none))), doc.take(rows), mark.take(rows),
+                     pa.array(np.concatenate((place[keep], own_begin))), ends], [*ROW, "own_end"])
 
-    return _keyed(documents).select("doc", "mark", "text").mapInArrow(run, "core bigint, span bigint, doc bigint, mark int, place bigint")
+    return _keyed(documents).select("doc", "mark", "text").mapInArrow(run, "core bigint, span bigint, doc bigint, mark int, place bigint, own_end bigint")
 
 
 ROW = ("core", "span", "doc", "mark", "place")
@@ -126,14 +162,17 @@ def _neighbours(rows: DataFrame, name: str) -> DataFrame:
     """Sort suffixes over the whole table and compare neighbours.
 
     Adds the first suffix with the same span, and whether others with the same core differ. Suffixes whose
-    core stands alone are dropped. Rows of one core may lie on both sides of a partition's edge; cores at
-    edges, two for each partition at most, are grouped once more.
+    core stands alone are dropped. Rows of one core may lie on both sides of a partition's edge; of the cores
+    at edges, the first row of every span in each partition is grouped once more.
     """
 
     names = [x.split(" ")[0] for x in FOUND.split(", ")]
 
     def told(part: list[np.ndarray], edge: np.ndarray) -> pa.RecordBatch:
-        """Whole runs of equal cores, or parts of a run that counts as one at an edge."""
+        """Whole runs of equal cores, or parts of a run that counts as one at an edge.
+
+        At edges only first rows, and those that overlap them, wait for the rows of other partitions.
+        """
         core, span, doc, mark, place = part
         same_core = core[1:] == core[:-1]
         same = same_core & (span[1:] == span[:-1])
@@ -143,7 +182,9 @@ def _neighbours(rows: DataFrame, name: str) -> DataFrame:
         length = np.diff(np.concatenate((runs, [len(core)])))
         mixed = np.add.reduceat(np.concatenate(([0], (same_core & ~same).astype(np.int64))), runs) > 0
         kept = np.repeat(length > 1, length) | edge
-        columns = [*part, doc[source], mark[source], place[source], np.repeat(mixed, length), edge]
+        begin = (place >> 16) - (place >> 8 & 255)
+        near = (doc == doc[source]) & (mark == mark[source]) & (begin - begin[source] < (place & 255) + PASSAGE)
+        columns = [*part, doc[source], mark[source], place[source], np.repeat(mixed, length), edge & near]
         return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +210,8 @@ def _neighbours(rows: DataFrame, name: str) -> DataFrame:
 
     ordered = rows.repartitionByRange(*ROW).sortWithinPartitions(*ROW)
     found = stored(ordered.mapInArrow(run, FOUND), name)
-    # a core that any row marks as one at an edge is grouped again as a whole
-    cores = found.where("edge").select("core").distinct()
-    inner = found.join(cores, "core", "left_anti").drop("edge")
-    edges = found.join(cores, "core", "left_semi").select(*ROW).distinct()
+    inner = found.where("not edge").drop("edge")
+    edges = found.where("edge").select(*ROW)
     firsts = edges.groupBy("core", "span").agg(F.min(F.struct("doc", "mark", "place")).alias("first"))
     several = firsts.groupBy("core").agg(F.count("*").alias("n"))
     firsts = firsts.join(several, "core").select("core", "span", "first", (F.col("n") > 1).alias("shared"))
@@ -186,7 +225,7 @@ LONG_RUN = 50_000
 
 
 def _stretches(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """All stretches around the chosen suffixes: core is the hash of the stretch, place where it starts."""
+    """All stretches around the chosen suffixes, as suffixes of one stretch each: core is its hash."""
     listed = chosen.groupBy("doc", "mark").agg(F.collect_list("place").alias("places"))
     keyed = _with_list(documents, listed, "chosen")
 
@@ -202,7 +241,7 @@ def _stretches(documents: DataFrame, chosen: DataFrame) -> DataFrame:
                     at = starts + words.first[k]
                     rows = pa.array(np.full(len(at), a + k))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ranges.of(at, at + PASSAGE).view(np.int64)), pa.array(np.zeros(len(at), np.int64)), doc.take(rows), mark.take(rows), pa.array(starts)], list(ROW))
+                        [pa.array(ranges.of(at, at + PASSAGE).view(np.int64)), pa.array(np.zeros(len(at), np.int64)), doc.take(rows), mark.take(rows), pa.array(starts << 16)], list(ROW))
 
     return keyed.select("doc", "mark", "text", "places").mapInArrow(run, "core bigint, span bigint, doc bigint, mark int, place bigint")
 
@@ -216,18 +255,22 @@ def _with_list(documents: DataFrame, listed: DataFrame, name: str) -> DataFrame:
 
 def repeated(documents: DataFrame) -> DataFrame:
     """doc, mark and the merged repeated passages of each document that holds any: start, end, sources."""
-    found = _neighbours(_suffixes(documents), "suffixes")
+    kept = stored(_suffixes(documents), "kept-suffixes")
+    within = kept.where("own_end > 0").select("doc", "mark", F.col("place").alias("begin"), F.col("own_end").alias("end"), F.col("doc").alias("first_doc"))
+    found = _neighbours(kept.where("own_end = 0").select(*ROW), "suffixes")
     start = lambda place: F.shiftright(place, 16) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
-    found = found.withColumns({"begin": start(F.col("place")), "first_begin": start(F.col("first_place")), "words": F.col("place").bitwiseAND(F.lit(255)) + PASSAGE})
-    own = (F.col("doc") == F.col("first_doc")) & (F.col("mark") == F.col("first_mark"))
-    is_first = own & (F.col("place") == F.col("first_place"))
-    overlaps = own & (F.col("begin") - F.col("first_begin") < F.col("words"))
-    copies = found.where(~overlaps).select("doc", "mark", "begin", (F.col("begin") + F.col("words")).alias("end"), "first_doc")
-    chosen = found.where(F.col("shared") & (is_first | overlaps)).select("doc", "mark", "place")
-    near = _neighbours(_stretches(documents, chosen), "stretches")
-    own_near = (F.col("doc") == F.col("first_doc")) & (F.col("mark") == F.col("first_mark")) & (F.col("place") - F.col("first_place") < PASSAGE)
-    near = near.where(~own_near).select("doc", "mark", F.col("place").alias("begin"), (F.col("place") + PASSAGE).alias("end"), "first_doc")
-    pieces = copies.unionByName(near).groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end", "first_doc")).alias("pieces"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        own = (F.col("doc") == F.col("first_doc")) & (F.col("mark") == F.col("first_mark"))
+        words = F.col("place").bitwiseAND(F.lit(255)) + PASSAGE
+        return rows.withColumns({"begin": start(F.col("place")), "end": start(F.col("place")) + words, "overlaps": own & (start(F.col("place")) - start(F.col("first_place")) < words)})
+
+    found = placed(found)
+    # the first of a class overlaps itself; so do later ones that no other document explains
+    chosen = found.where(F.col("shared") & F.col("overlaps")).select("doc", "mark", "place")
+    near = placed(_neighbours(_stretches(documents, chosen), "stretches"))
+    copies = found.unionByName(near).where("not overlaps").select("doc", "mark", "begin", "end", "first_doc")
+    pieces = copies.unionByName(within).groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end", "first_doc")).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
