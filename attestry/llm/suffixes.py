@@ -100,8 +100,9 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, Words, Ranges]]:
 def own_repeats(doc: np.ndarray, begin: np.ndarray, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of suffixes with equal keys in one document, those to compare with others, and the passages repeated within.
 
-    The first stays and so does the last that overlaps it: what they cover covers those between. All that don't
-    overlap the first repeat it, whatever other documents hold; they come back merged, as document, start and end.
+    The first stays and so do all that overlap it: each has stretches of its own, and others may share only some of
+    them. All that don't overlap the first repeat it, whatever other documents hold; they come back merged, as
+    document, start and end.
     """
     keep = np.ones(len(key), dtype=bool)
     order = np.lexsort((begin, key))
@@ -113,8 +114,7 @@ def own_repeats(doc: np.ndarray, begin: np.ndarray, words: np.ndarray, key: np.n
     head = np.concatenate(([True], key[at][1:] != key[at][:-1]))
     first = begin[at][head][np.cumsum(head) - 1]
     overlaps = begin[at] - first < words[at]
-    last = overlaps & np.concatenate((~overlaps[1:] | head[1:], [True]))
-    keep[at] = head | last
+    keep[at] = overlaps
     own = at[~overlaps]
     own = own[np.lexsort((begin[own], doc[own]))]
     if not len(own):

@@ -200,6 +200,20 @@ def test_passages(spark, monkeypatch, seed, vocab):
         assert WORD.findall(r.text or "") == [w for i, w in enumerate(words) if i not in gone]
 
 
+def test_passages_of_repeated_lines(spark):
+    """A document that repeats a line, and an earlier one with a little more than a passage of it."""
+    rng, rows = random.Random(11), []
+    for period in range(10, 50):
+        for n in (51, 56, 60, 65, 70):
+            line = [f"p{period}n{n}v{rng.randrange(1 << 40)}" for _ in range(period)]
+            whole, at = line * (1 + 350 // period), rng.randrange(period)
+            rows += [(len(rows), " ".join(whole[at : at + n])), (len(rows) + 1, " ".join(whole[: period * rng.randint(5, 8)]))]
+    got = {}
+    for r in suffixes.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect():
+        got.setdefault(r.doc_id, []).append([r.start_word, r.start_word + r.n_words])
+    assert {d: sorted(v) for d, v in got.items()} == brute_passages(rows)
+
+
 def test_passages_odd_tables(odd, none):
     assert suffixes.passages(none).count() == 0 and suffixes.without_repeats(none).count() == 0
     left = suffixes.without_repeats(odd)
