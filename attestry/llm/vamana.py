@@ -4,7 +4,9 @@ Every distinct vector is a node. Nodes join in growing batches: a greedy beam se
 graph so far proposes neighbours, relaxed distance pruning keeps diverse ones among them, and
 edges back are pruned alike. A query walks every shard's graph by beam search; what it finds
 is scored in double precision and merged. Inner product becomes distance by one more
-component that gives all vectors the same length.
+component that gives all vectors the same length. Graphs are built by what that component
+falls short of the largest length, which rounding spares however large that is; queries go by
+the inner product itself and start also at the longest vectors, which few edges may reach.
 
 Equal vectors are one node that carries the smallest ids of its class, as many as a query can
 ask for, so copies neither fill neighbour lists nor hide each other.
@@ -25,7 +27,7 @@ from attestry.llm.shared import stored
 
 SHARD_NODES, BLOCK_QUERIES, SALTS = 8_192, 4_096, 16
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, AT_ONCE = 32, 64, 96, 1.2, 4
-FIRST_BATCH, LARGEST_BATCH = 128, 512
+FIRST_BATCH, LARGEST_BATCH, LONGEST = 128, 512, 31
 
 
 def _distances(points: np.ndarray, norms: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -34,13 +36,14 @@ def _distances(points: np.ndarray, norms: np.ndarray, at: np.ndarray, wanted: np
     return np.where(at < 0, np.float32(np.inf), far)
 
 
-def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, entry: int, wanted: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ``width`` nearest points found, nearest first (-1 pads), and their distances."""
-    q = len(wanted)
+def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, entries: np.ndarray, wanted: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ``width`` nearest points found, nearest first (-1 pads), and their distances. With norms of 0 the largest inner products."""
+    q, entries = len(wanted), entries[:width]
     beam = np.full((q, width), -1, dtype=np.int64)
-    beam[:, 0] = entry
     far = np.full((q, width), np.inf, dtype=np.float32)
-    far[:, :1] = _distances(points, norms, beam[:, :1], wanted)
+    begin = norms[entries] - 2 * wanted @ points[entries].T
+    order = np.argsort(begin, axis=1, kind="stable")
+    beam[:, : len(entries)], far[:, : len(entries)] = entries[order], np.take_along_axis(begin, order, axis=1)
     done = np.zeros((q, width), dtype=bool)
     rows = np.arange(q)
     while len(rows):
@@ -71,32 +74,38 @@ def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, entry:
     return beam, far
 
 
-def robust_prune(points: np.ndarray, norms: np.ndarray, nodes: np.ndarray, near: np.ndarray) -> np.ndarray:
+def longest(norms: np.ndarray) -> np.ndarray:
+    return np.argsort(-norms, kind="stable")[:LONGEST]
+
+
+def robust_prune(points: np.ndarray, nodes: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Diverse neighbours of each node from its list: a candidate goes once a kept one is nearer to it, times ``RELAX``, than the node."""
     near = np.where(near == nodes[:, None], -1, near)
-    dist = _distances(points, norms, near, points[nodes]) + norms[nodes][:, None]
+    # as seen from the node, so that a kept one is no farther than what it is compared with and rounding is small against that
+    vectors = points[near] - points[nodes][:, None]
+    size = np.einsum("qrd,qrd->qr", vectors, vectors)
+    dist = np.where(near < 0, np.float32(np.inf), size)
     order = np.argsort(dist, axis=1, kind="stable")
-    near, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
-    vectors, size = points[near], norms[near]
-    alive = near >= 0
+    near, dist, size = (np.take_along_axis(x, order, axis=1) for x in (near, dist, size))
+    vectors = np.take_along_axis(vectors, order[:, :, None], axis=1)
+    alive, rows = near >= 0, np.arange(len(nodes))
     out = np.full((len(nodes), DEGREE), -1, dtype=np.int64)
     for k in range(DEGREE):
         some = alive.any(axis=1)
         if not some.any():
             break
         pick = alive.argmax(axis=1)
-        chosen = near[np.arange(len(nodes)), pick]
-        out[some, k] = chosen[some]
-        apart = size + norms[chosen][:, None] - 2 * np.einsum("qrd,qd->qr", vectors, points[chosen])
+        out[some, k] = near[rows, pick][some]
+        apart = size + size[rows, pick][:, None] - 2 * np.einsum("qrd,qd->qr", vectors, vectors[rows, pick])
         alive &= ~((RELAX**2 * apart <= dist) & some[:, None])
-        alive[np.arange(len(nodes)), pick] = False
+        alive[rows, pick] = False
     return out
 
 
 class PrunedGraph:
-    """A graph over the points of one shard."""
+    """A graph over the points of one shard. ``first`` are points that searches start at besides the entry."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, first: np.ndarray):
         n = len(points)
         self.points = points.astype(np.float32)
         self.norms = np.einsum("nd,nd->n", self.points, self.points)
@@ -104,19 +113,20 @@ class PrunedGraph:
         center = self.points.mean(axis=0)
         self.entry = int((self.norms - 2 * self.points @ center).argmin()) if n else 0
         order = np.random.default_rng(7).permutation(n)
-        order = np.concatenate(([self.entry], order[order != self.entry])) if n else order
+        self.entries = np.unique(np.append(first, self.entry)) if n else np.zeros(0, np.int64)
+        order = np.concatenate((self.entries, order[~np.isin(order, self.entries)]))
         first = order[:FIRST_BATCH]
         if len(first):
             self._add(first, np.broadcast_to(first, (len(first), len(first))))
         at = len(first)
         while at < n:
             batch = order[at : at + min(at, LARGEST_BATCH)]
-            found, _ = beam_search(self.points, self.norms, self.edges, self.entry, self.points[batch], BUILD_BEAM)
+            found, _ = beam_search(self.points, self.norms, self.edges, self.entries, self.points[batch], BUILD_BEAM)
             self._add(batch, found)
             at += len(batch)
 
     def _add(self, nodes: np.ndarray, near: np.ndarray) -> None:
-        kept = robust_prune(self.points, self.norms, nodes, near)
+        kept = robust_prune(self.points, nodes, near)
         self.edges[nodes] = kept
         source, target = np.repeat(nodes, DEGREE), kept.ravel()
         source, target = source[target >= 0], target[target >= 0]
@@ -139,7 +149,7 @@ class PrunedGraph:
         full = (near >= 0).sum(axis=1) > DEGREE
         self.edges[nodes[~full]] = near[~full][:, :DEGREE]
         if full.any():
-            self.edges[nodes[full]] = robust_prune(self.points, self.norms, nodes[full], near[full])
+            self.edges[nodes[full]] = robust_prune(self.points, nodes[full], near[full])
 
 
 def _valid(frame: DataFrame) -> DataFrame:
@@ -161,11 +171,12 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         points = np.array(part["embedding"].to_list(), dtype=np.float64)
-        rest = np.sqrt(np.maximum(largest - part["norm"].to_numpy(), 0))
-        graph = PrunedGraph(np.column_stack([points, rest]))
-        return part[["dims", "shard", "embedding", "ids"]].assign(place=np.arange(len(part)), entry=graph.entry, rest=rest, edges=[e[e >= 0].tolist() for e in graph.edges])
+        norm = part["norm"].to_numpy()
+        short = norm / (np.sqrt(largest) + np.sqrt(np.maximum(largest - norm, 0)))
+        graph = PrunedGraph(np.column_stack([points, short]), longest(norm))
+        return part[["dims", "shard", "embedding", "ids"]].assign(place=np.arange(len(part)), entry=graph.entry, edges=[e[e >= 0].tolist() for e in graph.edges])
 
-    return stored(placed.groupBy("dims", "shard").applyInPandas(run, "dims int, shard int, embedding array<float>, ids array<bigint>, place bigint, entry bigint, rest double, edges array<bigint>"), "graphs")
+    return stored(placed.groupBy("dims", "shard").applyInPandas(run, "dims int, shard int, embedding array<float>, ids array<bigint>, place bigint, entry bigint, edges array<bigint>"), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -182,15 +193,16 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
         if len(left) and len(right):
             left = left.sort_values("place")
             exact = np.array(left["embedding"].to_list(), dtype=np.float64)
-            points = np.column_stack([exact, left["rest"].to_numpy()]).astype(np.float32)
-            norms, edges = np.einsum("nd,nd->n", points, points), np.full((len(left), DEGREE), -1, dtype=np.int64)
+            points = exact.astype(np.float32)
+            entries = np.unique(np.append(longest(np.einsum("nd,nd->n", exact, exact)), left["entry"].iloc[0]))
+            norms, edges = np.zeros(len(points), dtype=np.float32), np.full((len(left), DEGREE), -1, dtype=np.int64)
             for k_, e in enumerate(left["edges"]):
                 edges[k_, : len(e)] = e
             ids, asked_ids = left["ids"].to_list(), right["query_id"].to_numpy()
             wanted = np.array(right["wanted"].to_list(), dtype=np.float64)
             for a in range(0, len(wanted), LARGEST_BATCH):
                 part = wanted[a : a + LARGEST_BATCH]
-                found, _ = beam_search(points, norms, edges, int(left["entry"].iloc[0]), np.column_stack([part, np.zeros(len(part))]).astype(np.float32), beam)
+                found, _ = beam_search(points, norms, edges, entries, part.astype(np.float32), beam)
                 for j, nodes in enumerate(found):
                     nodes, own = nodes[nodes >= 0], asked_ids[a + j]
                     scores = (exact[nodes] * part[j]).sum(axis=1)

@@ -68,6 +68,26 @@ def test_graph_recall(spark):
     assert len(vamana.nearest(frame.where("vec_id < 3")).collect()) == 2
 
 
+@pytest.mark.parametrize("length", [1e4, 1e6])
+def test_graph_recall_with_one_long_vector(spark, length):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(2000, 32))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[777] *= length
+    points = points.astype(np.float32)
+    frame = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(points)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in vamana.nearest(frame).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 2000, 20))
+    recall, exact = [], points.astype(np.float64)
+    for q, found in got.items():
+        best = [k for k in np.argsort(-(exact @ exact[q]), kind="stable").tolist() if k != q][:20]
+        assert (777 in found) == (777 in best)
+        recall.append(len(found & set(best)) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_urls(spark):
     rows = [(1, "https://WWW.A.example.net/en/x?q#f"), (2, "http://b.example.net"), (3, "http://example.com/de/"), (4, "http://x.example.com/de"), (5, "http://notexample.com/de/"),
             (6, "ftp://q.org/fr/y"), (7, None), (8, "no scheme"), (9, "http://adult-x.example.org/a?ref=1&b=2&a=1"), (10, "http://ADULT-x.example.org:80/a?a=1&utm_source=z&b=2"),
