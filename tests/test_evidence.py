@@ -13,6 +13,7 @@ from attestry.operators import governance as GOV
 from attestry.operators import quality as Q
 from attestry.sources import files as S
 from attestry.sources import sinks
+from attestry_queries import evidence
 
 
 def link(i, family, doc, name="Policy.PDF", ok=True, upload="u"):
@@ -165,3 +166,9 @@ def test_sink_rejects(spark, tmp_path, mode):
     else:
         sinks.append_events(rows, str(tmp_path / "x"), bad)
         assert spark.read.parquet(str(tmp_path / "x")).count() == 3
+
+
+def test_documents_with_headings_are_split(table):
+    docs = table([{"doc_id": 7, "lang": "en", "text": "one\n## AC-2 Own\ntwo!\n## no control\nrest"}, {"doc_id": 8, "lang": "de", "text": "plain"}])
+    rows = {(r.family, r.control, r.title): r.body_chars for r in evidence.s14_sections({"documents": docs}).collect()}
+    assert rows == {("DOC7", "AM-7", "Heading en"): 3, ("DOC7", "AC-2", "Own"): 4, ("DOC8", "AM-8", "Heading de"): 5}
