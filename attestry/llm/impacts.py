@@ -83,7 +83,7 @@ class ImpactIndex:
                 best = np.argpartition(-column, some - 1)[:some]
                 best = best[column[best] > least]
                 reach = np.sort(exact[best] @ wanted[:, j])[-k] if len(best) >= k else least + 1
-                left.append(np.flatnonzero(column >= reach))
+                left.append(np.flatnonzero((column >= reach) & (column > least)))
             if not waiting.any() or max(map(len, left)) * LEFT_SHARE <= n:
                 break
         found = []

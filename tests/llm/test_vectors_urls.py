@@ -47,6 +47,12 @@ def test_top_k_small_tables(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(rows, key=lambda r: r["rank"])] == [(0, 1, None), (0, 2, 1)]
 
 
+def test_top_k_leaves_out_the_own_row_of_long_vectors(spark):
+    frame = spark.createDataFrame([(0, [100.0, 200.0]), (1, [50.0, -100.0]), (50, [300.0, 1.0])], "vec_id bigint, embedding array<float>")
+    rows = impacts.top_vectors(frame).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in rows) == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
+
+
 def test_graph_recall(spark):
     rows, odd = vectors(2500, 24, 2, copies=200)
     frame = spark.createDataFrame([(k, v, 1) for k, v in rows + odd], "vec_id bigint, embedding array<float>, rank int")
