@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from attestry.llm import bpe, impacts, jaccard, packing, quality, suffixes, toxicity, urls, vamana, warc
+from attestry.llm import bpe, impacts, jaccard, merkle, packing, quality, resampling, sanitise, suffixes, toxicity, urls, vamana, warc
 from attestry.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.private_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -65,7 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
     "op10_passages": op10_passages,
+    "op11_sanitise": op11_sanitise,
+    "op12_resample": op12_resample,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_impacts": impacts.TOP_SQL, "op6_urls": urls.VERDICTS_SQL}
+ORACLES: dict[str, str] = {"op4_impacts": impacts.TOP_SQL, "op6_urls": urls.VERDICTS_SQL, "op12_resample": resampling.DRAWN_SQL, "op13_merkle": merkle.PROOFS_SQL}
