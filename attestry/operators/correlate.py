@@ -10,11 +10,14 @@ from attestry import fixed_values as V
 from attestry.functions import identity, resources
 from attestry.functions.text import blank_to_null, clean, col, filled, first_filled
 from attestry.functions.times import day_bounds, local_date, parse_time
+from attestry.operators.intervals import interval_union
 from attestry.operators.joins import SALTS, first_per_key, salted_left_join, with_columns_or_null
 from attestry.operators.whitelist import drop_whitelisted
 from attestry.schemas import EVENT_COLUMNS, USER_IDENTITY
 
 HOUR = 3600
+#: Seconds; more than any local day has.
+LONG_SPAN = 26 * HOUR
 REQUEST_FIELDS = ["jira_issue_id", "justification", "request_timestamp", "duration_minutes"]
 
 
@@ -92,39 +95,57 @@ def latest_request(known: DataFrame, keys: list[str]) -> DataFrame:
     ).alias("matched_request"))
 
 
-def hourly_windows(known: DataFrame, keys: list[str], zone: str | None) -> DataFrame:
-    """Access windows cut into hours: per (keys, hour) an array of (lo, hi), inclusive.
-
-    Equal pieces merge on the map side already, and a piece starts and ends inside
-    its hour, so an array holds at most one entry per start second and allowed
-    duration however many requests there are.  With ``zone`` windows end with
-    their local day.
-    """
+def access_spans(known: DataFrame, keys: list[str], zone: str | None) -> DataFrame:
+    """Disjoint spans (keys, lo, hi) that the access windows of a person cover; with ``zone`` they end with their local day."""
     df = _windows(known).where("win_start is not null")
     if zone:
         first, following = day_bounds("local_date", zone)
         df = df.withColumns({"win_start": F.greatest("win_start", first), "win_end": F.least("win_end", following)})
-    df = df.where("win_start <= win_end").select(
-        *keys, "win_start", "win_end", F.explode(F.sequence(_hour("win_start"), _hour("win_end"))).alias("hour"))
+    return interval_union(df.select(*keys, col("win_start").alias("lo"), col("win_end").alias("hi")), keys, "lo", "hi")
+
+
+def _long(lo: Column | str = "lo", hi: Column | str = "hi") -> Column:
+    return col(hi).cast("double") - col(lo).cast("double") > LONG_SPAN
+
+
+def hourly_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of at most ``LONG_SPAN`` seconds cut at hours: per (keys, hour) an array of (lo, hi), inclusive.
+
+    A span gives a few pieces at most, and an array holds disjoint pieces of one hour.
+    """
+    df = spans.where(~_long()).withColumn("hour", F.explode(F.sequence(_hour("lo"), _hour("hi"))))
     opens = F.timestamp_seconds(col("hour") * HOUR)
-    pieces = df.select(*keys, "hour", F.greatest("win_start", opens).alias("lo"),
-                       F.least("win_end", F.timestamp_seconds((col("hour") + 1) * HOUR)).alias("hi"))
-    return pieces.groupBy(*keys, "hour").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
+    pieces = df.select(*keys, "hour", F.greatest("lo", opens).alias("lo"), F.least("hi", F.timestamp_seconds((col("hour") + 1) * HOUR)).alias("hi"))
+    return pieces.groupBy(*keys, "hour").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+
+
+def long_spans(spans: DataFrame) -> DataFrame:
+    """Spans of more than ``LONG_SPAN`` seconds, whole: per person an array of (lo, hi).
+
+    They are disjoint and longer than a day, so the array grows with the days that the data spans, never with the requests.
+    """
+    return spans.where(_long()).groupBy("ident").agg(F.collect_list(F.struct("lo", "hi")).alias("long_windows"))
 
 
-def with_coverage(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False) -> DataFrame:
+def with_coverage(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False, salts: int = SALTS) -> DataFrame:
     """Add ``covered``: the event lies inside an access window of its person.
 
-    Each event looks only at requests of its own local day; ``carry_over=True``
-    looks at all days.  The join key holds the hour, so a busy person's events
-    spread over the cluster and an event meets one row: the windows of its hour.
+    Each event looks only at requests of its own local day; ``carry_over=True`` looks at all
+    days.  Windows are united first.  The join key holds the hour, so a busy person's events
+    spread over the cluster and an event meets one row.  Windows of several days, which only
+    ``carry_over`` knows, stay whole and meet the event by its person: a window costs a few
+    rows however long it is.
     """
     keys = ["ident"] if carry_over else ["ident", "local_date"]
-    pieces = hourly_windows(requests_by_identifier(requests), keys, None if carry_over else zone)
+    spans = access_spans(requests_by_identifier(requests), keys, None if carry_over else zone)
     df = events.withColumns({"ident": blank_to_null("user_id"), "hour": _hour("event_ts")})
-    df = salted_left_join(df, pieces, [*keys, "hour"], "ord", salts=1)
-    inside = F.exists("windows", lambda w: col("event_ts").between(w["lo"], w["hi"]))
-    return df.withColumn("covered", F.coalesce(inside, F.lit(False))).drop("ident", "hour", "windows")
+    df = salted_left_join(df, hourly_spans(spans, keys), [*keys, "hour"], "ord", salts=1)
+    inside = lambda w: col("event_ts").between(w["lo"], w["hi"])
+    covered = F.coalesce(F.exists("windows", inside), F.lit(False))
+    if carry_over:
+        df = salted_left_join(df, long_spans(spans), ["ident"], "ord", salts)
+        covered = covered | F.coalesce(F.exists("long_windows", inside), F.lit(False))
+    return df.withColumn("covered", covered).drop("ident", "hour", "windows", "long_windows")
 
 
 def with_request(events: DataFrame, requests: DataFrame, carry_over: bool = False, salts: int = SALTS) -> DataFrame:
@@ -138,7 +159,7 @@ def with_request(events: DataFrame, requests: DataFrame, carry_over: bool = Fals
 def match_requests(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False,
                    salts: int = SALTS) -> DataFrame:
     """All events with ``covered`` and ``matched_request``."""
-    return with_request(with_coverage(events, requests, zone, carry_over), requests, carry_over, salts)
+    return with_request(with_coverage(events, requests, zone, carry_over, salts), requests, carry_over, salts)
 
 
 def unapproved(matched: DataFrame) -> DataFrame:

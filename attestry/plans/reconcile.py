@@ -55,6 +55,6 @@ def reconcile(objects: DataFrame, curated: DataFrame | None, requests: DataFrame
     request is looked up for the remaining few only.
     """
     rows = candidates(access_events(objects, curated, settings), tags, settings)
-    rows = C.with_coverage(rows, requests, settings.zone, settings.carry_over).where("not covered")
+    rows = C.with_coverage(rows, requests, settings.zone, settings.carry_over, settings.salts).where("not covered")
     rows = C.with_request(C.keep_first_violation(rows), requests, settings.carry_over, settings.salts)
     return C.as_violations(C.unapproved(rows))

@@ -45,3 +45,14 @@ def run_to_sink(stream: DataFrame, path: str, checkpoint: str, write=None) -> No
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def run_counted(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """As ``run_available``, with the number of rows that this run read: after a restart only those of new files (T4)."""
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        .option("path", path).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    read = sum(p["numInputRows"] for p in query.recentProgress)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path), read

@@ -11,7 +11,7 @@ from attestry.operators import correlate as C
 from attestry.operators import issuance as J
 from attestry.operators import scans as S
 from attestry.operators import whitelist as W
-from attestry.plans.reconcile import Settings, access_events, correlated, reconcile
+from attestry.plans.reconcile import Settings, access_events, candidates, correlated, reconcile
 from attestry_queries.fixtures import Inputs, oracle
 
 QUERIES: dict = {}
@@ -443,6 +443,39 @@ def j5(t):
     return C.unapproved(_matched(t)).where("type = 'UNAUTHORIZED_ACCESS'").select("ord", "user_id", "actor_type")
 
 
+#: Islands of the windows of a person: a window that begins after all earlier ones have ended begins a span.
+DISJOINT = """WITH w AS (SELECT user_email AS ident, local_date, CAST(request_time AS TIMESTAMP) AS lo,
+  CAST(request_time AS TIMESTAMP) + to_minutes(CAST({minutes} AS INTEGER)) AS hi FROM fx_requests),
+r AS (SELECT *, max(hi) OVER (PARTITION BY ident ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+i AS (SELECT *, count(*) FILTER (reach IS NULL OR lo > reach) OVER (PARTITION BY ident ORDER BY lo, hi) AS island FROM r)
+SELECT ident, strftime(min(lo), '%Y-%m-%d %H:%M:%S') AS opens, strftime(max(hi), '%Y-%m-%d %H:%M:%S') AS closes FROM i GROUP BY ident, island"""
+
+
+@query("j3_disjoint_windows", DISJOINT.format(minutes="duration_minutes * 1000"))
+def j3_disjoint(t):
+    """Windows of up to weeks, so that many of a person overlap."""
+    known = C.requests_by_identifier(requests(t).withColumn("duration_minutes", F.col("duration_minutes") * 1000))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return C.access_spans(known, ["ident"], None).select("ident", stamp("lo").alias("opens"), stamp("hi").alias("closes"))
+
+
+#: Some requests without end, as after a slip of the keyboard.
+ENDLESS = "CASE WHEN CAST(request_id AS BIGINT) % 5 = 0 THEN 2000000000 ELSE duration_minutes END"
+
+
+@query("j3_endless_windows", f"""
+WITH {RESOLVED}, cand AS (SELECT * FROM resolved WHERE NOT {LISTED}
+    AND coalesce(lower(coalesce(db_username, user_name)) NOT IN ('v-user7','v-user18'), true))
+SELECT c.ord, coalesce(bool_or(CAST(c.event_time AS TIMESTAMP) BETWEEN CAST(q.request_time AS TIMESTAMP)
+    AND CAST(q.request_time AS TIMESTAMP) + to_minutes(CAST({ENDLESS} AS INTEGER))), false) AS covered
+FROM cand c LEFT JOIN fx_requests q ON c.email = q.user_email GROUP BY c.ord
+""")
+def j3_endless(t):
+    asked = requests(t).withColumn("duration_minutes", F.expr(ENDLESS))
+    rows = candidates(events(t), t["fx_owner_tags"], SETTINGS)
+    return C.with_coverage(rows, asked, "UTC", carry_over=True).select("ord", "covered")
+
+
 @query("j6_latest_request", """
 SELECT user_email AS ident, local_date, jira_issue_id, request_time AS request_timestamp, CAST(duration_minutes AS INTEGER) AS duration_minutes
 FROM (SELECT *, row_number() OVER (PARTITION BY user_email, local_date ORDER BY request_time DESC, CAST(request_id AS VARCHAR)) AS rn FROM fx_requests) WHERE rn = 1
