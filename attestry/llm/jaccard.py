@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestry.llm.graph import components
-from attestry.llm.shared import stored
+from attestry.llm.shared import lean, stored
 from attestry.llm.words import Words, groups, mix, ngram_hashes, text_bytes
 
 #: Tokens counted together, the count from which a token is told of, and how many such tokens (the most frequent) the order knows.
@@ -116,7 +116,7 @@ def often_seen(documents: DataFrame, n: int) -> Order:
         if held:
             yield counted()
 
-    counts = documents.select("text").mapInArrow(run, "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
+    counts = documents.select("text").mapInArrow(lean(run), "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
     rows = counts.orderBy(F.desc("seen"), "token").limit(KNOWN_TOKENS).toPandas()
     return Order(rows["token"].to_numpy(np.int64).view(np.uint64), rows["seen"].to_numpy(np.int64))
 
@@ -137,7 +137,7 @@ def _described(documents: DataFrame, n: int) -> DataFrame:
                 checks.append(int(np.bitwise_xor.reduce(mix(found * _ORDERS[0]))) >> 1 if len(found) else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (sizes, nodes, checks))], ["doc_id", "row", "n_shingles", "node", "check"])
 
-    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint")
+    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(lean(run), "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint")
 
 
 def _prefix_tokens(documents: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _prefix_tokens(documents: DataFrame, order: Order, n: int, percent: int) ->
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
 
-    return documents.select("text").mapInArrow(run, "token bigint, node bigint")
+    return documents.select("text").mapInArrow(lean(run), "token bigint, node bigint")
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
         if len(held_token):
             yield pa.RecordBatch.from_arrays([pa.array(held_token), pa.array(held_node)], ["token", "node"])
 
-    return rows.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(run, "token bigint, node bigint")
+    return rows.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(lean(run), "token bigint, node bigint")
 
 
 def _reserve(n: Column) -> Column:
@@ -246,7 +246,7 @@ def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, n:
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "set"])
 
     found = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(rows, "row")
-    sets = found.select("node", "text").mapInArrow(run, "node bigint, set binary")
+    sets = found.select("node", "text").mapInArrow(lean(run), "node bigint, set binary")
     return stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
@@ -274,7 +274,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("set_x")), "x")
     both = both.join(sets.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y")
-    return both.select("x", "y", "set_x", "set_y").mapInArrow(run, "x bigint, y bigint")
+    return both.select("x", "y", "set_x", "set_y").mapInArrow(lean(run), "x bigint, y bigint")
 
 
 def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
@@ -371,11 +371,15 @@ def keep_one(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component: the one with the smallest id, or one without id if none has any; no words: all stay."""
     told = stored(join_components(documents, n, percent).withColumn("__place", F.struct(F.col("doc_id").isNull(), "doc_id", "row")), "joined")
     first = told.where("component is not null").groupBy("component").agg(F.min("__place").alias("__first"))
-    gone = stored(told.join(first, "component").where("not (__place <=> __first)").select("row").distinct(), "gone")
-    again = stored(told.where("component is not null").groupBy("row").count().where("count > 1").select("row").join(gone, "row", "left_anti"), "again")
-    keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
+    told = told.select("component", "row", "__place", F.col("doc_id").alias("__id"))
+    gone = stored(told.join(first, "component").where("not (__place <=> __first)").select("row", "__id").distinct(), "gone")
+    again = told.where("component is not null").groupBy("row", "__id").count().where("count > 1").select("row", "__id")
+    same = lambda a, b: (a["row"] == b["row"]) & a["__id"].eqNullSafe(b["__id"])
+    again = stored(again.join(gone, same(again, gone), "left_anti"), "again")
+    # A hash alone would drop another row of the same hash: the id must agree too, and of repeated rows the text.
+    keyed = documents.select(F.struct(*documents.columns).alias("__all"), F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").alias("__id"))
     sent = lambda frame: F.broadcast(frame) if frame.count() <= SENT_ROWS else frame
-    out = gone.unionByName(again).withColumnRenamed("row", "__row")
-    kept = keyed.join(sent(out), "__row", "left_anti")
-    once = keyed.join(sent(again.withColumnRenamed("row", "__row")), "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.unionByName(once).select(documents.columns)
+    out = gone.unionByName(again)
+    kept = keyed.join(sent(out), same(keyed, out), "left_anti")
+    once = keyed.join(sent(again), same(keyed, again), "left_semi").withColumn("__text", F.col("__all.text")).dropDuplicates(["__id", "__text"]).drop("__text")
+    return kept.unionByName(once).select("__all.*")

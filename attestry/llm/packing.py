@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from attestry.llm.shared import lean
+
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Rows of one length that are ranked together.
 RANKED_TOGETHER = 1024
@@ -164,7 +166,7 @@ def pack(frame: DataFrame, length: str, keys: list[str], capacities: tuple[int,
             yield pa.RecordBatch.from_arrays([*batch.select(columns).columns, *map(pa.array, (bin_id, offset, end[:, 1], end[:, 2]))], [*columns, "bin_id", "bin_offset", "bin_size", "bin_used"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(columns).schema)
-    placed = _ranked(cut.where("piece_length > 0"), counts, keys).select(*columns, "__rank").mapInArrow(run, f"{types}, {PLACED}")
+    placed = _ranked(cut.where("piece_length > 0"), counts, keys).select(*columns, "__rank").mapInArrow(lean(run), f"{types}, {PLACED}")
     empty = cut.where("piece_length <= 0").select(*columns, *(F.lit(None).cast("bigint").alias(c) for c in ("bin_id", "bin_offset", "bin_size", "bin_used")))
     return placed.unionByName(empty)
 

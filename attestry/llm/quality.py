@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attestry.llm.shared import lean
+
 from attestry.llm.words import Words, groups, text_bytes
 
 #: At most so many labelled rows are learned from, the first by a hash of their id.
@@ -74,7 +76,7 @@ def with_statistics(frame: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *arrays], [*kept, *STATISTICS])
 
     types = ", ".join([*(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in kept), *(f"{s} double" for s in STATISTICS)])
-    return frame.select(*kept, text).mapInArrow(run, types)
+    return frame.select(*kept, text).mapInArrow(lean(run), types)
 
 
 Condition = tuple[int, bool, float]  # statistic, whether at most, threshold

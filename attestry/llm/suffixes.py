@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestry.llm.shared import stored
+from attestry.llm.shared import lean, stored
 from attestry.llm.words import Words, _power_tables, groups, mix, text_bytes
 
 PASSAGE, CORE = 50, 25
@@ -80,8 +80,8 @@ def suffix_starts(words: Words, ranges: Ranges) -> tuple[np.ndarray, np.ndarray,
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """``doc`` and ``mark`` tell documents apart: the id, and a part of a hash of the text for repeated ids."""
-    return documents.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "mark": F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")})
+    """``doc`` and ``mark`` tell documents apart: the id, and a 64-bit hash of the text for repeated ids and rows without id."""
+    return documents.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "mark": F.xxhash64("text")})
 
 
 def _word_parts(column: pa.Array) -> Iterator[tuple[int, Words, np.ndarray]]:
@@ -151,11 +151,11 @@ def _suffixes(documents: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate((core.view(np.int64)[keep], none))), pa.array(np.concatenate((span.view(np.int64)[keep], none))), doc.take(rows), mark.take(rows),
                      pa.array(np.concatenate((place[keep], own_begin))), ends], [*ROW, "own_end"])
 
-    return _keyed(documents).select("doc", "mark", "text").mapInArrow(run, "core bigint, span bigint, doc bigint, mark int, place bigint, own_end bigint")
+    return _keyed(documents).select("doc", "mark", "text").mapInArrow(lean(run), "core bigint, span bigint, doc bigint, mark bigint, place bigint, own_end bigint")
 
 
 ROW = ("core", "span", "doc", "mark", "place")
-FOUND = "core bigint, span bigint, doc bigint, mark int, place bigint, first_doc bigint, first_mark int, first_place bigint, shared boolean, edge boolean"
+FOUND = "core bigint, span bigint, doc bigint, mark bigint, place bigint, first_doc bigint, first_mark bigint, first_place bigint, shared boolean, edge boolean"
 
 
 def _neighbours(rows: DataFrame, name: str) -> DataFrame:
@@ -209,7 +209,7 @@ def _neighbours(rows: DataFrame, name: str) -> DataFrame:
             yield told(held, np.ones(len(held[0]), bool))
 
     ordered = rows.repartitionByRange(*ROW).sortWithinPartitions(*ROW)
-    found = stored(ordered.mapInArrow(run, FOUND), name)
+    found = stored(ordered.mapInArrow(lean(run), FOUND), name)
     inner = found.where("not edge").drop("edge")
     edges = found.where("edge").select(*ROW)
     firsts = edges.groupBy("core", "span").agg(F.min(F.struct("doc", "mark", "place")).alias("first"))
@@ -243,7 +243,7 @@ def _stretches(documents: DataFrame, chosen: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ranges.of(at, at + PASSAGE).view(np.int64)), pa.array(np.zeros(len(at), np.int64)), doc.take(rows), mark.take(rows), pa.array(starts << 16)], list(ROW))
 
-    return keyed.select("doc", "mark", "text", "places").mapInArrow(run, "core bigint, span bigint, doc bigint, mark int, place bigint")
+    return keyed.select("doc", "mark", "text", "places").mapInArrow(lean(run), "core bigint, span bigint, doc bigint, mark bigint, place bigint")
 
 
 def _with_list(documents: DataFrame, listed: DataFrame, name: str) -> DataFrame:
@@ -287,7 +287,7 @@ def repeated(documents: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("sources", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind)], ["doc", "mark", "passages"])
 
-    return pieces.select("doc", "mark", "pieces").mapInArrow(run, "doc bigint, mark int, passages array<struct<start:bigint,end:bigint,sources:array<bigint>>>")
+    return pieces.select("doc", "mark", "pieces").mapInArrow(lean(run), "doc bigint, mark bigint, passages array<struct<start:bigint,end:bigint,sources:array<bigint>>>")
 
 
 def passages(documents: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def passages(documents: DataFrame) -> DataFrame:
                     [ids.take(pa.array(at)), pa.array(start, pa.int64()), pa.array(number, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(sources, pa.list_(pa.int64()))],
                     ["doc_id", "start_word", "n_words", "start_byte", "end_byte", "source_ids"])
 
-    return found.select("doc_id", "text", "passages").mapInArrow(run, "doc_id bigint, start_word bigint, n_words bigint, start_byte bigint, end_byte bigint, source_ids array<bigint>")
+    return found.select("doc_id", "text", "passages").mapInArrow(lean(run), "doc_id bigint, start_word bigint, n_words bigint, start_byte bigint, end_byte bigint, source_ids array<bigint>")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     touched = keyed.join(listed, ["doc", "mark"])
     again = stored(touched.groupBy("doc", "mark").count().where("count > 1").select("doc", "mark"), "again")
     again = F.broadcast(again) if again.count() <= SENT_ROWS else again
-    touched = touched.join(again, ["doc", "mark"], "left_anti").unionByName(touched.join(again, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"]))
+    touched = touched.join(again, ["doc", "mark"], "left_anti").unionByName(touched.join(again, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "text"]))
     columns = documents.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
@@ -349,4 +349,4 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             kept = kept.set_column(kept.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield kept.filter(pa.array(left, pa.bool_()))
 
-    return untouched.unionByName(touched.select(*columns, "passages").mapInArrow(run, types))
+    return untouched.unionByName(touched.select(*columns, "passages").mapInArrow(lean(run), types))

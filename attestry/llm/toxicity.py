@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from attestry.llm.shared import lean
+
 from attestry.llm.quality import labelled_sample
 
 #: Bound on labelled rows that are learned from, and on learned entries (the best supported stay).
@@ -217,7 +219,7 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
             keys = list(toxic | clean)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
 
-    counts = sample.select("text", "__label").mapInArrow(run, "feature string, toxic bigint, clean bigint")
+    counts = sample.select("text", "__label").mapInArrow(lean(run), "feature string, toxic bigint, clean bigint")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     top = counts.where("feature = ''").first()
     if top is None or not top["toxic"]:
@@ -236,7 +238,7 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
             found = [sorted({number[f] for w in set(WORD.findall((t.as_py() or "").lower())) for f in _features(w) if f in number}) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["found"])
 
-    texts = [np.array(r["found"], dtype=np.int64) for r in sample.where("__label = 1").select("text").mapInArrow(present, "found array<bigint>").collect()]
+    texts = [np.array(r["found"], dtype=np.int64) for r in sample.where("__label = 1").select("text").mapInArrow(lean(present), "found array<bigint>").collect()]
     return _chosen(entries, toxic, clean, texts, n_toxic / (n_toxic + n_clean), counts.count(), n_toxic / max(n_clean, 1))
 
 
@@ -298,7 +300,7 @@ def with_events(frame: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, events], [*kept, "__events"])
 
     types = ", ".join([*(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in kept), "__events array<double>"])
-    return frame.select(*kept, "text").mapInArrow(run, types)
+    return frame.select(*kept, "text").mapInArrow(lean(run), types)
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 GROUP_BYTES = 1 << 21
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

@@ -271,3 +271,15 @@ def test_warc_round_trip(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((r.header["WARC-Record-ID"], bytes(r.block).decode()) for r in back) == sorted((r.record_id, r.block) for r in rows)
     assert all(warc.digest(bytes(r.block)) == r.header["WARC-Block-Digest"] for r in back)
+
+
+def test_texts_that_agree_in_31_bits_of_their_hash_are_told_apart(spark):
+    """Of rows of one id, or without id, none goes for the hash of another."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    invented = spark.range(160_000).selectExpr("concat('only here ', id) AS text").selectExpr("text", "xxhash64(text) & 2147483647 AS part")
+    pairs = invented.groupBy("part").agg({"text": "collect_list"}).toDF("part", "texts").where("size(texts) > 1").limit(3).collect()
+    assert pairs
+    shared = words(1, 60)
+    rows = [(d, t + " " + shared) for d, p in zip((1, None, None), pairs) for t in p["texts"]] + [(0, shared)]
+    out = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((str(r["doc_id"]), r["text"].strip()) for r in out.collect()) == sorted((str(d), t.replace(" " + shared, "")) for d, t in rows)
