@@ -6,7 +6,7 @@ is written as Parquet and read again. Labels come from the labels table of ``sf_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attestry.llm import jaccard, packing, quality, suffixes, toxicity
 from attestry.llm.shared import stored, table
@@ -14,24 +14,30 @@ from attestry.llm.shared import stored, table
 TOXIC_FROM, GOOD_FROM = 0.3, 0.5
 
 
+def _row() -> Column:
+    """256 bits, so that no document goes for the hash of another."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat_ws(":", part("doc_id"), part("text")), 256))
+
+
 def _kept(docs: DataFrame, scored: DataFrame, rejected) -> DataFrame:
-    """Documents without those that a score rejects, by a key of id and text."""
+    """Documents without those that a score rejects, by a digest of id and text."""
     out = stored(scored.where(rejected).select("__row").distinct(), "rejected")
     out = F.broadcast(out) if out.count() <= jaccard.SENT_ROWS else out
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(out, "__row", "left_anti").select(docs.columns)
+    return docs.withColumn("__row", _row()).join(out, "__row", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.3."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("__row"), "text")
+    keyed = docs.select(_row().alias("__row"), "text")
     return _kept(docs, toxicity.score(keyed, model), F.col("score") >= TOXIC_FROM)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("__row"), "text")
+    keyed = docs.select(_row().alias("__row"), "text")
     return _kept(docs, quality.score(keyed, rules), F.col("score") < GOOD_FROM)
 
 
