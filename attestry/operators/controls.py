@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestry import fixed_values as V
 from attestry.functions.text import blank_to_null, col, filled, first_filled, strip
 from attestry.operators.joins import salted_left_join
+from attestry.operators.positions import laid_out, positions
 
 
 def rows_before_error(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,6 +112,11 @@ def families(controls: DataFrame, family_codes: list[str]) -> DataFrame:
     })
 
 
+def control_order(controls: DataFrame) -> DataFrame:
+    """Controls of ``families`` with ``position`` in their family and ``family_no``, both from 0."""
+    return positions(laid_out(controls, ["family", "sort_key", "id"]), within=["family"], number="family_no")
+
+
 def skeleton_lines(controls: DataFrame, family_names: DataFrame, existing: DataFrame | None = None,
                    overwrite: bool = False) -> DataFrame:
     """Lines of the requirement files: (family, sort_key, id, line_no, line).

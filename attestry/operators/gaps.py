@@ -87,6 +87,15 @@ def bands_by_family(judged: DataFrame) -> DataFrame:
     return judged.groupBy("family", band("final_score").alias("band")).agg(F.count("*").alias("controls"))
 
 
+def band_totals(judged: DataFrame) -> DataFrame:
+    """Controls per family and band, with the totals of each family and of all.
+
+    ``level`` is 0 for a band, 1 for a family's total, 3 for the grand total; a total's open columns are null.
+    """
+    banded = judged.select("family", band("final_score").alias("band"))
+    return banded.rollup("family", "band").agg(F.count("*").alias("controls"), F.grouping_id().cast("int").alias("level"))
+
+
 def review_queue(judged: DataFrame) -> DataFrame:
     """Borderline scores and controls whose recency is unknown."""
     low, high = V.REVIEW_SCORES

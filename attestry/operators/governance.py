@@ -83,6 +83,19 @@ def changed_since(current: DataFrame, passed: DataFrame, keys: list[str]) -> Dat
     return current.join(passed.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
 
 
+def rewrite_changed(rows: DataFrame, keys: list[str], columns: list[str], store: str, passed: DataFrame | None = None) -> DataFrame:
+    """Bring a store partitioned by ``keys`` up to date and return the fingerprints it holds now.
+
+    Only groups whose fingerprint has not passed are rewritten, each as a whole, by dynamic
+    partition overwrite; the files of all others stay as they are.  Without ``passed`` all are written.
+    """
+    current = fingerprints(rows, keys, columns)
+    changed = current if passed is None else changed_since(current, passed, keys)
+    fresh = rows if passed is None else rows.join(changed.select(*keys), keys, "left_semi")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(store)
+    return current
+
+
 def sensitive_hits(documents: DataFrame, text: str = "text", patterns: list[tuple[str, str, list[str]]] = V.SENSITIVE_PATTERNS,
                    allowed: list[str] = V.SENSITIVE_ALLOWED) -> DataFrame:
     """One row per sensitive string: rule and match, allowed forms left out.

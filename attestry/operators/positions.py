@@ -48,7 +48,9 @@ def positions(laid: DataFrame, name: str = "position", within: list[str] = (), s
     earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = own.groupBy("__range", *marks).agg(F.count("*").alias("__rows"), F.min(SLOT).alias("__first"))
     counts = counts.withColumns({"__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)), "__all": F.sum("__rows").over(group)})
-    if number:
+    if number and not marks:
+        counts = counts.withColumn("__number", F.lit(0).cast("long"))
+    elif number:
         groups = counts.groupBy(*marks).agg(F.min("__first").alias("__opened"))
         groups = positions(laid_out(groups, ["__opened"]), "__number").drop("__opened")
         counts = counts.join(groups, marks)

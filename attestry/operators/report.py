@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attestry import fixed_values as V
 from attestry.functions.text import col, filled
 from attestry.functions.times import parse_time
+from attestry.operators.positions import laid_out, positions
 
 
 def list_order() -> list[Column]:
@@ -68,6 +69,20 @@ def human_groups(violations: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def ranked_human_groups(violations: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Violations per person with ``position``, from 0: most first, then by email (A1, L2).
+
+    The position is counted over ranges, so it is part of the row however the table is stored or read.
+    """
+    groups = violations.withColumn("user_email", person()).where("user_email is not null").groupBy(*by, "user_email").agg(F.count("*").alias("violations_count"))
+    return positions(laid_out(groups, [*by, F.desc("violations_count"), F.asc("user_email")]), within=list(by))
+
+
+def event_order(events: DataFrame) -> DataFrame:
+    """Events with their ``position`` in the order of the scans (L1): sources one after the other, newest first, ties by ``ord``."""
+    return positions(laid_out(events, ["src_rank", F.desc_nulls_last("eventTime"), "ord"]))
+
+
 def non_human(violations: DataFrame, by: list[str] = ()) -> DataFrame:
     """Total and the four fixed categories of violations without a person (A2).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
@@ -66,6 +66,21 @@ def with_chunks(records: DataFrame, size: int = V.SINK_CHUNK) -> DataFrame:
     return records.withColumn("chunk", F.concat_ws("-", F.shiftright(row, 33), F.floor(row.bitwiseAND((1 << 33) - 1) / size)))
 
 
+def write_counted(records: DataFrame, path: str, rejected: Column | None = None, tolerate: bool = False) -> dict[str, int]:
+    """Append records and count them in the pass that writes (S17, A11): accepted and rejected.
+
+    A rejected record fails the write, and what its tasks wrote is never committed.  With
+    ``tolerate`` rejected records are counted and left out.
+    """
+    bad = F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False))
+    seen = Observation()
+    rows = records.withColumn("_bad", bad).observe(seen, F.count_if(~F.col("_bad")).alias("accepted"), F.count_if("_bad").alias("rejected"))
+    if not tolerate:
+        rows = rows.where(F.when(F.col("_bad"), F.raise_error(F.lit("the sink rejected an event of this batch")).cast("boolean")).otherwise(F.lit(True)))
+    rows.where("not _bad").drop("_bad").write.mode("append").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def append_events(records: DataFrame, path: str, rejected: DataFrame | None = None) -> None:
     """Append sink records; a rejected record fails the batch before anything is written."""
     if rejected is not None and not rejected.isEmpty():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestry_queries import access, evidence, governance, ingest, landings, reports, streams
+from attestry_queries import access, evidence, governance, ingest, landings, reports, stores, streams
 
-MODULES = [access, reports, ingest, evidence, governance, streams, landings]
+MODULES = [access, reports, ingest, evidence, governance, streams, landings, stores]
 
 
 def queries() -> dict:
