@@ -101,7 +101,7 @@ def access_spans(known: DataFrame, keys: list[str], zone: str | None) -> DataFra
     if zone:
         first, following = day_bounds("local_date", zone)
         df = df.withColumns({"win_start": F.greatest("win_start", first), "win_end": F.least("win_end", following)})
-    return interval_union(df.select(*keys, col("win_start").alias("lo"), col("win_end").alias("hi")), keys, "lo", "hi")
+    return interval_union(df.select(*keys, col("win_start").alias("lo"), col("win_end").alias("hi")), keys, "lo", "hi", daily=bool(zone))
 
 
 def _long(lo: Column | str = "lo", hi: Column | str = "hi") -> Column:

@@ -14,15 +14,24 @@ def bucket_of(ts: Column | str, seconds: int) -> Column:
     return F.floor(ts.cast("double") / seconds).cast("long")
 
 
-def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, daily: bool = False) -> DataFrame:
     """Per key the disjoint spans ``lo, hi`` (both inclusive) that its intervals cover together.
 
     A span begins where no earlier interval reaches: where the start lies beyond the running
     maximum of the ends.  Both running values, the maximum of the ends and the last beginning,
     are taken inside the days of a key and carried from day to day over one row for each day,
     so no task walks all intervals of a key.  Intervals with a null bound or an end before
-    their start cover nothing; key columns may be null, and nulls are one key.
+    their start cover nothing; key columns may be null, and nulls are one key.  ``daily`` says
+    that the keys hold the day: a key then has at most one start for each instant of a day,
+    and its running values need no carrying.
     """
+    if daily:
+        own = df.where(F.col(lo) <= F.col(hi)).groupBy(*keys, F.col(lo).alias("_lo")).agg(F.max(hi).alias("_hi"))
+        walk = Window.partitionBy(*keys).orderBy("_lo")
+        own = own.withColumn("_reach", F.max("_hi").over(walk.rowsBetween(Window.unboundedPreceding, -1)))
+        own = own.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach")), F.col("_lo")))
+        own = own.withColumn("_begun", F.max("_new").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return own.groupBy(*keys, F.col("_begun").alias(lo)).agg(F.max("_hi").alias(hi))
     marks = [f"_k{i}" for i in range(2 * len(keys))]
     named = [x for i, k in enumerate(keys) for x in (F.coalesce(F.col(k).cast("string"), F.lit("")).alias(marks[2 * i]), F.col(k).isNull().alias(marks[2 * i + 1]))]
     starts = df.where(F.col(lo) <= F.col(hi)).groupBy(*keys, F.col(lo).alias("_lo")).agg(F.max(hi).alias("_hi"))

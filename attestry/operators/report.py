@@ -6,6 +6,8 @@ into one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,10 +117,31 @@ def report_header(violations: DataFrame, period: dict[str, str], run: dict[str,
     ``period`` holds start, end, start_local, end_local; ``run`` holds
     generated_at and execution_duration_seconds.
     """
-    counts = violations.groupBy(*by).agg(
+    return _header(_counts(violations, by), period, run, by, ["total_violations_found"])
+
+
+def _counts(violations: DataFrame, by: list[str]) -> DataFrame:
+    return violations.groupBy(*by).agg(
         F.count("*").alias("total_violations_found"), *category_counts(), *actor_counts(),
         F.count_if(person().isNull()).alias("non_human_total"),
     )
+
+
+def report_headers(events: DataFrame, requests: DataFrame, violations: DataFrame, period: dict[str, str], run: dict[str, str], by: list[str]) -> DataFrame:
+    """Headers with all three counts of the run (A5, S18): one row per key that has events, requests or violations.
+
+    A day without violations has a header too, with zeros.
+    """
+    tally = lambda df, e, r: df.select(*by, F.lit(e).alias("events_processed"), F.lit(r).alias("access_requests_found"))
+    seen = tally(events, 1, 0).unionByName(tally(requests, 0, 1)).unionByName(tally(violations, 0, 0))
+    seen = seen.groupBy(*by).agg(F.sum("events_processed").alias("events_processed"), F.sum("access_requests_found").alias("access_requests_found"))
+    counts = _counts(violations, by)
+    same = reduce(lambda x, y: x & y, [seen[k].eqNullSafe(counts[k]) for k in by])
+    joined = seen.join(counts, same, "left").select(*(seen[c] for c in seen.columns), *(F.coalesce(counts[c], F.lit(0)).alias(c) for c in counts.columns if c not in by))
+    return _header(joined, period, run, by, ["events_processed", "access_requests_found", "total_violations_found"])
+
+
+def _header(counts: DataFrame, period: dict[str, str], run: dict[str, str], by: list[str], summary: list[str]) -> DataFrame:
     cats = ["s3_unauthorized_access", "s3_outside_window", "db_unauthorized_access", "db_outside_window"]
     actors = ["human_actors", "service_principals", "service_accounts", "aws_services", "unknown_actors"]
     kinds = dict(zip(V.NON_HUMAN_CATEGORIES, ["service_principals", "aws_services", "unknown_actors", "service_accounts"]))
@@ -127,7 +150,7 @@ def report_header(violations: DataFrame, period: dict[str, str], run: dict[str,
         F.struct(F.lit(run["generated_at"]).alias("generated_at"),
                  F.round(F.lit(float(run["execution_duration_seconds"])), 3).alias("execution_duration_seconds")).alias("report_metadata"),
         F.struct(*[F.lit(period[k]).alias(k) for k in ("start", "end", "start_local", "end_local")]).alias("time_period"),
-        F.struct("total_violations_found").alias("execution_summary"),
+        F.struct(*summary).alias("execution_summary"),
         F.struct(*cats).alias("violations_by_category"),
         F.struct(*actors).alias("violations_by_actor_type"),
         F.struct(col("non_human_total").alias("total_count"),

@@ -15,6 +15,7 @@ from attestry.streaming.runner import run_observed, scratch
 from attestry_queries import access as A
 from attestry_queries import evidence, ingest
 from attestry_queries.fixtures import Inputs, StreamInputs, oracle
+from attestry_queries.reports import PERIOD
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -114,6 +115,32 @@ def l5(t):
     return C.control_order(C.families(evidence.controls(t), [])).select("family", "sort_key", "position", "family_no")
 
 
+# --- S18: whole headers -----------------------------------------------------------------------
+
+CATS = {"s3_unauthorized_access": "resource_arn LIKE 'arn:aws:s3:::%' AND type = 'UNAUTHORIZED_ACCESS'", "s3_outside_window": "resource_arn LIKE 'arn:aws:s3:::%' AND type = 'ACCESS_OUTSIDE_WINDOW'",
+        "db_unauthorized_access": "resource_arn NOT LIKE 'arn:aws:s3:::%' AND type = 'UNAUTHORIZED_ACCESS'", "db_outside_window": "resource_arn NOT LIKE 'arn:aws:s3:::%' AND type = 'ACCESS_OUTSIDE_WINDOW'"}
+ACTORS = {"human_actors": "HUMAN", "service_principals": "SERVICE_PRINCIPAL", "service_accounts": "SERVICE_ACCOUNT", "aws_services": "AWS_SERVICE", "unknown_actors": "UNKNOWN"}
+CATEGORIES = ["SERVICE_PRINCIPAL", "AWS_SERVICE", "UNKNOWN", "SERVICE_ACCOUNT"]
+HEADER_SQL = ", ".join([f"count(*) FILTER ({c}) AS {n}" for n, c in CATS.items()] + [f"count(*) FILTER (actor_type = '{k}') AS {n}" for n, k in ACTORS.items()]
+                       + [f"count(*) FILTER (email IS NULL AND actor_type = '{k}') AS {k.lower()}_category" for k in CATEGORIES])
+
+
+@query("s18_whole_header", f"""WITH {A.MATCHED}, v AS (SELECT local_date, count(*) AS total_violations_found, count(*) FILTER (email IS NULL) AS non_human_total, {HEADER_SQL} FROM violations GROUP BY local_date),
+e AS (SELECT local_date, count(*) AS n FROM (SELECT local_date FROM fx_audit UNION ALL SELECT local_date FROM fx_issuances) GROUP BY local_date),
+r AS (SELECT local_date, count(*) AS n FROM fx_requests GROUP BY local_date),
+d AS (SELECT local_date FROM e UNION SELECT local_date FROM r UNION SELECT local_date FROM v)
+SELECT d.local_date, coalesce(e.n, 0) AS events_processed, coalesce(r.n, 0) AS access_requests_found, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ["total_violations_found", "non_human_total", *CATS, *ACTORS, *(f"{k.lower()}_category" for k in CATEGORIES)])},
+  '{PERIOD["start"]}' AS start, '{PERIOD["end"]}' AS "end", '{PERIOD["start_local"]}' AS start_local, '{PERIOD["end_local"]}' AS end_local, 'run' AS generated_at, 1.235 AS execution_duration_seconds
+FROM d LEFT JOIN e USING (local_date) LEFT JOIN r USING (local_date) LEFT JOIN v USING (local_date)""")
+def s18(t):
+    run = {"generated_at": "run", "execution_duration_seconds": "1.23456"}
+    df = R.report_headers(A.S.union_sources(A.named_objects(t), A.curated(t)), A.requests(t), A.violations(t), PERIOD, run, ["local_date"])
+    other = F.col("non_human_violations.by_category")
+    return df.select(
+        "local_date", "execution_summary.*", "violations_by_category.*", "violations_by_actor_type.*", F.col("non_human_violations.total_count").alias("non_human_total"),
+        *(other[k].alias(f"{k.lower()}_category") for k in CATEGORIES), "time_period.*", "report_metadata.*")
+
+
 # --- A12: totals -----------------------------------------------------------------------------
 
 @query("a12_rollup", f"""WITH {evidence.JUDGED} SELECT family, band, count(*) AS controls, grouping_id(family, band)::INTEGER AS level FROM (

@@ -32,6 +32,8 @@ def test_union_equals_a_walk_through_the_sorted_intervals(spark):
     rows += [("a", None, at(5)), ("b", at(5), None), ("edge", at(0), at(10)), ("edge", at(10), at(20)), ("edge", at(21), at(22)), ("edge", at(0), at(4))]
     found = interval_union(spark.createDataFrame(rows, "ident string, lo timestamp, hi timestamp"), ["ident"], "lo", "hi")
     assert sorted((tuple(r) for r in found.select("ident", "lo", "hi").collect()), key=str) == walked(rows)
+    daily = interval_union(spark.createDataFrame(rows, "ident string, lo timestamp, hi timestamp"), ["ident"], "lo", "hi", daily=True)
+    assert sorted((tuple(r) for r in daily.select("ident", "lo", "hi").collect()), key=str) == walked(rows)
 
 
 def test_union_of_nothing(spark):
