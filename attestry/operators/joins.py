@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 8
+#: Rows of one key and bucket that an as-of join leaves together.
+ROWS_PER_SHARE = 100_000
 
 
 def with_columns_or_null(df: DataFrame, names: list[str], kind: str = "string") -> DataFrame:
@@ -51,6 +53,12 @@ def salted_left_join(
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 
+def dealt_facts(facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Facts with ``_share``: those of a hot (key, bucket) once for each share, all others once."""
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1).cast("long")) - 1)
+    return facts.join(hot, ["_k", "_b"], "left").withColumn("_share", F.explode(copies)).drop("_shares")
+
+
 def last_before(
     rows: DataFrame,
     facts: DataFrame,
@@ -60,15 +68,17 @@ def last_before(
     fact_order: list[str],
     bucket_seconds: int = 3600,
     salts: int = SALTS,
+    rows_per_share: int = ROWS_PER_SHARE,
 ) -> DataFrame:
     """As-of join: per row, the payload of the latest fact of its key at or before ``ts``.
 
     Time is cut into buckets.  The last fact of each (key, bucket) is carried to
     the later buckets over the short bucket list; inside a bucket an ordered
     window fills forward.  No (row, fact) pair is formed.  A hot key is split by
-    its buckets and a hot bucket by ``salts``: its rows are dealt out, its facts
-    (one per instant at most) go to each share.  Among facts of one instant the
-    highest ``fact_order`` wins.
+    its buckets.  Buckets are counted first: one with more than ``rows_per_share``
+    rows is dealt out in shares, and only its facts (one per instant at most) go
+    to each share; all other facts are shuffled once.  Among facts of one instant
+    the highest ``fact_order`` wins.
     """
     bucket = F.floor(F.col(ts).cast("double") / bucket_seconds)
     packed = F.struct(*[F.col(c) for c in payload])
@@ -81,7 +91,8 @@ def last_before(
     joinable = F.col("_k").isNotNull() & F.col("_t").isNotNull()
 
     last_of_bucket = first_per_key(facts, ["_k", "_b"], [F.desc("_t"), F.desc("_o")])
-    wanted = keyed.where(joinable).select("_k", "_b").distinct()
+    wanted = keyed.where(joinable).groupBy("_k", "_b").agg(F.count("*").alias("_n"))
+    hot = wanted.where(F.col("_n") > rows_per_share).select("_k", "_b", F.ceil(F.col("_n") / rows_per_share).cast("long").alias("_shares"))
     marks = last_of_bucket.select("_k", "_b", F.col("_p").alias("_in")).unionByName(
         wanted.select("_k", "_b", F.lit(None).cast(facts.schema["_p"].dataType).alias("_in"))
     )
@@ -95,14 +106,15 @@ def last_before(
 
     whole = F.struct(*[F.col(c) for c in rows.columns])
     events = keyed.where(joinable).select("_k", "_b", "_t", whole.alias("_row"))
-    events = events.withColumn("_share", F.pmod(F.xxhash64("_row"), F.lit(salts)))
-    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    shares = F.coalesce("_shares", F.lit(1).cast("long"))
+    events = events.join(hot, ["_k", "_b"], "left").withColumn("_share", F.pmod(F.xxhash64("_row"), shares)).drop("_shares")
+    facts = dealt_facts(facts, hot)
     mixed = events.withColumns({
         "_p": F.lit(None).cast(facts.schema["_p"].dataType),
         "_o": F.lit(None).cast(facts.schema["_o"].dataType),
         "_side": F.lit(1),
     }).unionByName(
-        facts.withColumns({"_row": F.lit(None).cast(events.schema["_row"].dataType), "_side": F.lit(0)}).withColumn("_share", shares)
+        facts.withColumns({"_row": F.lit(None).cast(events.schema["_row"].dataType), "_side": F.lit(0)})
     )
     so_far = (
         Window.partitionBy("_k", "_b", "_share").orderBy("_t", "_side")
