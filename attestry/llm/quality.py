@@ -183,17 +183,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> Rules:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int) -> DataFrame:
     """doc_id, text and label of at most ``most`` labelled rows that aren't held out, chosen by a hash of the id.
 
-    A document with differing labels counts with the larger one.
+    A document with differing labels counts with the larger one. Of rows that share an id the text with the
+    smallest hash stands for all, so the bound holds for rows too.
     """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % parts != held_out))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("__label").alias("__label"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Rules:
     """Learn rules from labels.quality of rows whose crc32(doc_id as text) mod 3 is not 1."""
-    rows = with_statistics(labelled_sample(documents, labels, "quality", 3, 1, most), "text").orderBy("doc_id", "n_bytes").limit(2 * most).toPandas()
+    rows = with_statistics(labelled_sample(documents, labels, "quality", 3, 1, most), "text").orderBy("doc_id").toPandas()
     return fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["__label"].to_numpy(float))
 
 

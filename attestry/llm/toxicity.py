@@ -21,16 +21,17 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-from attestry.llm.shared import lean
+from pyspark.sql import Column, DataFrame, functions as F
 
 from attestry.llm.quality import labelled_sample
-
-#: Bound on labelled rows that are learned from, and on learned entries (the best supported stay).
-SAMPLE, LEXICON = 20_000, 20_000
-STEMS = range(4, 9)
-LEAST_TOXIC, LEAST_RATIO = 3, 30.0
+from attestry.llm.shared import lean, stored
+
+#: Bound on labelled rows that are learned from.
+SAMPLE = 20_000
+STEMS = range(3, 9)
+#: A stem may count only from so many words of a text on that begin with it; ``stem*3`` on the list.
+TIMES = (2, 3)
+LEAST_TOXIC, LEAST_RATIO = 3, 100.0
 #: Accepted number of entries, among all words and stems seen, that are on the list by chance.
 CHANCE = 0.01
 WORD = re.compile(r"\w+(?:['’]\w+)*|[\"“”„«»]")
@@ -49,6 +50,8 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "itunrqo"
 EVENTS = ("i", "t", "i-", "t-", "i>", "t>", "i!", "t!")
 PRIOR_WEIGHTS = np.array([4.0, 2.0, 0.5, 0.3, 0.7, 0.5, 5.0, 5.0])
 PRIOR_CONSTANT, PRIOR_STRENGTH = -3.0, 1.0
+#: An aimed match weighs at least this much more than one that stands alone; a negated or reported one weighs at most this share of it.
+AIMED_LEAD, TAKEN_BACK_SHARE = 1.0, 0.25
 
 
 @dataclass(frozen=True)
@@ -135,46 +138,52 @@ GRAMMAR = negation_machine().then(report_machine()).then(target_machine())
 
 
 class Lexicon:
-    """Word classes: fixed function words, and insults as whole words (ending in ``$``) or stems with a strength."""
+    """Word classes: fixed function words, and insults with a strength: whole words (ending in ``$``), stems, and
+    stems that count only from a number of words of the text on (``stem*3``)."""
 
     def __init__(self, insults: dict[str, float]):
-        self.insults = {f"{w}$": 1.0 for w in INSULTS} | insults
+        insults = {f"{w}$": 1.0 for w in INSULTS} | insults
+        self.whole = {k[:-1]: v for k, v in insults.items() if k.endswith("$")}
+        self.stems: dict[str, list[tuple[int, float]]] = {}
+        for key, strength in insults.items():
+            if not key.endswith("$"):
+                stem, _, times = key.partition("*")
+                self.stems.setdefault(stem, []).append((int(times or 1), strength))
         self.fixed = dict.fromkeys(THREATS, THREAT) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
         self.fixed |= dict.fromkeys("\"“”„«»", QUOTE)
-        self.lengths = sorted({len(k) for k in self.insults if not k.endswith("$")})
+        self.lengths = sorted({len(k) for k in self.stems})
         self.found = ahocorasick.Automaton()
-        for key in [*(k.rstrip("$") for k in self.insults), *THREATS]:
+        for key in [*self.whole, *self.stems, *THREATS]:
             self.found.add_word(key, len(key))
         self.found.make_automaton()
 
-    def insult(self, word: str) -> float:
-        whole = self.insults.get(word + "$")
-        if whole is not None:
-            return whole
-        return max((self.insults.get(word[:n], 0.0) for n in self.lengths if n <= len(word)), default=0.0)
-
-    def letter(self, word: str) -> tuple[str, float]:
+    def letter(self, word: str, seen: Counter[str]) -> tuple[str, float]:
+        """Class and strength of a word; ``seen`` counts the stems of its text."""
         kind = self.fixed.get(word)
         if kind:
             return kind, 1.0
-        strength = self.insult(word)
-        return (INSULT, strength) if strength else (OTHER, 0.0)
+        strength = self.whole.get(word)
+        for n in self.lengths:
+            if n <= len(word) and (of_stem := self.stems.get(word[:n])):
+                seen[word[:n]] += 1
+                strength = max([strength or 0.0, *(s for times, s in of_stem if times <= seen[word[:n]])])
+        return (OTHER, 0.0) if strength is None else (INSULT, strength)
 
     def events(self, text: str) -> np.ndarray:
         """Strength of the matches of each kind over all clauses of a text."""
-        total, text, done = np.zeros(len(EVENTS)), text.lower(), 0
+        total, text, done, seen = np.zeros(len(EVENTS)), text.lower(), 0, Counter()
         for last, size in self.found.iter(text):
             first = last - size + 1
             if first < done or (first and (text[first - 1].isalnum() or text[first - 1] == "_")):
                 continue
             begin = max(text.rfind(c, done, first) for c in CLAUSE_END) + 1 or done
             end = at.start() if (at := NEXT_END.search(text, last + 1)) else len(text)
-            self._clause(text[max(begin, done) : end], total)
+            self._clause(text[max(begin, done) : end], total, seen)
             done = end
         return total
 
-    def _clause(self, clause: str, total: np.ndarray) -> None:
-        read = [self.letter(w) for w in WORD.findall(clause)]
+    def _clause(self, clause: str, total: np.ndarray, seen: Counter[str]) -> None:
+        read = [self.letter(w, seen) for w in WORD.findall(clause)]
         open_at = -1
         for (_, strength), mark in zip(read, GRAMMAR.write([r[0] for r in read]), strict=True):
             if mark in ("i+", "t+"):  # the target stood after the match: count it as aimed
@@ -199,11 +208,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.constant + np.log1p(events) / np.log(2) @ self.weights, -40, 40)))
 
 
-def _features(word: str) -> Iterator[str]:
-    yield word + "$"
-    for n in STEMS:
-        if n <= len(word):
-            yield word[:n]
+def _features(text: str | None) -> list[str]:
+    """Words (ending in ``$``), stems and repeated stems of a text."""
+    seen: Counter[str] = Counter()
+    for word, times in Counter(WORD.findall((text or "").lower())).items():
+        seen[word + "$"] = 1
+        for n in STEMS:
+            if n <= len(word):
+                seen[word[:n]] += times
+    return [*seen, *(f"{f}*{n}" for f, times in seen.items() for n in TIMES if times >= n)]
 
 
 def learned_insults(sample: DataFrame) -> dict[str, float]:
@@ -214,19 +227,23 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
             toxic, clean, number = Counter(), Counter(), [0, 0]
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 number[label] += 1
-                (toxic if label else clean).update({f for w in set(WORD.findall((text or "").lower())) for f in _features(w)})
+                (toxic if label else clean).update(_features(text))
             toxic[""], clean[""] = number[1], number[0]
             keys = list(toxic | clean)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
 
     counts = sample.select("text", "__label").mapInArrow(lean(run), "feature string, toxic bigint, clean bigint")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    top = counts.where("feature = ''").first()
-    if top is None or not top["toxic"]:
+    of_rows = lambda c: F.coalesce(F.max(F.when(F.col("feature") == "", F.col(c))), F.lit(0)).alias(c)
+    top = counts.agg(F.count("*").alias("tried"), of_rows("toxic"), of_rows("clean")).first()
+    n_toxic, n_clean, tried = top["toxic"], top["clean"], top["tried"]
+    if not n_toxic:
         return {}
-    n_toxic, n_clean = top["toxic"], top["clean"]
+    share = n_toxic / (n_toxic + n_clean)
     ratio = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    rows = counts.where("feature <> ''").where(F.col("toxic") >= LEAST_TOXIC).where(ratio >= LEAST_RATIO).orderBy(F.desc("toxic"), "feature").limit(LEXICON).collect()
+    chance = _log_factorial(F.col("toxic") + F.col("clean")) - _log_factorial(F.col("toxic")) - _log_factorial(F.col("clean")) + F.col("toxic") * float(np.log(share))
+    likely = counts.where("feature <> ''").where((F.col("toxic") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO))
+    rows = likely.where(chance + float(np.log(tried)) <= float(np.log(CHANCE)) + 0.01).orderBy(F.desc("toxic"), "feature").collect()
     entries = [r["feature"] for r in rows]
     toxic, clean = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("toxic", "clean"))
     if not entries:
@@ -235,43 +252,62 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {e: k for k, e in enumerate(entries)}
         for batch in batches:
-            found = [sorted({number[f] for w in set(WORD.findall((t.as_py() or "").lower())) for f in _features(w) if f in number}) for t in batch.column(0)]
+            found = [sorted(number[f] for f in _features(t.as_py()) if f in number) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["found"])
 
-    texts = [np.array(r["found"], dtype=np.int64) for r in sample.where("__label = 1").select("text").mapInArrow(lean(present), "found array<bigint>").collect()]
-    return _chosen(entries, toxic, clean, texts, n_toxic / (n_toxic + n_clean), counts.count(), n_toxic / max(n_clean, 1))
+    told = sample.where("__label = 1").select("text").mapInArrow(lean(present), "found array<bigint>").groupBy("found").count().orderBy("found").collect()
+    texts, copies = [np.array(r["found"], dtype=np.int64) for r in told], np.array([r["count"] for r in told], dtype=np.int64)
+    return _chosen(entries, toxic, clean, texts, copies, share, tried, n_toxic / max(n_clean, 1))
+
 
+def _log_factorial(n: Column) -> Column:
+    """Logarithm of a factorial by Stirling's series, within 0.003."""
+    return F.when(n < 1, 0.0).otherwise(n * F.log(n) - n + 0.5 * F.log(2 * float(np.pi) * n) + 1 / (12 * n))
 
-def _chosen(entries: list[str], toxic: np.ndarray, clean: np.ndarray, texts: list[np.ndarray], share: float, tried: int, odds: float) -> dict[str, float]:
+
+def _chosen(entries: list[str], toxic: np.ndarray, clean: np.ndarray, texts: list[np.ndarray], copies: np.ndarray, share: float, tried: int, odds: float) -> dict[str, float]:
     """Entries in turn, the one least explained by chance first, as judged by toxic texts without an earlier entry.
 
     So words that merely stand in copies of texts that an entry explains are left out.
     """
-    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, toxic.sum() + clean.sum() + 2)))))
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, (toxic + clean).max() + 2)))))
     of_entry: list[list[int]] = [[] for _ in entries]
+    left = np.zeros(len(entries), dtype=np.int64)
     for t, found in enumerate(texts):
+        left[found] += copies[t]
         for e in found.tolist():
             of_entry[e].append(t)
-    left = np.array([len(x) for x in of_entry], dtype=np.int64)
     length = np.array([len(e) for e in entries])
     covered, kept = np.zeros(len(texts), dtype=bool), {}
     while True:
         chance = log_factorial[left + clean] - log_factorial[left] - log_factorial[clean] + left * np.log(share) + np.log(tried)
-        at = np.lexsort((-length, chance))[0]
+        best = np.flatnonzero(chance == chance.min())
+        at = best[np.argmax(length[best])]
         if left[at] < LEAST_TOXIC or chance[at] > np.log(CHANCE):
             return kept
         kept[entries[at]] = float((toxic[at] + 1) / (toxic[at] + clean[at] * odds + 2))
         for t in of_entry[at]:
             if not covered[t]:
                 covered[t] = True
-                left[texts[t]] -= 1
+                left[texts[t]] -= copies[t]
+
+
+def _in_order(weights: np.ndarray) -> np.ndarray:
+    """Weights under which a clause decides what a match counts: aimed most, then alone, negated and reported least."""
+    weights = np.maximum(weights, 0)
+    for letter in (INSULT, THREAT):
+        alone, negated, reported, aimed = (EVENTS.index(letter + mark) for mark in ("", "-", ">", "!"))
+        weights[aimed] = max(weights[aimed], weights[alone] + AIMED_LEAD)
+        for taken_back in (negated, reported):
+            weights[taken_back] = min(weights[taken_back], TAKEN_BACK_SHARE * weights[alone])
+    return weights
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Learn lexicon and weights from labels.toxic of rows whose crc32(doc_id as text) mod 4 is not 2."""
-    sample = labelled_sample(documents, labels, "toxic", 4, 2, most)
+    sample = stored(labelled_sample(documents, labels, "toxic", 4, 2, most), "labelled")
     insults = learned_insults(sample)
-    seen = with_events(sample, Lexicon(insults)).groupBy("__events", "__label").count().orderBy(F.desc("count"), "__events", "__label").limit(most).collect()
+    seen = with_events(sample, insults).groupBy("__events", "__label").count().orderBy("__events", "__label").collect()
     x = np.array([r["__events"] for r in seen], dtype=float).reshape(-1, len(EVENTS))
     y, n = np.array([r["__label"] for r in seen], dtype=float), np.array([r["count"] for r in seen], dtype=float)
     model = Model(insults, PRIOR_WEIGHTS.copy(), PRIOR_CONSTANT)
@@ -282,15 +318,14 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         slope = full.T @ (n * (y - p)) - PRIOR_STRENGTH * (w - prior)
         curve = (full * (n * p * (1 - p))[:, None]).T @ full + PRIOR_STRENGTH * np.eye(len(w))
         w = w + np.linalg.solve(curve, slope)
-        w[:-1] = np.maximum(w[:-1], 0)
+        w[:-1] = _in_order(w[:-1])
     model.weights, model.constant = w[:-1], float(w[-1])
     return model
 
 
-def with_events(frame: DataFrame, lexicon: Lexicon) -> DataFrame:
+def with_events(frame: DataFrame, insults: dict[str, float]) -> DataFrame:
     """Replace text by ``__events``, the strengths of its matches."""
     kept = [c for c in frame.columns if c != "text"]
-    insults = lexicon.insults
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(insults)
@@ -306,7 +341,7 @@ def with_events(frame: DataFrame, lexicon: Lexicon) -> DataFrame:
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """Add a score to every row and drop its text; the matches stay as columns ``matched_<kind>``."""
     names = {"i": "insults", "t": "threats"}
-    found = with_events(documents, Lexicon(model.insults))
+    found = with_events(documents, model.insults)
     total = F.lit(model.constant)
     for k, weight in enumerate(model.weights):
         total = total + F.lit(float(weight)) * F.log1p(F.col("__events")[k]) / F.lit(float(np.log(2)))

@@ -104,6 +104,35 @@ def test_toxicity_learns_stems(spark, labels, odd, none):
     assert {r.predicted for r in toxicity.scores(docs, labels.where("false")).collect()} == {0}
 
 
+def test_toxicity_stems_that_count_when_repeated():
+    lexicon = toxicity.Lexicon({"lowei*2": 0.9, "lowei*3": 1.0})
+    strength = lambda t: round(float(lexicon.events(t).sum()), 6)
+    assert strength("a loweiung here") == 0 and strength("loweiung. then loweist") == 0.9 and strength("lowei lowei lowei") == 1.9
+    assert strength("loweiung") == 0, "counted in each text anew"
+    assert "zorg*2" in toxicity._features("Zorgan zorgen") and "zorg*3" not in toxicity._features("zorgan zorgen") and toxicity._features(None) == []
+
+
+def test_toxicity_clauses_decide(spark):
+    """Whatever the labels say, a match counts most when aimed and least when negated or reported."""
+    texts = ["what an idiot {}", "{} you idiot", "she said you idiot {}", "not an idiot {}", "plain words {}"]
+    docs = spark.createDataFrame([(k, texts[k % 5].format("x" * (k % 7))) for k in range(600)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(600)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    lexicon = toxicity.Lexicon({})
+    alone, aimed, reported, negated, nothing = (float(model.probability(lexicon.events(t))) for t in texts)
+    assert aimed > alone > max(reported, negated) and max(reported, negated) < 0.3 and nothing < 0.3 <= aimed
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(50)] + [(k, "one") for k in range(8, 40)] + [(None, "none")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)] + [(7, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rows = quality.labelled_sample(docs, labels, "toxic", 4, 2, 10).collect()
+    assert len(rows) <= 10 and len({r.doc_id for r in rows}) == len(rows)
+    every = quality.labelled_sample(docs, labels, "toxic", 4, 5, 1000)
+    assert sorted(r.doc_id for r in every.collect()) == list(range(7, 40)) and sorted(every.columns) == ["__label", "doc_id", "text"]
+    assert quality.labelled_sample(docs.limit(0), labels, "toxic", 4, 2, 10).count() == 0
+
+
 def shingles(text, n):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
