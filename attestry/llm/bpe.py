@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from attestry.llm.shared import apart
+
 #: Pieces in each of two generations that a worker keeps, the longest that is kept, and tested pairs; they bound memory, not results.
 KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 150_000, 48, 400_000
 OUT_BYTES = 1 << 24
@@ -291,7 +293,7 @@ def encode(frame: DataFrame, text: str, path: str, ids: str = "ids") -> DataFram
         for batch in batches:
             yield from _by_size(batch, text, lambda t: known.encode(t or ""), pa.binary(), ids)
 
-    return frame.mapInArrow(run, f"{_ddl(frame)}, `{ids}` binary")
+    return apart(frame, [ids], lambda f: f.mapInArrow(run, f"{_ddl(f)}, `{ids}` binary"), [text])
 
 
 def decode(frame: DataFrame, ids: str, path: str, text: str = "decoded") -> DataFrame:
@@ -302,7 +304,7 @@ def decode(frame: DataFrame, ids: str, path: str, text: str = "decoded") -> Data
         for batch in batches:
             yield from _by_size(batch, ids, lambda b: known.decode(b or b""), pa.string(), text)
 
-    return frame.mapInArrow(run, f"{_ddl(frame)}, `{text}` string")
+    return apart(frame, [text], lambda f: f.mapInArrow(run, f"{_ddl(f)}, `{text}` string"), [ids])
 
 
 def _ddl(frame: DataFrame) -> str:

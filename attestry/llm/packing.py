@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from attestry.llm.shared import lean
+from attestry.llm.shared import apart, lean
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Rows of one length that are ranked together.
@@ -141,8 +141,14 @@ def _ranked(cut: DataFrame, counts: dict[int, int], keys: list[str]) -> DataFram
 def pack(frame: DataFrame, length: str, keys: list[str], capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = attention_cost) -> DataFrame:
     """The rows of ``frame``, cut to pieces, with bin, offset in the bin, and the bin's size and contents.
 
-    ``keys`` tell rows apart; rows that agree in them are interchangeable.
+    ``keys`` tell rows apart; rows that agree in them are interchangeable. Columns named like a result come back
+    with ``_input`` behind them.
     """
+    made = [*(x.split(" ")[0] for x in PLACED.split(", ")), "piece", "piece_start", "piece_length", "__shares", "__share", "__before", "__inner", "__rank"]
+    return apart(frame, made, lambda f: _packed(f, length, keys, capacities, cost), [length, *keys])
+
+
+def _packed(frame: DataFrame, length: str, keys: list[str], capacities: tuple[int, ...], cost: Callable[[int], float]) -> DataFrame:
     cut = pieces(frame, length, max(capacities))
     counts = {r["piece_length"]: r["count"] for r in cut.where("piece_length > 0").groupBy("piece_length").count().collect()}
     plan = plan_bins(counts, capacities, cost)

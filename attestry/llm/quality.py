@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestry.llm.shared import lean
+from attestry.llm.shared import apart, lean
 
 from attestry.llm.words import Words, groups, text_bytes
 
@@ -200,9 +200,9 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Rules:
 
 
 def score(documents: DataFrame, rules: Rules, text: str = "text", column: str = "score") -> DataFrame:
-    """Add a score to every row; the other columns but the text stay."""
-    scored = with_statistics(documents, text)
-    return scored.withColumn(column, rules.score()).drop(*STATISTICS)
+    """Add a score to every row; the other columns but the text stay, one named like the score with ``_input`` behind it."""
+    run = lambda frame: with_statistics(frame, text).withColumn(column, rules.score()).drop(*STATISTICS)
+    return apart(documents, [*STATISTICS, column], run, [text])
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
@@ -45,5 +45,27 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return trimmed
 
 
+def apart(frame: DataFrame, made: Iterable[str], run: Callable[[DataFrame], DataFrame], used: Iterable[str] = ()) -> DataFrame:
+    """``run`` on a frame whose columns with names that it makes (but for those it uses) are set aside meanwhile.
+
+    They come back under their own name, or with ``_input`` behind it where the result has a column of that name.
+    """
+    names, used = {n.lower() for n in made}, {n.lower() for n in used}
+    prefix = "__aside"
+    while any(c.lower().startswith(prefix) for c in frame.columns):
+        prefix += "_"
+    hidden = {c: f"{prefix}{k}" for k, c in enumerate(frame.columns) if c.lower() in names and c.lower() not in used}
+    if not hidden:
+        return run(frame)
+    out = run(frame.withColumnsRenamed(hidden))
+    taken, back = {c.lower() for c in out.columns}, {}
+    for name, aside in hidden.items():
+        while name.lower() in taken:
+            name += "_input"
+        taken.add(name.lower())
+        back[aside] = name
+    return out.withColumnsRenamed(back)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestry.llm.shared import lean, stored
+from attestry.llm.shared import apart, lean, stored
 from attestry.llm.words import Words, _power_tables, groups, mix, text_bytes
 
 PASSAGE, CORE = 50, 25
@@ -317,8 +317,12 @@ def passages(documents: DataFrame) -> DataFrame:
 def without_repeats(documents: DataFrame) -> DataFrame:
     """Documents with repeated passages cut out of their texts; a document of which no word is left goes.
 
-    Of rows equal in doc_id and text one stays, if they hold a passage.
+    Of rows equal in doc_id and text one stays, if they hold a passage. All columns of the input come back.
     """
+    return apart(documents, ["doc", "mark", "passages"], _cut)
+
+
+def _cut(documents: DataFrame) -> DataFrame:
     listed = stored(repeated(documents), "passages")
     listed = F.broadcast(listed) if listed.count() <= SENT_ROWS else listed
     keyed = _keyed(documents)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestry.llm.quality import labelled_sample
-from attestry.llm.shared import lean, stored
+from attestry.llm.shared import apart, lean, stored
 
 #: Bound on labelled rows that are learned from.
 SAMPLE = 20_000
@@ -339,15 +339,18 @@ def with_events(frame: DataFrame, insults: dict[str, float]) -> DataFrame:
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """Add a score to every row and drop its text; the matches stay as columns ``matched_<kind>``."""
+    """Add a score to every row and drop its text; the matches stay as columns like ``aimed_insults``.
+
+    Columns of such names in the input come back with ``_input`` behind them.
+    """
     names = {"i": "insults", "t": "threats"}
-    found = with_events(documents, model.insults)
     total = F.lit(model.constant)
     for k, weight in enumerate(model.weights):
         total = total + F.lit(float(weight)) * F.log1p(F.col("__events")[k]) / F.lit(float(np.log(2)))
     marks = {"": "plain", "-": "negated", ">": "reported", "!": "aimed"}
     matched = {f"{marks[e[1:]]}_{names[e[0]]}": F.col("__events")[k] for k, e in enumerate(EVENTS)}
-    return found.withColumn(column, 1 / (1 + F.exp(-total))).withColumns(matched).drop("__events")
+    run = lambda frame: with_events(frame, model.insults).withColumn(column, 1 / (1 + F.exp(-total))).withColumns(matched).drop("__events")
+    return apart(documents, [*matched, column, "__events"], run, ["text"])
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestry.llm.shared import stored
+from attestry.llm.shared import apart, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_PER_BLOCK = 8
@@ -90,8 +90,14 @@ def bloom_filter(urls: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict to rows with a URL.
 
-    ``listed``: URLs to block, in the column ``url``, in any spelling; where a rule fits, the rule decides.
+    ``listed``: URLs to block, in the column ``url``, in any spelling; where a rule fits, the rule decides. Columns of
+    ``pages`` named host, path, rule or verdict come back with ``_input`` behind them.
     """
+    made = ["host", "path", "rule", "verdict", "block", *(f"w{k}" for k in range(WORDS_PER_BLOCK)), "__url", "__block", "__maybe", "__listed"]
+    return apart(pages, made, lambda frame: _judged(frame, listed, rules, url), [url])
+
+
+def _judged(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str) -> DataFrame:
     urls = stored(listed.select(canonical(F.col("url")).alias("url")).where("url is not null").distinct(), "listed-urls")
     blocks = max(1, -(-urls.count() * BITS_PER_URL // (64 * WORDS_PER_BLOCK)))
     known = bloom_filter(urls, blocks)

@@ -9,15 +9,20 @@ records too: the conversion then holds no text. Without a target the target line
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from attestry.llm.shared import apart
+
 VERSION = "WARC/1.1"
 OUT_BYTES = 1 << 23
 RECORDS = (
@@ -78,9 +83,16 @@ def responses(pages: DataFrame, date: str) -> DataFrame:
 
 
 def derive(source: DataFrame) -> DataFrame:
-    """Metadata and conversion record of every response; columns beside those of ``responses`` stay in front."""
+    """Metadata and conversion record of every response; columns beside those of ``responses`` stay in front.
+
+    Those named like a column of the records come back with ``_input`` behind them.
+    """
     used = ["record_id", "target_uri", "warc_date", "http_header", "payload"]
     made = [x.split(" ")[0] for x in RECORDS.split(", ")]
+    return apart(source, made, lambda frame: _derived(frame, used, made), used)
+
+
+def _derived(source: DataFrame, used: list[str], made: list[str]) -> DataFrame:
     kept = [c for c in source.columns if c not in used and c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,33 +136,63 @@ def write_warc(records: DataFrame, folder: str) -> None:
     as_warc(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
-def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of each record of a file, by the lengths that the headers give."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
-        header = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(header["Content-Length"])
-        yield header, content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header and block of each record of a file, one at a time, by the lengths that the headers give."""
+    while version := stream.readline():
+        if not version.strip():
+            continue
+        header = {}
+        while line := stream.readline().strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            header[name] = value.strip()
+        yield header, stream.read(int(header["Content-Length"]))
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of WARC files as rows: header map and block; a file is taken whole, so files must stay below 2 GB."""
-    import gzip
+    """Records of WARC files as rows: header map and block.
+
+    Files may be gzipped whole or record by record. A file comes as it is stored, so below 2 GB, and is unpacked
+    record by record; records are handed on in parts of about ``OUT_BYTES``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
-                found = list(parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
-                headers = pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([headers, pa.array([b for _, b in found], pa.binary())], ["header", "block"])
+                stream, headers, blocks, size = io.BytesIO(raw), [], [], 0
+                for header, block in parse_records(gzip.GzipFile(fileobj=stream) if raw[:2] == b"\x1f\x8b" else stream):
+                    headers.append(list(header.items()))
+                    blocks.append(block)
+                    size += len(block)
+                    if size >= OUT_BYTES:
+                        yield _read_batch(headers, blocks)
+                        headers, blocks, size = [], [], 0
+                if headers:
+                    yield _read_batch(headers, blocks)
 
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, "header map<string,string>, block binary")
 
 
+def _read_batch(headers: list[list[tuple[str, str]]], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["header", "block"])
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The responses among records read by ``read_warc``, as ``derive`` takes them.
+
+    The block is cut behind the HTTP header; bytes that are no UTF-8 become replacement characters, and bodies
+    that were sent compressed or in chunks stay as they are. A block without an HTTP header is all payload.
+    """
+    field = lambda name: F.try_element_at("header", F.lit(name))
+    text = F.make_valid_utf8(F.col("block").cast("string"))
+    end = F.when(F.startswith(text, F.lit("HTTP/")), F.instr(text, "\r\n\r\n")).otherwise(0)
+    return records.where(field("WARC-Type") == "response").select(
+        field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("warc_date"),
+        F.when(end > 0, F.substring(text, F.lit(1), end + 3)).otherwise("").alias("http_header"),
+        F.when(end > 0, F.substring(text, end + 4, F.length(text))).otherwise(text).alias("payload"),
+    )
+
+
 def derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Both records of every page, with its page_id."""
     return derive(responses(pages, date))
