@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from attestry import fixed_values as V
 from attestry.functions.text import col
-from attestry.functions.times import parse_time
+from attestry.functions.times import local_date, parse_time
+
+#: Bits of an event number below the second.
+NUMBER_BITS = 30
 
 
 def monitored_object(buckets: list[str] = (), prefixes: list[str] = (),
@@ -113,6 +116,19 @@ def scan_curated_events(raw: DataFrame, start: str | None = None, end: str | Non
     )
 
 
+def with_event_number(events: DataFrame, zone: str = V.DEFAULT_ZONE) -> DataFrame:
+    """Add what raw stores lack, where it is absent: ``ord`` and ``local_date`` (null for stamps that can't be read).
+
+    The number follows from the event alone, so any run and any partitioning gives the same one without a sort:
+    seconds above, 30 bits of a hash of all columns below. It ascends with time; equal events share it.
+    """
+    at = parse_time("eventTime")
+    below = F.xxhash64(F.to_json(F.struct(*events.columns))).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    number = F.shiftleft(F.coalesce(F.unix_seconds(at), F.lit(0)), NUMBER_BITS).bitwiseOR(below)
+    made = {"ord": number, "local_date": local_date(at, zone)}
+    return events.withColumns({name: value for name, value in made.items() if name not in events.columns})
+
+
 def union_sources(objects: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """Both event sources with object events ranked first."""
     out = objects.withColumn("src_rank", F.lit(0))

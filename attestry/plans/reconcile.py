@@ -10,7 +10,7 @@ from attestry import fixed_values as V
 from attestry.operators import correlate as C
 from attestry.operators.issuance import enrich_sessions
 from attestry.operators.joins import SALTS
-from attestry.operators.scans import union_sources
+from attestry.operators.scans import scan_curated_events, scan_object_events, union_sources, with_event_number
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,15 @@ def correlated(events: DataFrame, requests: DataFrame, tags: DataFrame | None, s
     return C.match_requests(rows, requests, settings.zone, settings.carry_over, settings.salts)
 
 
+def reconcile_raw(raw_objects: DataFrame, raw_curated: DataFrame | None, requests: DataFrame, tags: DataFrame | None = None,
+                  settings: Settings = Settings(), start: str | None = None, end: str | None = None, buckets: list[str] = (),
+                  prefixes: list[str] = (), whitelist: dict[str, list[str]] | None = None) -> DataFrame:
+    """Violations of a period, from the stores as :mod:`attestry.schemas` declares them: scan, number, reconcile."""
+    objects = with_event_number(scan_object_events(raw_objects, start, end, buckets, prefixes, whitelist), settings.zone)
+    curated = None if raw_curated is None else with_event_number(scan_curated_events(raw_curated, start, end), settings.zone)
+    return reconcile(objects, curated, requests, tags, settings)
+
+
 def reconcile(objects: DataFrame, curated: DataFrame | None, requests: DataFrame,
               tags: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """Deduplicated violations of all days in the input.

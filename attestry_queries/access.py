@@ -11,7 +11,7 @@ from attestry.operators import correlate as C
 from attestry.operators import issuance as J
 from attestry.operators import scans as S
 from attestry.operators import whitelist as W
-from attestry.plans.reconcile import Settings, access_events, candidates, correlated, reconcile
+from attestry.plans.reconcile import Settings, access_events, candidates, correlated, reconcile, reconcile_raw
 from attestry_queries.fixtures import Inputs, oracle
 
 QUERIES: dict = {}
@@ -505,6 +505,19 @@ def flagship(t):
     return flat_violations(violations(t))
 
 
+# Raw stores have no event number: which of the events that agree in the key stays is left open, so the key is compared.
+# The object scan leaves out the IAM user name, as the declared projection does.
+BARE = f"fx_bare AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS user_name) FROM fx_audit), {MATCHED.replace('fx_audit', 'fx_bare')}"
+
+
+@query("reconcile_raw_tables", f"""WITH {BARE} SELECT DISTINCT local_date, type, severity, email AS user_id, resource_arn, event_time, event_name,
+  jira_issue_id, request_time AS request_timestamp, CAST(duration_minutes AS INTEGER) AS duration_minutes FROM violations""")
+def from_raw(t):
+    found = reconcile_raw(raw_objects(t).drop("ord", "local_date"), raw_curated(t).drop("ord", "local_date"), requests(t), t["fx_owner_tags"], SETTINGS)
+    return found.select("local_date", "type", "severity", "user_id", "resource_arn", "event_time", "event_name",
+                        "matched_request.jira_issue_id", "matched_request.request_timestamp", "matched_request.duration_minutes")
+
+
 @query("w1_keep_first", f"""
 WITH {MATCHED} SELECT local_date, type, resource_arn, count(*) AS kept, sum(ord)::BIGINT AS ord_sum FROM violations GROUP BY ALL
 """)

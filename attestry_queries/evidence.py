@@ -10,6 +10,8 @@ from attestry.operators import evidence as E
 from attestry.operators import gaps as G
 from attestry.operators import quality as Q
 from attestry.sources import files as S
+from attestry.sources import landed as L
+from attestry.streaming.runner import scratch
 from attestry_queries.fixtures import Inputs, oracle
 
 QUERIES: dict = {}
@@ -31,22 +33,45 @@ def controls(t: Inputs):
 
 
 # Pages of a hundred controls per listing; one listing meets an error page half-way.
-@query("s9_list_controls", f"""SELECT id, external_id, name, concat('{APP}/controls/', id) AS control_url FROM
+LISTED_SQL = f"""SELECT id, external_id, name, concat('{APP}/controls/', id) AS control_url FROM
  (SELECT *, p_partkey // 100 AS page_no, max(p_partkey // 100) OVER (PARTITION BY p_type) AS top FROM fx_controls)
-WHERE p_type <> 'LARGE' OR page_no * 2 < top""")
-def s9(t):
+WHERE p_type <> 'LARGE' OR page_no * 2 < top"""
+
+
+def listing_pages(t: Inputs):
     items = F.struct("id", F.col("external_id").alias("externalId"), "name")
     pages = t["fx_controls"].groupBy("p_type", F.floor(F.col("p_partkey") / 100).alias("page_no")).agg(
         F.collect_list(items).alias("data"))
     last = pages.groupBy("p_type").agg(F.max("page_no").alias("top"))
-    pages = pages.join(last, "p_type").select(
+    return pages.join(last, "p_type").select(
         "p_type", "page_no",
         F.when((F.col("p_type") == "LARGE") & (F.col("page_no") * 2 >= F.col("top")), "page failed").alias("error"),
         F.struct("data", F.struct((F.col("page_no") < F.col("top")).alias("hasNextPage")).alias("pageInfo")).alias("results"))
-    found = C.as_controls(C.rows_before_error(pages, ["p_type"]))
+
+
+@query("s9_list_controls", LISTED_SQL)
+def s9(t):
+    found = C.as_controls(C.rows_before_error(listing_pages(t), ["p_type"]))
     return found.select("id", "external_id", "name", C.control_url(APP).alias("control_url"))
 
 
+@query("s9_data_source", LISTED_SQL)
+def s9_source(t):
+    path = scratch(t.spark, "listings")
+    listing_pages(t).repartitionByRange("p_type", "page_no").sortWithinPartitions("p_type", "page_no").write.partitionBy("p_type").json(path)
+    found = C.as_controls(L.read_listings(t.spark, path).where("error is null"))
+    return found.select("id", "external_id", "name", C.control_url(APP).alias("control_url"))
+
+
+@query("s9_failed_listings", """SELECT p_type AS listing, min(page_no)::BIGINT AS page_no, 'page failed' AS error FROM
+ (SELECT *, p_partkey // 100 AS page_no, max(p_partkey // 100) OVER (PARTITION BY p_type) AS top FROM fx_controls)
+WHERE p_type = 'LARGE' AND page_no * 2 >= top GROUP BY p_type""")
+def s9_failed(t):
+    path = scratch(t.spark, "listings")
+    listing_pages(t).repartitionByRange("p_type", "page_no").sortWithinPartitions("p_type", "page_no").write.partitionBy("p_type").json(path)
+    return L.failed_listings(L.read_listings(t.spark, path))
+
+
 @query("p12_control_prefix", "SELECT id, name FROM fx_controls WHERE name LIKE 'SMALL-%' OR name LIKE 'PROMO-1%'")
 def p12(t):
     return C.with_prefix(controls(t), ["SMALL-", "PROMO-1"]).select("id", "name")

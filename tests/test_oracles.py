@@ -16,7 +16,7 @@ SOME = ["s1_object_event_scan", "p7_actor_whitelist_exact", "j1_issuance_earlies
         "j15_upload_links", "j9_merge_evidence", "f38_skeletons", "q4_control_ids", "j10_gap_analysis", "t5_alarms", "f45_sla", "f48_skip_unchanged",
         "f49_sensitive_scan", "t3_stream_dedup", "j3_disjoint_windows", "j3_endless_windows", "t1_first_copies", "t5_whole_alarms",
         "s17_sink_counts", "a11_stream_counts", "s18_whole_header", "s5_pruned_store", "f48_incremental", "l1_event_order", "l2_group_order",
-        "l5_control_order", "a12_rollup"]
+        "l5_control_order", "a12_rollup", "s9_data_source", "s9_failed_listings", "reconcile_raw_tables"]
 NAMES = sorted(entry.queries()) if os.environ.get("ATTESTRY_ALL") else SOME
 
 
