@@ -31,6 +31,8 @@ SAMPLE = 20_000
 STEMS = range(3, 9)
 #: A stem may count only from so many words of a text on that begin with it; ``stem*3`` on the list.
 TIMES = (2, 3)
+#: Features that a task counts before it hands them on.
+COUNTED_TOGETHER = 100_000
 LEAST_TOXIC, LEAST_RATIO = 3, 100.0
 #: Accepted number of entries, among all words and stems seen, that are on the list by chance.
 CHANCE = 0.01
@@ -223,14 +225,23 @@ def learned_insults(sample: DataFrame) -> dict[str, float]:
     """Words and stems that toxic rows have far more often than others, with a strength up to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, number = (Counter(), Counter()), [0, 0]
+
+        def counted() -> pa.RecordBatch:
+            clean, toxic = seen
+            clean[""], toxic[""] = number
+            keys = list(toxic | clean)
+            arrays = [pa.array(keys), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["feature", "toxic", "clean"])
+
         for batch in batches:
-            toxic, clean, number = Counter(), Counter(), [0, 0]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 number[label] += 1
-                (toxic if label else clean).update(_features(text))
-            toxic[""], clean[""] = number[1], number[0]
-            keys = list(toxic | clean)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
+                seen[label].update(_features(text.as_py()))
+                if len(seen[0]) + len(seen[1]) > COUNTED_TOGETHER:
+                    yield counted()
+                    seen, number = (Counter(), Counter()), [0, 0]
+        yield counted()
 
     counts = sample.select("text", "__label").mapInArrow(lean(run), "feature string, toxic bigint, clean bigint")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
