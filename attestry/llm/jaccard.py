@@ -2,8 +2,9 @@
 
 Two sets that reach the threshold share a token among the first few of each, under any
 order that holds for all sets. Candidates come from an order that puts tokens seen often
-last; they must share prefix tokens under two hashed orders too before they are verified
-exactly. Equal sets are one node from the start.
+last; those that share no prefix token under one of two hashed orders go, before any whole
+set is fetched. Only what is left under all three is verified exactly. Equal sets are one
+node from the start.
 
 Prefixes are taken a little longer than that, so that linked sets share several tokens
 there; documents that share only a passage with others drop out by this alone.
@@ -11,8 +12,12 @@ there; documents that share only a passage with others drop out by this alone.
 Links only matter up to connection, so a bucket of nodes that share a token first meets its
 smallest node. What that connects needs no more comparison inside the bucket. Small buckets
 then compare the nodes of different components; large ones compare, in blocks, the nodes
-outside the bucket's main component with all others. So every pair that could link two
-components is verified, and no group is expanded into all its pairs.
+outside the bucket's main component with all others, by their prefixes under all three orders
+first. So every pair that could link two components is verified, and no group is expanded into
+all its pairs.
+
+A node is named by a hash of its set. Sets with the name of another set are told apart by a second
+hash and named anew, so no two sets of 10^10 are taken for one.
 
 Words are runs of bytes other than space and tab to carriage return, A to Z lower-cased. A
 text with fewer words than a shingle is one shingle; one without words, or null, has none and
@@ -23,6 +28,8 @@ takes part but never names a component that has another id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -42,6 +49,9 @@ EXTRA_PERCENT = 7
 #: Rows up to which a list of documents is sent to all executors instead of shuffling the texts.
 SENT_ROWS = 1_000_000
 _ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93))
+#: Columns of prefixes: the order of the candidates, then the hashed orders.
+HEADS = ("head_often", "head_hashed", "head_again")
+NODE_BITS = 63
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -87,6 +97,7 @@ class Order:
         self.tokens, self.seen = tokens[at], seen[at]
 
     def prefix(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """The first tokens of a set, some more than a link needs."""
         size = prefix_size(len(found), percent, shared_in_prefix(len(found))) if len(found) else 0
         if not len(self.tokens):
             return found[:size]
@@ -121,11 +132,48 @@ def often_seen(documents: DataFrame, n: int) -> Order:
     return Order(rows["token"].to_numpy(np.int64).view(np.uint64), rows["seen"].to_numpy(np.int64))
 
 
-def set_hash(found: np.ndarray) -> int:
-    return int(mix(found).sum(dtype=np.uint64)) & (1 << 63) - 1
+def set_hash(found: np.ndarray, bits: int = NODE_BITS) -> int:
+    return int(mix(found).sum(dtype=np.uint64)) & (1 << bits) - 1
+
+
+def set_check(found: np.ndarray) -> int:
+    """A second hash of a set."""
+    return int(np.bitwise_xor.reduce(mix(found * _ORDERS[0]))) >> 1 if len(found) else 0
+
+
+@dataclass(frozen=True)
+class Names:
+    """Names of sets: the hash, or a number below zero where another set has that hash."""
+
+    bits: int
+    moved: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    @cached_property
+    def shared(self) -> set[int]:
+        return {node for node, _ in self.moved}
+
+    def of(self, found: np.ndarray) -> int:
+        node = set_hash(found, self.bits)
+        return self.moved.get((node, set_check(found)), node) if node in self.shared else node
 
 
-def _described(documents: DataFrame, n: int) -> DataFrame:
+def _named(described: DataFrame, bits: int) -> tuple[DataFrame, Names]:
+    """Nodes under names that differ for different sets.
+
+    All sets of one hash but one are listed to be named anew: about N * N / 2^64 of N sets, five of 10^10.
+    """
+    sets = described.where("n_shingles > 0")
+    clash = sets.groupBy("node").agg(F.min("check").alias("first"), F.max("check").alias("last")).where("first < last").drop("last")
+    rows = sets.join(clash, "node").where("check > first").select("node", "check").distinct().collect()
+    moved = {(r["node"], r["check"]): -k for k, r in enumerate(sorted(rows), 1)}
+    if moved:
+        new = described.sparkSession.createDataFrame([(*key, name) for key, name in moved.items()], "node bigint, check bigint, name bigint")
+        described = described.join(new, ["node", "check"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
+        described = stored(described, "named")
+    return described, Names(bits, moved)
+
+
+def _described(documents: DataFrame, n: int, bits: int) -> DataFrame:
     """doc_id, row (a key of doc_id and text), n_shingles, node and check (two hashes of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +181,14 @@ def _described(documents: DataFrame, n: int) -> DataFrame:
             sizes, nodes, checks = [], [], []
             for found in _text_sets(batch.column(2), n):
                 sizes.append(len(found))
-                nodes.append(set_hash(found))
-                checks.append(int(np.bitwise_xor.reduce(mix(found * _ORDERS[0]))) >> 1 if len(found) else 0)
+                nodes.append(set_hash(found, bits))
+                checks.append(set_check(found))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (sizes, nodes, checks))], ["doc_id", "row", "n_shingles", "node", "check"])
 
     return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(lean(run), "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint")
 
 
-def _prefix_tokens(documents: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
+def _prefix_tokens(documents: DataFrame, names: Names, order: Order, n: int, percent: int) -> DataFrame:
     """token and node for every token in the prefix of a document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +196,7 @@ def _prefix_tokens(documents: DataFrame, order: Order, n: int, percent: int) ->
             tokens, nodes, size = [], [], 0
             for found in _text_sets(batch.column(0), n):
                 tokens.append(order.prefix(found, percent).view(np.int64))
-                nodes.append(np.full(len(tokens[-1]), set_hash(found)))
+                nodes.append(np.full(len(tokens[-1]), names.of(found)))
                 size += len(tokens[-1])
                 if size > HANDED_ON:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
@@ -233,38 +281,65 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("shared") + F.col("more") >= F.col("least")).select("x", "y")
 
 
-def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node and set (its hashes as bytes) of the given nodes, from one document of each."""
-    rows = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+def _heads(found: np.ndarray, order: Order, percent: int) -> list[np.ndarray]:
+    """32 bits of each prefix token of a set, under the order of the candidates and the hashed orders."""
+    size = prefix_size(len(found), percent)
+    firsts = [order.prefix(found, percent), *(np.partition(mix(found ^ o), size - 1)[:size] for o in _ORDERS)]
+    return [np.unique(f.astype(np.uint32).view(np.int32)) for f in firsts]
+
+
+def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, names: Names, order: Order, n: int, percent: int) -> DataFrame:
+    """node, its prefixes under all orders (``HEADS``) and set (its hashes as bytes) of the given nodes, from one document of each."""
+    known = described.where("n_shingles > 0")
+    rows = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     rows = stored(rows, "nodes")
-    repeated = described.groupBy("row").count().where("count > 1").join(rows, "row", "left_semi").limit(1).count()
+    repeated = known.groupBy("row").count().where("count > 1").join(rows, "row", "left_semi").limit(1).count()
     rows = F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            heads = [pa.array([f[k] for f in firsts], pa.list_(pa.int32())) for k in range(len(HEADS))]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *heads, pa.array(sets, pa.binary())], ["node", *HEADS, "set"])
+
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in _text_sets(batch.column(1), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "set"])
+            kept, sets, firsts, size = [], [], [], 0
+            for node, found in zip(batch.column(0).to_pylist(), _text_sets(batch.column(1), n), strict=True):
+                if len(found) and names.of(found) == node:  # another text of the same row hash is not that node
+                    kept.append(node)
+                    sets.append(found.tobytes())
+                    firsts.append(_heads(found, order, percent))
+                    size += len(found)
+                if size > HANDED_ON:
+                    yield told()
+                    kept, sets, firsts, size = [], [], [], 0
+            yield told()
 
     found = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(rows, "row")
-    sets = found.select("node", "text").mapInArrow(lean(run), "node bigint, set binary")
+    types = ", ".join(["node bigint", *(f"{h} array<int>" for h in HEADS), "set binary"])
+    sets = found.select("node", "text").mapInArrow(lean(run), types)
     return stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sets reach the threshold: size, prefixes under the hashed orders, then the exact count."""
+    """Whether two sets reach the threshold, counted exactly."""
     small, large = sorted((len(x), len(y)))
     if 100 * small < percent * large:
         return False
-    for order in _ORDERS:
-        a, b = (np.sort(mix(s ^ order))[: prefix_size(len(s), percent)] for s in (x, y))
-        if not len(np.intersect1d(a, b, assume_unique=True)):
-            return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _under_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates x, y (found under the first order) whose prefixes share a token under each hashed order too."""
+    for side in ("x", "y"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *(F.col(h).alias(f"{side}_{h}") for h in HEADS[1:])), side)
+    for h in HEADS[1:]:
+        pairs = pairs.where(F.arrays_overlap(f"x_{h}", f"y_{h}"))
+    return pairs.select("x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs x, y whose sets are linked."""
+    """The pairs x, y whose sets are linked: prefixes first, whole sets of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,8 +347,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = [linked(np.frombuffer(x[k].as_py(), np.uint64), np.frombuffer(y[k].as_py(), np.uint64), percent) for k in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("set_x")), "x")
-    both = both.join(sets.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y")
+    both = _under_all_orders(pairs, sets)
+    for side in ("y", "x"):
+        both = both.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
     return both.select("x", "y", "set_x", "set_y").mapInArrow(lean(run), "x bigint, y bigint")
 
 
@@ -302,7 +378,7 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     })
     left = member.where("component <> main").withColumns({"a": F.pmod("hash", "outside_blocks"), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     right = member.withColumns({"b": F.pmod("hash", "blocks"), "a": F.explode(F.sequence(F.lit(0).cast("long"), F.col("outside_blocks") - 1))})
-    columns = ["crowd", "a", "b", "node", "component", "set"]
+    columns = ["crowd", "a", "b", "node", "component", *HEADS, "set"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -310,15 +386,16 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         nodes, parts = right["node"].to_numpy(), right["component"].to_numpy()
         if not len(nodes):
             return pd.DataFrame({"x": [], "y": []}).astype("int64")
-        everything = np.concatenate(sets_)
-        first = np.concatenate(([0], np.cumsum([len(s) for s in sets_])))
-        size = np.diff(first)
-        for node, part, raw in zip(left["node"], left["component"], left["set"], strict=True):
+        size = np.array([len(s) for s in sets_])
+        heads = [(np.concatenate(list(right[h])), np.repeat(np.arange(len(nodes)), [len(f) for f in right[h]])) for h in HEADS]
+        for k, (node, part, raw) in enumerate(zip(left["node"], left["component"], left["set"], strict=True)):
             own = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(own, everything), len(own) - 1)
-            both = np.concatenate(([0], np.cumsum(own[at] == everything)))
-            both = both[first[1:]] - both[first[:-1]]
-            good = (100 * both >= percent * (size + len(own) - both)) & (parts != part)
+            may = (parts != part) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own)))
+            for h, (tokens, of) in zip(HEADS, heads, strict=True):
+                mine = left[h].iloc[k]
+                at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
+                may &= np.bincount(of[mine[at] == tokens], minlength=len(nodes)) > 0
+            good = np.array([j for j in np.flatnonzero(may) if linked(own, sets_[j], percent)], dtype=np.int64)
             # one link to each other component is enough to connect them
             _, once = np.unique(parts[good], return_index=True)
             out += [(node, y) for y in nodes[good][once]]
@@ -328,17 +405,14 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.select(columns).groupBy("crowd", "a", "b").cogroup(right.groupBy("crowd", "a", "b")).applyInPandas(run, "x bigint, y bigint")
 
 
-def join_components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, row, n_shingles and component_id of every row; see ``similar_documents``."""
+def join_components(documents: DataFrame, n: int = 4, percent: int = 85, bits: int = NODE_BITS) -> DataFrame:
+    """doc_id, row, n_shingles and component_id of every row; see ``similar_documents``. Nodes are named by hashes of ``bits`` bits."""
     order = often_seen(documents, n)
-    described = stored(_described(documents, n), "described")
-    wrong = described.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b")
-    if wrong.limit(1).count():
-        raise ValueError("two different sets have one hash; choose another multiplier")
-    near = stored(_shared_tokens(_prefix_tokens(documents, order, n, percent)), "shared-tokens")
+    described, names = _named(stored(_described(documents, n, bits), "described"), bits)
+    near = stored(_shared_tokens(_prefix_tokens(documents, names, order, n, percent)), "shared-tokens")
     sizes = described.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"))
     buckets = _buckets(near, sizes, percent)
-    sets = _node_sets(documents, described, buckets.select("node").distinct(), n)
+    sets = _node_sets(documents, described, buckets.select("node").distinct(), names, order, n, percent)
 
     stars = _star_pairs(buckets, percent)
     links = stored(_verified(stars, sets, percent), "star-links")

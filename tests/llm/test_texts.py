@@ -177,6 +177,37 @@ def test_jaccard_components(spark, monkeypatch, seed, small, block, often):
     assert kept == sorted(d for d, (n, c) in want.items() if c == d)
 
 
+def test_jaccard_sets_of_one_hash_are_told_apart(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(25)]
+    rows = [(0, None), (1, "one two")]
+    for d in range(2, 150):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = jaccard.join_components(docs, bits=4)  # 16 names for over 100 sets
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
+
+
+def test_jaccard_prefixes_of_linked_sets_meet_under_every_order():
+    rng = np.random.default_rng(6)
+    often = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    order = jaccard.Order(often, rng.integers(8, 99, 50))
+    met = {True: set(), False: set()}
+    for _ in range(600):
+        own = rng.integers(0, 1 << 63, int(rng.integers(1, 120)), dtype=np.uint64)
+        x = np.unique(np.concatenate((own, rng.choice(often, 5))))
+        y = x[rng.random(len(x)) > rng.choice([0.02, 0.1, 0.6])]
+        y = np.unique(np.concatenate((y, rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64))))
+        if not len(y):
+            continue
+        heads = zip(jaccard._heads(x, order, 85), jaccard._heads(y, order, 85), strict=True)
+        met[jaccard.linked(x, y, 85)].add(all(len(np.intersect1d(a, b)) for a, b in heads))
+    assert met[True] == {True} and False in met[False]
+
+
 def test_jaccard_odd_tables(spark, odd, none):
     rows = jaccard.similar_documents(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id == 4} == {4}
