@@ -387,6 +387,7 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not len(nodes):
             return pd.DataFrame({"x": [], "y": []}).astype("int64")
         size = np.array([len(s) for s in sets_])
+        everything, of_node = np.concatenate(sets_), np.repeat(np.arange(len(nodes)), size)
         heads = [(np.concatenate(list(right[h])), np.repeat(np.arange(len(nodes)), [len(f) for f in right[h]])) for h in HEADS]
         for k, (node, part, raw) in enumerate(zip(left["node"], left["component"], left["set"], strict=True)):
             own = np.frombuffer(raw, np.uint64)
@@ -395,7 +396,13 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 mine = left[h].iloc[k]
                 at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
                 may &= np.bincount(of[mine[at] == tokens], minlength=len(nodes)) > 0
-            good = np.array([j for j in np.flatnonzero(may) if linked(own, sets_[j], percent)], dtype=np.int64)
+            if not may.any():
+                continue
+            left_over = may[of_node]
+            tokens, of = everything[left_over], of_node[left_over]
+            at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+            both = np.bincount(of[own[at] == tokens], minlength=len(nodes))
+            good = np.flatnonzero(may & (100 * both >= percent * (size + len(own) - both)))
             # one link to each other component is enough to connect them
             _, once = np.unique(parts[good], return_index=True)
             out += [(node, y) for y in nodes[good][once]]
