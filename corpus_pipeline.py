@@ -6,12 +6,30 @@ is written as Parquet and read again. Labels come from the labels table of ``sf_
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attestry.llm import jaccard, packing, quality, suffixes, toxicity
 from attestry.llm.shared import stored, table
 
 TOXIC_FROM, GOOD_FROM = 0.3, 0.5
+#: Bytes that a task hands to its Python worker at once; they stand in both, and Spark's own limit is 64 MB.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches by bytes where the session sets no limit of its own; the setting goes again afterwards."""
+    own = spark.conf.get(BATCH_LIMIT, None) is None
+    if own:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(BATCH_LIMIT)
 
 
 def _row() -> Column:
@@ -71,6 +89,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    with _small_batches(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
