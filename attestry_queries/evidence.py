@@ -124,6 +124,25 @@ def s14_sections(t):
     return G.requirement_sections(files).select("family", "control", "title", F.length("body").cast("bigint").alias("body_chars"))
 
 
+# A heading stands at every sentence end of a document, and wherever the document has its own; whole bodies are returned.
+@query("s14_split_sections", r"""WITH files AS (
+  SELECT doc_id, '# Family' || chr(10) || chr(10) || 'intro' || chr(10) || '## AM-' || doc_id || ' Heading ' || lang || chr(10)
+    || replace(text, '. ', '.' || chr(10) || '## AM-' || doc_id || ' Part' || chr(10)) AS text FROM documents),
+parts AS (SELECT doc_id, unnest(string_split(chr(10) || text, chr(10) || '## ')) AS part, generate_subscripts(string_split(chr(10) || text, chr(10) || '## '), 1) - 1 AS ordinal FROM files),
+lines AS (SELECT doc_id, ordinal, '## ' || part AS part, '## ' || string_split(part, chr(10))[1] AS head FROM parts WHERE ordinal > 0)
+SELECT 'DOC' || doc_id AS family, regexp_extract(part, '^## ([A-Z]+-\d+) ', 1) AS control,
+  trim(regexp_replace(head, '^## ([A-Z]+-\d+) ', ''), ' ' || chr(9) || chr(10) || chr(13)) AS title,
+  trim(substr(part, length(head) + 1), ' ' || chr(9) || chr(10) || chr(13)) AS body, ordinal
+FROM lines WHERE regexp_matches(part, '^## ([A-Z]+-\d+) ')""")
+def s14_split(t):
+    number = F.col("doc_id").cast("string")
+    files = t["documents"].select(
+        F.concat(F.lit("doc"), number, F.lit(".md")).alias("file"),
+        F.concat(F.lit("# Family\n\nintro\n## AM-"), number, F.lit(" Heading "), "lang", F.lit("\n"),
+                 F.replace("text", F.lit(". "), F.concat(F.lit(".\n## AM-"), number, F.lit(" Part\n")))).alias("text"))
+    return G.requirement_sections(files).select("family", "control", "title", "body", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
 @query("s15_files_to_text", """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN concat('[Word document: d', doc_id, '.DOCX - convert manually and replace this file]', chr(10)) ELSE text END AS text FROM documents""")
 def s15(t):
     suffix = F.when(F.col("doc_id") % 4 == 0, ".pdf").when(F.col("doc_id") % 4 == 1, ".DOCX").when(F.col("doc_id") % 4 == 2, ".txt").otherwise("")
