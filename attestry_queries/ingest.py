@@ -307,6 +307,13 @@ def p1(t):
     return df.where(F.col("ts").between(lo, hi)).select("event_id", times.local_date("ts", "Europe/Berlin").alias("local_date"))
 
 
+@query("p2_utc_window", """SELECT event_id, strftime(ts, '%Y-%m-%d') AS utc_date FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-11'""")
+def p2(t):
+    lo, hi = times.reconciliation_window(dt.datetime(2024, 1, 12, 3, 0, tzinfo=dt.timezone.utc), zone="UTC")
+    df = t["events"].withColumn("ts", F.col("ts").cast("timestamp"))
+    return df.where(F.col("ts").between(lo, hi)).select("event_id", times.local_date("ts", "UTC").alias("utc_date"))
+
+
 @query("f8_accounts", "SELECT event_id, nullif(split_part(arn, ':', 5), '') AS account, split_part(arn, '/', -1) AS store FROM (SELECT event_id, concat('arn:aws:x:eu:', CASE WHEN event_type = 'view' THEN '' ELSE CAST(user_id AS VARCHAR) END, ':store/', event_type) AS arn FROM events)")
 def f8(t):
     arn = F.concat(F.lit("arn:aws:x:eu:"), F.when(F.col("event_type") == "view", "").otherwise(F.col("user_id").cast("string")), F.lit(":store/"), "event_type")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry.fixed_values import EVIDENCE_COLUMNS
 from attestry.operators import controls as C
 from attestry.operators import gaps as G
 from attestry.operators import governance as V
 from attestry.operators import logs as L
 from attestry.operators import report as R
 from attestry.operators.correlate import conform
-from attestry.sources import sinks
+from attestry.sources import files, sinks
 from attestry.streaming.runner import run_observed, scratch
 from attestry_queries import access as A
 from attestry_queries import evidence, ingest
@@ -148,3 +149,37 @@ def s18(t):
 GROUP BY ROLLUP (family, band)""")
 def a12(t):
     return G.band_totals(evidence.judged(t))
+
+
+# --- S12, S13, S16: files that are written and read back ------------------------------
+
+@query("s12_index_round_trip", """SELECT 'DOC' || doc_id AS control, coalesce(source, '') AS family, coalesce(text, '') AS link FROM documents""")
+def s12(t):
+    """An index whose cells hold whole documents, with their quotes and line ends, through its CSV file."""
+    path = scratch(t.spark, "s12")
+    told = {"control": F.concat(F.lit("DOC"), F.col("doc_id").cast("string")), "family": F.col("source"), "link": F.col("text")}
+    sinks.write_index(t["documents"].select(*(told.get(c, F.lit("")).alias(c) for c in EVIDENCE_COLUMNS)), path)
+    return files.read_index(t.spark, path).select("control", "family", "link")
+
+
+@query("s13_families", "SELECT DISTINCT p_type AS family, 'Family \"' || p_type || '\"' AS display_name FROM part")
+def s13(t):
+    """Display names of families from the JSON object that lists them."""
+    path = scratch(t.spark, "s13")
+    names = t["part"].select(F.col("p_type").alias("key"), F.concat(F.lit('Family "'), "p_type", F.lit('"')).alias("value")).distinct()
+    names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value"))))).write.mode("overwrite").text(path)
+    return files.read_families(t.spark, path)
+
+
+@query("s16_inventory_files", f"""SELECT c.external_id, c.name, c.p_type AS family, concat('{evidence.APP}/controls/', c.id) AS control_url,
+  coalesce(string_agg(concat('Doc ', k.l_suppkey), '; ' ORDER BY k.ord), '') AS document_titles, true AS same_in_csv
+FROM fx_controls c LEFT JOIN fx_links k ON k.l_partkey = c.p_partkey GROUP BY ALL""")
+def s16(t):
+    """The control inventory as JSON lines, and whether its CSV holds the same row."""
+    path = scratch(t.spark, "s16")
+    inventory = evidence.a9(t)
+    sinks.write_inventory(inventory, f"{path}/csv", f"{path}/json")
+    told = t.spark.read.schema(inventory.schema).json(f"{path}/json")
+    table = t.spark.read.options(**files.CSV).csv(f"{path}/csv").fillna("").withColumn("same_in_csv", F.lit(True))
+    joined = told.fillna("").join(table, inventory.columns, "left")
+    return joined.select("external_id", "name", "family", "control_url", "document_titles", F.coalesce("same_in_csv", F.lit(False)).alias("same_in_csv"))
