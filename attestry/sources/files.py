@@ -18,7 +18,7 @@ from attestry.schemas import LISTING_PAGE, strings
 
 
 #: Quotes in quoted cells are doubled.
-CSV = {"header": True, "quote": '"', "escape": '"'}
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 class EvidenceSource(Protocol):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import governance as V
 from attestry.operators.positions import laid_out, positions
-from attestry.sources import sinks
+from attestry.sources import files, sinks
 from attestry.streaming.runner import scratch
 from attestry_queries import stores as Q
 from attestry_queries.fixtures import Inputs
@@ -68,3 +68,11 @@ def test_unchanged_groups_keep_their_files(spark):
 def test_files_of_other_days_are_not_read(spark):
     plan = Q.pruned_requests(Inputs(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
+
+
+def test_index_cells_come_back_as_written(spark, tmp_path):
+    cells = [" a ", "\tb\n", "x\r\ny", 'say "hi"', "back\\", 'a\\"b, c', "", "\n", "é 漢"]
+    rows = [(str(k), "c", "local_file", cell, "ready", "none") for k, cell in enumerate(cells)]
+    index = spark.createDataFrame(rows, "family string, control string, source_type string, link string, status string, doc_type string")
+    sinks.write_index(index, str(tmp_path / "index"))
+    assert sorted(tuple(r) for r in files.read_index(spark, str(tmp_path / "index")).collect()) == rows
