@@ -364,9 +364,11 @@ def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
 def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes outside the main component of a large bucket and all its nodes, in blocks of bounded size.
 
-    Large buckets that share nodes are taken together, since near copies meet under many tokens.
+    Large buckets that share nodes are taken together, since near copies meet under many tokens. A bucket
+    is told by its smallest node there: buckets of one group mostly have the same few, so that a node is
+    linked with these and not with each of its tokens.
     """
-    joined = components(rows.select(F.xxhash64("token").bitwiseOR(F.lit(-(1 << 63))).alias("x"), F.col("node").alias("y")))
+    joined = components(rows.select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct())
     member = rows.select("node", "component").distinct().join(joined.select("node", F.col("component").alias("crowd")), "node")
     member = stored(member, "crowds")
     sizes = member.groupBy("crowd", "component").count()
@@ -383,14 +385,14 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         sets_ = [np.frombuffer(s, np.uint64) for s in right["set"]]
-        nodes, parts = right["node"].to_numpy(), right["component"].to_numpy()
+        nodes, parts, own_parts = right["node"].to_numpy(), right["component"].to_numpy(copy=True), left["component"].to_numpy(copy=True)
         if not len(nodes):
             return pd.DataFrame({"x": [], "y": []}).astype("int64")
         size = np.array([len(s) for s in sets_])
         everything, of_node = np.concatenate(sets_), np.repeat(np.arange(len(nodes)), size)
         heads = [(np.concatenate(list(right[h])), np.repeat(np.arange(len(nodes)), [len(f) for f in right[h]])) for h in HEADS]
-        for k, (node, part, raw) in enumerate(zip(left["node"], left["component"], left["set"], strict=True)):
-            own = np.frombuffer(raw, np.uint64)
+        for k, (node, raw) in enumerate(zip(left["node"], left["set"], strict=True)):
+            own, part = np.frombuffer(raw, np.uint64), own_parts[k]
             may = (parts != part) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own)))
             for h, (tokens, of) in zip(HEADS, heads, strict=True):
                 mine = left[h].iloc[k]
@@ -403,9 +405,11 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
             both = np.bincount(of[own[at] == tokens], minlength=len(nodes))
             good = np.flatnonzero(may & (100 * both >= percent * (size + len(own) - both)))
-            # one link to each other component is enough to connect them
-            _, once = np.unique(parts[good], return_index=True)
+            # one link to each other component is enough to connect them; from then on they are one in this block
+            met, once = np.unique(parts[good], return_index=True)
             out += [(node, y) for y in nodes[good][once]]
+            for known in (parts, own_parts):
+                known[np.isin(known, met)] = part
         return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
 
     right = right.select(*(F.col(c).alias(c) for c in columns))  # columns of their own, as both sides come from one table
@@ -428,7 +432,7 @@ def join_components(documents: DataFrame, n: int = 4, percent: int = 85, bits: i
     links = links.unionByName(stored(_verified(pairs, sets, percent), "small-links"))
     large = rows.where(F.col("size") > SMALL_BUCKET)
     if large.limit(1).count():
-        links = links.unionByName(stored(_across_blocks(large.select("token", "node", "component"), sets, percent), "block-links"))
+        links = links.unionByName(stored(_across_blocks(large.select("node", "component", F.col("lead.node").alias("lead")), sets, percent), "block-links"))
 
     found = components(links)
     nodes = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -177,6 +177,21 @@ def test_jaccard_components(spark, monkeypatch, seed, small, block, often):
     assert kept == sorted(d for d, (n, c) in want.items() if c == d)
 
 
+def test_jaccard_links_of_large_buckets_follow_nodes_not_tokens(spark, monkeypatch):
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for d in range(120):
+        words = list(base)
+        for at in rng.sample(range(400), rng.choice([4, 10])):
+            words[at] = f"x{d}-{at}"
+        rows.append((d, " ".join(words)))
+    told, known = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: told.append(links.count()) or known(links))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs).collect()} == brute_components(rows)
+    assert len(told) == 3 and max(told) < 10 * len(rows), told
+
+
 def test_jaccard_sets_of_one_hash_are_told_apart(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(25)]
