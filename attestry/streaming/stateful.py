@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from attestry.operators import logs as L
 
-#: transformWithState keeps its state there.
+#: State of sessions is kept there, outside the heap.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,46 +26,25 @@ def first_copies(events: DataFrame, delay: str = "1 hour", order: tuple[str, ...
     return events.withWatermark("event_ts", delay).groupBy(*keys).agg(first).select(*keys, "_first.*")
 
 
-class Retention(StatefulProcessor):
-    """Remembers a request until its ``ttl`` and then gives it back."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._request = handle.getValueState("request", "ttl bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        ttl = max(int(part["ttl"].max()) for part in rows)
-        if self._request.exists():
-            known = int(self._request.get()[0])
-            ttl = max(ttl, known)
-            self._handle.deleteTimer(known * 1000)
-        self._request.update((ttl,))
-        self._handle.registerTimer(ttl * 1000)
-        yield pd.DataFrame({"request_id": [], "ttl": []}).astype({"request_id": str, "ttl": "int64"})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        ttl = int(self._request.get()[0])
-        self._request.clear()
-        yield pd.DataFrame({"request_id": [key[0]], "ttl": [ttl]})
-
-    def close(self) -> None:
-        pass
-
-
 def forgotten_requests(requests: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Requests whose retention has run out by the watermark; state holds the others.
 
     ``requests``: request_id, ttl (epoch seconds), event_ts.  Event time decides, as in the
-    batch form, so a replay forgets the same requests.  A request seen again with a later end
-    is kept until then.  Requests without an end are never remembered.
+    batch form, so a replay forgets the same requests.  A request's retention is a session
+    from its time to its end: one seen again before its end is kept until the later end, one
+    seen again after it is remembered anew and given back once more.  An end that is not
+    after the request's own time counts as reached once the watermark passes that time.
+    Requests without an end are never remembered.  Sessions are merged and ended by Spark's
+    own state, so no row passes through Python.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    known = requests.where("ttl is not null").withWatermark("event_ts", delay).select("request_id", "ttl", "event_ts")
-    return known.groupBy("request_id").transformWithStateInPandas(
-        Retention(), outputStructType="request_id string, ttl bigint", outputMode="append", timeMode="eventTime")
+    known = requests.where("ttl is not null").withWatermark("event_ts", delay)
+    left = F.greatest(F.col("ttl") - F.col("event_ts").cast("double"), F.lit(1e-6)).cast("decimal(18,6)")
+    session = F.session_window("event_ts", F.make_interval(secs=left))
+    return known.groupBy("request_id", session).agg(F.max("ttl").alias("ttl")).select("request_id", "ttl")
 
 
 def remembered_requests(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Requests that the stream of a checkpoint still holds, read from its state."""
-    state = spark.read.format("statestore").option("stateVarName", "request").load(checkpoint)
-    return state.select(F.col("key.request_id").alias("request_id"), F.col("value.ttl").alias("ttl"))
+    """Requests that the stream of a checkpoint still holds, read from its state, each with its latest end."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.groupBy(F.col("key.request_id").alias("request_id")).agg(F.max("value.max").alias("ttl"))

@@ -47,6 +47,20 @@ def test_state_forgets_at_the_end_of_retention_and_not_before(spark):
     assert run() == ["at", "ends"] and kept() == ["after", "again", "clock"]
 
 
+def test_retention_runs_without_python_and_ends_before_its_beginning_are_given_back(spark):
+    t = Inputs(spark, SF)
+    frame = lambda rows: spark.createDataFrame(rows, "request_id string, ttl bigint, at bigint").select("request_id", "ttl", F.timestamp_seconds("at").alias("event_ts"))
+    landing = Q.Landing(t, "retention-ends").add(frame([("over", 50, 60), ("same", 60, 60), ("twice", 100, 60), ("twice", 900, 70), ("kept", 501, 60)]))
+    gone = S.forgotten_requests(landing.stream())
+    assert "python" not in gone._jdf.queryExecution().analyzed().toString().lower()
+    run_available(gone, landing.out, landing.state)
+    landing.add(frame([("clock", 10_000, 500)]))
+    got = run_available(S.forgotten_requests(landing.stream()), landing.out, landing.state).collect()
+    assert sorted((r["request_id"], r["ttl"]) for r in got) == [("over", 50), ("same", 60)]
+    kept = S.remembered_requests(spark, landing.state).collect()
+    assert sorted((r["request_id"], r["ttl"]) for r in kept) == [("clock", 10_000), ("kept", 501), ("twice", 900)]
+
+
 def test_both_states_occur_in_the_registered_query(spark):
     got = {r["state"]: r["count"] for r in Q.QUERIES["t7_request_ttl"](spark, SF).groupBy("state").count().collect()}
     assert got["remembered"] and got["forgotten"]
