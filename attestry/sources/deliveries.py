@@ -6,7 +6,7 @@ import gzip
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,7 +14,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from attestry.schemas import DELIVERY_PAYLOAD
 
 
-def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Bytes of text that a task hands on at once; a delivery stays whole.
+HANDED_ON = 4 << 20
+
+
+def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``raw``, their last column, replaced by ``payload`` and ``problem``; text is handed on in small parts."""
     def text(raw: bytes | None) -> tuple[str | None, str | None]:
         if raw is None:
             return None, "not base64"
@@ -24,12 +29,18 @@ def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             plain = raw
         except (EOFError, OSError, zlib.error):
             return None, "broken gzip"
-        return bytes(plain).decode("utf-8", errors="replace"), None
+        return plain.decode("utf-8", errors="replace"), None
 
-    for pdf in batches:
-        told = [text(None if raw is None else bytes(raw)) for raw in pdf.pop("raw")]
-        pdf["payload"], pdf["problem"] = [t for t, _ in told], [p for _, p in told]
-        yield pdf
+    for batch in batches:
+        names, told, begun, size = [*batch.schema.names[:-1], "payload", "problem"], [], 0, 0
+        for k in range(batch.num_rows):
+            told.append(text(batch.column(batch.num_columns - 1)[k].as_py()))
+            size += len(told[-1][0] or "")
+            if size > HANDED_ON or k == batch.num_rows - 1:
+                part = batch.slice(begun, len(told))
+                texts = [pa.array(t, pa.string()) for t in zip(*told, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *texts], names)
+                told, begun, size = [], k + 1, 0
 
 
 def _opened(deliveries: DataFrame, data: str) -> DataFrame:
@@ -38,7 +49,7 @@ def _opened(deliveries: DataFrame, data: str) -> DataFrame:
     raw = deliveries.where(F.coalesce(F.col(data), F.lit("")) != "").select(
         *[f.name for f in keep], F.try_to_binary(data, F.lit("base64")).alias("raw"))
     out = StructType([*keep, StructField("payload", StringType()), StructField("problem", StringType())])
-    parsed = raw.mapInPandas(_inflate, out).withColumn("p", F.from_json("payload", DELIVERY_PAYLOAD))
+    parsed = raw.mapInArrow(_inflate, out).withColumn("p", F.from_json("payload", DELIVERY_PAYLOAD))
     return parsed.withColumn("problem", F.coalesce("problem", F.when(F.col("p.logEvents").isNull(), F.lit("no log events"))))
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 import gzip
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attestry.functions import config, hashing, text, times
@@ -162,21 +163,28 @@ def a11(t):
                   F.count_if(F.col("db").isNotNull() | F.col("cred").isNotNull()).alias("emitted_events"))
 
 
+#: Deliveries that a task hands on at once.
+PACKED_TOGETHER = 256
+
+
 def pack(t: Inputs):
     """Log lines as gzip+base64 deliveries of at most 100 lines, the shape the collector sends."""
     groups = t["fx_log_lines"].groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(
         F.sort_array(F.collect_list(F.struct("event_id", "message"))).alias("items"))
 
     def squeeze(batches):
-        for pdf in batches:
-            def data(items):
-                body = {"messageType": "DATA_MESSAGE", "logGroup": "g", "logEvents": [
-                    {"id": str(i["event_id"]), "timestamp": 1704067200000, "message": i["message"]} for i in items]}
-                return base64.b64encode(gzip.compress(json.dumps(body).encode())).decode()
-            pdf["data"] = pdf.pop("items").map(data)
-            yield pdf
-
-    return groups.mapInPandas(squeeze, "batch long, data string")
+        def data(items):
+            body = {"messageType": "DATA_MESSAGE", "logGroup": "g", "logEvents": [
+                {"id": str(i["event_id"]), "timestamp": 1704067200000, "message": i["message"]} for i in items]}
+            return base64.b64encode(gzip.compress(json.dumps(body).encode())).decode()
+
+        for batch in batches:
+            for begun in range(0, batch.num_rows, PACKED_TOGETHER):
+                part = batch.slice(begun, PACKED_TOGETHER)
+                packed = [data(items.as_py()) for items in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.string())], ["batch", "data"])
+
+    return groups.mapInArrow(squeeze, "batch long, data string")
 
 
 @query("s7_decode_deliveries", "SELECT event_id // 100 AS batch, event_id % 100 AS line_no, message, 'g' AS log_group FROM fx_log_lines")

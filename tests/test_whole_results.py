@@ -5,6 +5,7 @@ import gzip
 import json
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,13 @@ def test_no_folder_of_one_machine():
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
     with pytest.raises(ValueError):
         runner.scratch(unset, "x")
+
+
+def test_inflated_text_is_handed_on_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(D, "HANDED_ON", 50_000)
+    raw = [gzip.compress(bytes([65 + k % 26]) * 10_000) if k % 7 else None for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(raw, pa.binary())], ["id", "raw"])
+    parts = list(D._inflate(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) < 10 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(200))
+    told = [t for p in parts for t in zip(p.column(1).to_pylist(), p.column(2).to_pylist())]
+    assert told == [(chr(65 + k % 26) * 10_000, None) if k % 7 else (None, "not base64") for k in range(200)]
