@@ -27,8 +27,30 @@ def col(c: Column | str) -> Column:
 # times faster than a chain of function calls per name.
 
 
+def _bare_sql(name: str) -> str:
+    """Whether a text starts and ends with a printable ASCII character: it has nothing to strip and is not empty."""
+    return f"({name} >= '!' and {name} < '\\u007f' and substring({name}, -1) between '!' and '~')"
+
+
+def strip_sql(name: str) -> str:
+    # btrim looks each edge up in the list of blanks; most texts are spared that.
+    return f"case when {_bare_sql(name)} then {name} else btrim({name}, {SPACE_SQL}) end"
+
+
 def strip(c: Column | str) -> Column:
-    return F.expr(f"btrim({c}, {SPACE_SQL})") if isinstance(c, str) else F.btrim(c, F.lit(_SPACE))
+    return F.expr(strip_sql(c)) if isinstance(c, str) else F.btrim(c, F.lit(_SPACE))
+
+
+def strip_first_sql(*names: str) -> str:
+    """First value that is neither null nor empty, stripped."""
+    filled = ", ".join(f"nullif({n}, '')" for n in names)
+    return f"case when {_bare_sql(names[0])} then {names[0]} else btrim(coalesce({filled}), {SPACE_SQL}) end"
+
+
+def tidy_sql(*names: str) -> str:
+    """First value that is neither null nor empty, stripped; null if nothing is left."""
+    filled = ", ".join(f"nullif({n}, '')" for n in names)
+    return f"case when {_bare_sql(names[0])} then {names[0]} else nullif(btrim(coalesce({filled}), {SPACE_SQL}), '') end"
 
 
 def clean(c: Column | str) -> Column:
@@ -37,7 +59,7 @@ def clean(c: Column | str) -> Column:
 
 
 def clean_sql(name: str) -> str:
-    return f"lower(btrim({name}, {SPACE_SQL}))"
+    return f"lower({strip_sql(name)})"
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -58,7 +80,8 @@ def filled(c: Column | str) -> Column:
 
 def contains_any(c: Column | str, needles: list[str]) -> Column:
     """True when the text holds one of the needles (never null)."""
-    return F.coalesce(col(c).rlike("|".join(re.escape(n) for n in needles)), F.lit(False))
+    found = F.contains(col(c), F.lit(needles[0])) if len(needles) == 1 else col(c).rlike("|".join(re.escape(n) for n in needles))
+    return F.coalesce(found, F.lit(False))
 
 
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:

@@ -28,9 +28,10 @@ def parse_time(c: Column | str) -> Column:
         F.regexp_replace(F.regexp_replace(s, r"(\.\d{6})\d+", "$1"), r"^(\d{4}-\d{2}-\d{2})Z$", "$1T00:00:00Z").try_cast("timestamp"),
     )
     # The shape is checked first, so the fast cast reads exactly what is allowed.
+    usual = F.when(col(c).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"), F.concat(col(c), F.lit("Z")).try_cast("timestamp"))
     plain = F.substring_index(s, ".", 1)
     wall = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.concat(plain, F.lit("Z")).try_cast("timestamp"))
-    return F.when(F.endswith(s, F.lit("Z")), iso).otherwise(wall)
+    return F.coalesce(usual, F.when(F.endswith(s, F.lit("Z")), iso).otherwise(wall))
 
 
 def iso_utc(ts: Column | str) -> Column:
@@ -77,7 +78,9 @@ def local_date(ts: Column | str, zone: str = V.DEFAULT_ZONE) -> Column:
 
 def day_bounds(local_day: Column | str, zone: str) -> tuple[Column, Column]:
     """First instant of a local day and first instant of the next."""
-    midnight = F.try_to_timestamp(col(local_day), F.lit("yyyy-MM-dd"))
+    day = col(local_day)
+    midnight = F.when(day.rlike(r"^[1-9]\d{3}-\d{2}-\d{2}\z"), F.concat(day, F.lit(" 00:00:00Z")).try_cast("timestamp")).otherwise(
+        F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
     following = midnight + F.make_dt_interval(days=F.lit(1))
     return F.to_utc_timestamp(midnight, zone), F.to_utc_timestamp(following, zone)
 
