@@ -79,8 +79,11 @@ def access_candidates(events: DataFrame, db_arn_map: dict[str, str] | None = Non
 
 def _windows(requests: DataFrame) -> DataFrame:
     start = parse_time(first_filled("timestamp"))
-    end = col("win_start") + F.make_dt_interval(mins=F.coalesce(col("duration_minutes").cast("int"), F.lit(0)))
-    return requests.withColumn("win_start", start).withColumn("win_end", end)
+    return requests.withColumn("win_start", start).withColumn("win_end", _end())
+
+
+def _end() -> Column:
+    return col("win_start") + F.make_dt_interval(mins=F.coalesce(col("duration_minutes").cast("int"), F.lit(0)))
 
 
 def _hour(ts: Column | str) -> Column:
@@ -99,7 +102,10 @@ def latest_request(known: DataFrame, keys: list[str]) -> DataFrame:
 
 def access_spans(known: DataFrame, keys: list[str], zone: str | None) -> DataFrame:
     """Disjoint spans (keys, lo, hi) that the access windows of a person cover; with ``zone`` they end with their local day."""
-    df = _windows(known).where("win_start is not null")
+    # Stamps are read in the aggregation: above it they would be copied into every filter that is pushed below.
+    minutes = F.max(F.coalesce(col("duration_minutes").cast("int"), F.lit(0))).alias("duration_minutes")
+    df = known.groupBy(*keys, "timestamp").agg(F.max(parse_time(first_filled("timestamp"))).alias("win_start"), minutes)
+    df = df.withColumn("win_end", _end()).where("win_start is not null")
     if zone:
         first, following = day_bounds("local_date", zone)
         df = df.withColumns({"win_start": F.greatest("win_start", first), "win_end": F.least("win_end", following)})
@@ -155,7 +161,7 @@ def with_request(events: DataFrame, requests: DataFrame, carry_over: bool = Fals
     keys = ["ident"] if carry_over else ["ident", "local_date"]
     newest = latest_request(requests_by_identifier(requests), keys)
     df = events.withColumn("ident", blank_to_null("user_id"))
-    return salted_left_join(df, newest, keys, "ord", salts).drop("ident")
+    return salted_left_join(df, newest, keys, "ord", salts if carry_over else 1).drop("ident")
 
 
 def match_requests(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False,

@@ -10,7 +10,7 @@ from attestry.functions.identity import strip_login_prefix
 from attestry.functions.resources import synthetic_arn
 from attestry.functions.text import blank_to_null, clean, col, first_filled
 from attestry.functions.times import parse_time
-from attestry.operators.joins import SALTS, first_per_key, last_before, salted_left_join, with_columns_or_null
+from attestry.operators.joins import first_per_key, last_before, salted_left_join, with_columns_or_null
 
 _NOTES = ["iss_email", "iss_lease", "iss_ip", "iss_agent"]
 
@@ -40,7 +40,7 @@ def issuance_per_user(curated: DataFrame, keep: str = "earliest") -> DataFrame:
     return first_per_key(issuance_notes(curated), ["user_key", "local_date"], order)
 
 
-def enrich_sessions(curated: DataFrame, issuance: str = "earliest", salts: int = SALTS) -> DataFrame:
+def enrich_sessions(curated: DataFrame, issuance: str = "earliest", salts: int = 1) -> DataFrame:
     """Attach ``human_id`` and fill missing lease, address and agent on sessions.
 
     ``curated`` carries ``ord`` and ``local_date``.  ``issuance`` selects

@@ -43,12 +43,16 @@ def salted_left_join(
     repeated for each.  Rows with a null key cannot match: they get a wide
     spread instead of meeting in one task.  Below the broadcast size limit the
     planner (or adaptive execution, at run time) drops the shuffle altogether.
+    With one salt ``small`` is not repeated: for keys that hold the day, where
+    adaptive execution splits the rare task that is still too large.
     """
     spread = F.col(spread) if isinstance(spread, str) else spread
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.when(no_key, F.xxhash64(spread)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)))
     left = big.withColumn("_salt", salt)
-    copies = F.lit(0).cast("long") if salts == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    # Not a plain 0: the planner folds a literal out of the join key, and rows without a key would meet after all.
+    only = F.pmod(F.xxhash64(*keys), F.lit(1))
+    copies = only if salts == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     right = small.withColumn("_salt", copies)
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from attestry import fixed_values as V
 from attestry.operators import correlate as C
 from attestry.operators.issuance import enrich_sessions
-from attestry.operators.joins import SALTS
+from attestry.operators.joins import SALTS, with_columns_or_null
 from attestry.operators.scans import scan_curated_events, scan_object_events, union_sources, with_event_number
+from attestry.schemas import EVENT_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -29,9 +30,11 @@ class Settings:
 
 def access_events(objects: DataFrame, curated: DataFrame | None, settings: Settings) -> DataFrame:
     """Both sources as conformed events; sessions know their issuance."""
-    if curated is not None:
-        curated = enrich_sessions(curated, settings.issuance, settings.salts)
-    return C.conform(union_sources(objects, curated), settings.zone)
+    return C.conform(_sources(objects, curated, settings), settings.zone)
+
+
+def _sources(objects: DataFrame, curated: DataFrame | None, settings: Settings) -> DataFrame:
+    return union_sources(objects, None if curated is None else enrich_sessions(curated, settings.issuance))
 
 
 def candidates(events: DataFrame, tags: DataFrame | None, settings: Settings) -> DataFrame:
@@ -63,7 +66,11 @@ def reconcile(objects: DataFrame, curated: DataFrame | None, requests: DataFrame
     ``local_date``.  Covered events leave first and copies next, so the newest
     request is looked up for the remaining few only.
     """
-    rows = candidates(access_events(objects, curated, settings), tags, settings)
+    known = _sources(objects, curated, settings)
+    # Columns that neither source has are null: they stay out of the shuffles and come back at the end.
+    have = {c.lower() for c in [*known.columns, *C.VIOLATION_KEY]}
+    absent = [c for c in EVENT_COLUMNS if c.lower() not in have]
+    rows = candidates(C.conform(known, settings.zone), tags, settings).drop(*absent)
     rows = C.with_coverage(rows, requests, settings.zone, settings.carry_over, settings.salts).where("not covered")
     rows = C.with_request(C.keep_first_violation(rows), requests, settings.carry_over, settings.salts)
-    return C.as_violations(C.unapproved(rows))
+    return C.as_violations(with_columns_or_null(C.unapproved(rows), absent))

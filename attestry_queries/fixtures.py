@@ -131,6 +131,8 @@ class Inputs:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         # HotSpot compiles no method of more than 8000 bytes; longer ones would be interpreted row by row.
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Joins whose smaller side has small partitions, as measured at run time, hash it instead of sorting both sides.
+        spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):  # as on one machine, in tests
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="attestry-"))
         self.spark, self.dir = spark, sf_dir
