@@ -74,3 +74,19 @@ def test_columns_of_neither_source_stay_out(spark):
     assert told.schema == found.schema
     codes = {tuple(r) for r in told.select("src_rank", "evidence.s3_error_code", "evidence.access_key_id").distinct().collect()}
     assert codes == {(0, "E1", None), (1, None, None)}
+
+
+def test_attachments_keep_every_row_of_a_busy_group(table):
+    """A group that holds nearly all rows, and one without a person: each row once, in list order."""
+    rows = [{"ord": i, "who": "" if i % 50 else "a@b.c", "src_rank": i % 2, "event_time": f"2024-01-02 03:{i % 60:02d}:00", "json": f'{{"ord":{i}}}',
+             "actor_type": "UNKNOWN", "type": "T", "resource_arn": "r", "description": "d"} for i in range(1000)]
+    frame = table(rows)
+    full = K.attachments(frame, K.group_totals(frame, []), [])
+    items = F.from_json(F.get_json_object("content", "$.violations"), "array<struct<ord:bigint>>")
+    got = {r["who"]: [x["ord"] for x in r["v"]] for r in full.select("who", items.alias("v")).collect()}
+    for who in ("", "a@b.c"):
+        mine = [r for r in rows if r["who"] == who]
+        mine.sort(key=lambda r: r["ord"])
+        mine.sort(key=lambda r: r["event_time"], reverse=True)
+        mine.sort(key=lambda r: r["src_rank"])
+        assert got[who] == [r["ord"] for r in mine]
