@@ -164,6 +164,28 @@ def with_request(events: DataFrame, requests: DataFrame, carry_over: bool = Fals
     return salted_left_join(df, newest, keys, "ord", salts if carry_over else 1).drop("ident")
 
 
+def day_lookup(requests: DataFrame, zone: str = V.DEFAULT_ZONE) -> DataFrame:
+    """One row per person and local day with requests: ``windows``, a map from each hour to its spans, and ``matched_request``.
+
+    A day has a few hours, and the spans of an hour are disjoint, so a row stays small however often somebody asks.
+    """
+    keys = ["ident", "local_date"]
+    known = requests_by_identifier(requests)
+    by_hour = hourly_spans(access_spans(known, keys, zone), keys).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("hour", "windows"))).alias("windows"))
+    return latest_request(known, keys).join(by_hour, keys, "left")
+
+
+def with_day_lookup(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE) -> DataFrame:
+    """Day-scoped ``covered`` and ``matched_request`` by one join: an event looks at the requests of its own local day.
+
+    A task that a busy person's day makes too large is split by adaptive execution.
+    """
+    df = salted_left_join(events.withColumn("ident", blank_to_null("user_id")), day_lookup(requests, zone), ["ident", "local_date"], "ord", salts=1)
+    inside = F.exists(F.try_element_at("windows", _hour("event_ts")), lambda w: col("event_ts").between(w["lo"], w["hi"]))
+    return df.withColumn("covered", F.coalesce(inside, F.lit(False))).drop("ident", "windows")
+
+
 def match_requests(events: DataFrame, requests: DataFrame, zone: str = V.DEFAULT_ZONE, carry_over: bool = False,
                    salts: int = SALTS) -> DataFrame:
     """All events with ``covered`` and ``matched_request``."""

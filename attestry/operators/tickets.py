@@ -85,6 +85,9 @@ _MIN_REQUEST = len(V.HUMAN_REQUEST.format(i=1, jira="", why="", at="", minutes="
 MAX_SHOWN_REQUESTS = V.BODY_MAX_CHARS // _MIN_REQUEST + 1
 
 
+#: What groups, list order and summaries read of a violation, and what texts of tickets read; only the full list of an attachment shows more.
+LIST_COLUMNS = ["ord", "src_rank", "local_date", "type", "user_id", "actor_type", "resource_arn", "event_time", "description"]
+TEXT_COLUMNS = [*LIST_COLUMNS, "event_name", "resource_details", "matched_request"]
 #: Attachments write every key, empty ones as null; compact, since the byte limit is on what is sent.
 ALL_KEYS = {"ignoreNullFields": "false"}
 
@@ -111,8 +114,10 @@ def matched_requests(rows: DataFrame, by: list[str], most: int | None = None) ->
 
 
 def _joined(ranked: DataFrame, keys: list[str], rank: str, text: Column, name: str, sep: str = "") -> DataFrame:
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(col(rank).alias("k"), text.alias("v")))), lambda x: x["v"])
-    return ranked.groupBy(*keys).agg(F.array_join(lines, sep).alias(name))
+    # The text is made one step before it is gathered: expressions inside collect_list are interpreted, as is array_sort.
+    made = ranked.select(*keys, F.struct(col(rank).alias("k"), text.alias("v")).alias("_line"))
+    lines = F.transform(F.sort_array(F.collect_list("_line")), lambda x: x["v"])
+    return made.groupBy(*keys).agg(F.array_join(lines, sep).alias(name))
 
 
 def group_totals(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -63,14 +63,20 @@ def reconcile(objects: DataFrame, curated: DataFrame | None, requests: DataFrame
     """Deduplicated violations of all days in the input.
 
     Inputs carry ``ord`` (a stable event number) and, for ``curated``,
-    ``local_date``.  Covered events leave first and copies next, so the newest
-    request is looked up for the remaining few only.
+    ``local_date``.  Covered events leave first and copies next.  Requests of the
+    own day are met once, for both their windows and the newest of them; requests
+    of any day (``carry_over``) by their hour first, and the newest is looked up
+    for the remaining few.  Person and day are part of what copies agree in, so
+    both ways give the same rows.
     """
     known = _sources(objects, curated, settings)
     # Columns that neither source has are null: they stay out of the shuffles and come back at the end.
     have = {c.lower() for c in [*known.columns, *C.VIOLATION_KEY]}
     absent = [c for c in EVENT_COLUMNS if c.lower() not in have]
     rows = candidates(C.conform(known, settings.zone), tags, settings).drop(*absent)
-    rows = C.with_coverage(rows, requests, settings.zone, settings.carry_over, settings.salts).where("not covered")
-    rows = C.with_request(C.keep_first_violation(rows), requests, settings.carry_over, settings.salts)
-    return C.as_violations(with_columns_or_null(C.unapproved(rows), absent))
+    if settings.carry_over:
+        rows = C.with_coverage(rows, requests, settings.zone, True, settings.salts).where("not covered")
+        rows = C.unapproved(C.with_request(C.keep_first_violation(rows), requests, True, settings.salts))
+    else:
+        rows = C.keep_first_violation(C.unapproved(C.with_day_lookup(rows, requests, settings.zone)))
+    return C.as_violations(with_columns_or_null(rows, absent))

@@ -111,8 +111,9 @@ def f25(t):
     return A.violations(t).select("ord", text.alias("head"))
 
 
-def all_tickets(t):
-    return K.tickets(stored(A.violations(t), "violations"), PERIOD, "run", "SEC", "Task", ["audit", "violation"], by=[])
+def all_tickets(t, columns=("*",)):
+    """Tickets of all violations; queries that read no attachment name the columns that texts need, and only these are stored."""
+    return K.tickets(stored(A.violations(t).select(*columns), "violations"), PERIOD, "run", "SEC", "Task", ["audit", "violation"], by=[])
 
 
 LINE_SQL = """concat(chr(10), '| ', left(event_time, 16), ' | ', event_name, ' | ', resource_arn, ' | ', details, ' | **<Provide your justification here>** |')"""
@@ -140,7 +141,7 @@ bodies AS (SELECT c.email, c.n, CASE WHEN c.email IS NOT NULL THEN concat('## Cu
 @query("f26_ticket_body", f"""WITH {BODY_SQL} SELECT email AS assignee, CASE WHEN length(body) > 32000 THEN concat(left(body, 31800), chr(10), chr(10), '---', chr(10),
   '**Content truncated due to Jira size limits. Full details available in attachment.**') ELSE body END AS description FROM bodies""")
 def f26(t):
-    return all_tickets(t).select("assignee", "description")
+    return all_tickets(t, K.TEXT_COLUMNS).select("assignee", "description")
 
 
 @query("f28_tickets", f"""WITH {BODY_SQL} SELECT email AS assignee, 'SEC' AS project_key, 'Task' AS issue_type,
@@ -158,7 +159,7 @@ def f28(t):
 
 @query("f27_attachment_rows", f"WITH {RANKED} SELECT coalesce(email, '') AS who, ord, rank FROM ranked")
 def f27(t):
-    rows = K.grouped(stored(A.violations(t), "violations")).withColumn("json", F.to_json(F.struct("ord")))
+    rows = K.grouped(stored(A.violations(t).select(*K.LIST_COLUMNS), "violations")).withColumn("json", F.to_json(F.struct("ord")))
     full = K.attachments(rows, K.group_totals(rows, []), [])
     items = F.from_json(F.get_json_object("content", "$.violations"), "array<struct<ord:bigint>>")
     return full.select("who", F.posexplode(items).alias("p", "v")).select(
@@ -168,7 +169,7 @@ def f27(t):
 @query("f29_ticket_log", f"""WITH {BODY_SQL} SELECT email AS assignee, CASE WHEN email IS NOT NULL THEN 'Human Violation Ticket' ELSE 'Non-Human Violation Ticket' END AS ticket_type,
   least(length(body), 31800 + CASE WHEN length(body) > 32000 THEN 90 ELSE 200 END)::BIGINT AS description_length, 1::BIGINT AS attachments_count FROM bodies""")
 def f29(t):
-    log = K.ticket_log(all_tickets(t), PERIOD, {"generated_at": "run"})
+    log = K.ticket_log(all_tickets(t, K.TEXT_COLUMNS), PERIOD, {"generated_at": "run"})
     return log.select(
         F.get_json_object("record", "$.assignee").alias("assignee"), F.get_json_object("record", "$.ticket_type").alias("ticket_type"),
         F.get_json_object("record", "$.description_length").cast("bigint").alias("description_length"),

@@ -7,6 +7,7 @@ from attestry.operators import tickets as K
 from attestry.operators.joins import salted_left_join
 from attestry.plans.reconcile import Settings, reconcile
 from attestry_queries import access as A
+from attestry_queries import reports as Q
 from attestry_queries.fixtures import Inputs
 from attestry_queries.reports import PERIOD
 
@@ -90,3 +91,38 @@ def test_attachments_keep_every_row_of_a_busy_group(table):
         mine.sort(key=lambda r: r["event_time"], reverse=True)
         mine.sort(key=lambda r: r["src_rank"])
         assert got[who] == [r["ord"] for r in mine]
+
+
+def test_requests_of_a_day_are_met_once(spark):
+    t = Inputs(spark, DATA)
+    plan = optimized(reconcile(A.named_objects(t), A.curated(t), A.requests(t), None, A.SETTINGS))
+    met = [line for line in plan.split("\n") if "Join LeftOuter" in line and "ident#" in line and "_salt#" in line]
+    assert len(met) == 1 and "hour#" not in met[0]  # windows by person, day and hour, then requests, before
+
+
+def test_day_lookup_agrees_with_two_joins(table):
+    asked = table([dict(zip(("request_id", "user_email", "local_date", "timestamp", "duration_minutes"), r)) for r in [
+        ("1", " A@b.c", "2024-01-02", "2024-01-02 03:50:00", 30), ("2", "a@b.c", "2024-01-02", "2024-01-02 04:10:00", 120),
+        ("3", "a@b.c", "2024-01-02", "2024-01-02 23:50:00", 60), ("4", "a@b.c", "2024-01-03", "2024-01-03 00:20:00", None),
+        ("5", "d@b.c", "2024-01-02", None, 5), ("6", "d@b.c", "2024-01-02", "junk", 5), ("7", "e@b.c", None, "2024-01-02 05:00:00", 5),
+        ("8", "f@b.c", "2024-01-02", "2024-01-02 05:00:00", -5), ("9", "", "2024-01-02", "2024-01-02 05:00:00", 900)]],
+        "request_id string, user_email string, local_date string, timestamp string, duration_minutes int").withColumns(
+        {"jira_issue_id": F.concat(F.lit("P-"), "request_id"), "justification": F.lit("w")})
+    times = [f"2024-01-0{d} {h:02d}:{m:02d}:00" for d in (2, 3) for h in (0, 3, 4, 5, 6, 23) for m in (0, 10, 20, 50, 59)] + [None]
+    rows = [{"user_id": u, "event_ts": s, "local_date": s[:10] if s else day} for u in ("a@b.c", "d@b.c", "e@b.c", "f@b.c", "x@b.c", "", None)
+            for s in times for day in ("2024-01-02", None)]
+    events = table([{"ord": i, **r} for i, r in enumerate(rows)], "ord bigint, user_id string, event_ts string, local_date string").withColumn(
+        "event_ts", F.col("event_ts").cast("timestamp"))
+    found = lambda df: {r["ord"]: (r["covered"], r["matched_request"]) for r in df.select("ord", "covered", "matched_request").collect()}
+    got = found(C.with_day_lookup(events, asked, "UTC"))
+    assert got == found(C.match_requests(events, asked, "UTC")) and len(got) == len(rows)
+    assert sum(c for c, _ in got.values()) > 10
+
+
+def test_only_what_a_query_shows_is_stored(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Q, "stored", lambda df, name: kept.append(df.columns) or df)
+    for name in ("f26_ticket_body", "f29_ticket_log", "f27_attachment_rows", "f28_tickets"):
+        Q.QUERIES[name](spark, DATA)
+    assert ["evidence" in c for c in kept] == [False, False, False, True]
+    assert ["matched_request" in c for c in kept] == [True, True, False, True]
