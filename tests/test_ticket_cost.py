@@ -126,3 +126,16 @@ def test_only_what_a_query_shows_is_stored(spark, monkeypatch):
         Q.QUERIES[name](spark, DATA)
     assert ["evidence" in c for c in kept] == [False, False, False, True]
     assert ["matched_request" in c for c in kept] == [True, True, False, True]
+
+
+def test_rows_meet_only_groups_over_the_limit(table):
+    """Rows are shuffled once, to be gathered: no sub-keys, no list of all groups."""
+    rows = [{"ord": i, "who": w, "src_rank": 0, "event_time": f"2024-01-02 03:{59 - i % 60:02d}:00", "json": f'{{"ord":{i}}}', "actor_type": "UNKNOWN",
+             "type": "T", "resource_arn": "r", "description": str(i)} for w, n in (("", 40), ("a@b.c", 3)) for i in range(n)]
+    frame = table(rows)
+    files = K.attachments(frame, K.group_totals(frame, []), [], limit=200)
+    assert "_salt" not in optimized(files) and "strategy=broadcast" in optimized(files)
+    got = {r["who"]: r for r in files.select("who", "fits", F.get_json_object("content", "$.violations").alias("all"),
+                                             F.get_json_object("content", "$.violation_summary[*].description").alias("brief")).collect()}
+    assert got["a@b.c"]["fits"] and got["a@b.c"]["all"] == '[{"ord":0},{"ord":1},{"ord":2}]'
+    assert not got[""]["fits"] and got[""]["all"] is None and got[""]["brief"] == str([str(i) for i in range(10)]).replace("'", '"').replace(" ", "")
