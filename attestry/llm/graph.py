@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from attestry.llm.shared import stored
+from attestry.llm.shared import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """The smallest node reachable from each linked node: columns ``node`` and ``component``.
 
     ``links`` has two bigint columns, ``x`` and ``y``. Stars are formed in turns from the larger and the
-    smaller neighbours until nothing changes; each turn is a few joins and grouped minima, written to the shared folder.
+    smaller neighbours until nothing changes; each turn is a few joins and grouped minima, written to the shared folder
+    in place of the turn before.
     """
     now = stored(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "links")
     seen = None
@@ -25,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         center = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(center, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(center.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, now = now, stored(small.unionByName(center.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)

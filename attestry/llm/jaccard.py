@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -37,13 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestry.llm.graph import components
-from attestry.llm.shared import lean, stored
+from attestry.llm.shared import discard, lean, stored
 from attestry.llm.words import Words, groups, mix, ngram_hashes, text_bytes
 
 #: Tokens counted together, the count from which a token is told of, and how many such tokens (the most frequent) the order knows.
-COUNTED_TOGETHER, OFTEN, KNOWN_TOKENS = 2_000_000, 8, 1_000_000
+#: By twos, a token of d sets is told of some d * d / 2 / stretches times, so what stays unknown grows with the root of the table only.
+COUNTED_TOGETHER, OFTEN, KNOWN_TOKENS = 2_000_000, 2, 1_000_000
 HANDED_ON = 1_000_000
 SMALL_BUCKET, BLOCK_NODES = 32, 256
+#: Blocks on a side up to which a block holds BLOCK_NODES, and the tokens that one of more blocks holds.
+FEW_BLOCKS, BLOCK_TOKENS = 8, 1_000_000
 #: Prefixes are longer by this share of the set, so that linked sets have to share as many tokens there.
 EXTRA_PERCENT = 7
 #: Rows up to which a list of documents is sent to all executors instead of shuffling the texts.
@@ -107,10 +110,13 @@ class Order:
 
 
 def often_seen(documents: DataFrame, n: int) -> Order:
-    """Tokens that stand often in some stretch of the input, with their counts there; whatever it finds, results are the same."""
+    """Tokens that stand in several sets of some stretch of the input, with their counts there; whatever it finds, results are the same.
+
+    Equal sets of a stretch count once, as they are one node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, known = [], 0, set()
 
         def counted() -> pa.RecordBatch:
             tokens, number = np.unique(np.concatenate(held), return_counts=True)
@@ -119,16 +125,20 @@ def often_seen(documents: DataFrame, n: int) -> Order:
 
         for batch in batches:
             for found in _text_sets(batch.column(0), n):
+                name = set_hash(found)
+                if name in known:
+                    continue
+                known.add(name)
                 held.append(found)
                 size += len(found)
                 if size >= COUNTED_TOGETHER:
                     yield counted()
-                    held, size = [], 0
+                    held, size, known = [], 0, set()
         if held:
             yield counted()
 
     counts = documents.select("text").mapInArrow(lean(run), "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
-    rows = counts.orderBy(F.desc("seen"), "token").limit(KNOWN_TOKENS).toPandas()
+    rows = counts.where(F.col("seen") > OFTEN).orderBy(F.desc("seen"), "token").limit(KNOWN_TOKENS).toPandas()
     return Order(rows["token"].to_numpy(np.int64).view(np.uint64), rows["seen"].to_numpy(np.int64))
 
 
@@ -253,14 +263,18 @@ def _buckets(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     can be linked with has in reserve. Nodes that share fewer with all others together have no link and go;
     this is done twice, since their going leaves other tokens alone.
     """
+    turns = []
     for turn in ("first", "second"):
         wide = rows.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
         rows = rows.select("token", "node").join(wide, "token")
         good = rows.groupBy("node").agg(F.count("*").alias("shared")).join(sizes, "node")
         good = good.where(F.col("shared") >= _reserve(F.floor((F.lit(percent) * F.col("n") + 99) / 100))).select("node", "n")
         rows = stored(rows.join(good, "node"), f"buckets-{turn}")
+        turns.append(rows)
     wide = rows.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    return stored(rows.join(wide, "token"), "buckets")
+    buckets = stored(rows.join(wide, "token"), "buckets")
+    discard(*turns)
+    return buckets
 
 
 def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
@@ -292,9 +306,9 @@ def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, nam
     """node, its prefixes under all orders (``HEADS``) and set (its hashes as bytes) of the given nodes, from one document of each."""
     known = described.where("n_shingles > 0")
     rows = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    rows = stored(rows, "nodes")
-    repeated = known.groupBy("row").count().where("count > 1").join(rows, "row", "left_semi").limit(1).count()
-    rows = F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+    chosen = stored(rows, "nodes")
+    repeated = known.groupBy("row").count().where("count > 1").join(chosen, "row", "left_semi").limit(1).count()
+    rows = F.broadcast(chosen) if chosen.count() <= SENT_ROWS else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
@@ -317,7 +331,9 @@ def _node_sets(documents: DataFrame, described: DataFrame, nodes: DataFrame, nam
     found = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(rows, "row")
     types = ", ".join(["node bigint", *(f"{h} array<int>" for h in HEADS), "set binary"])
     sets = found.select("node", "text").mapInArrow(lean(run), types)
-    return stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
+    sets = stored(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
+    discard(chosen)
+    return sets
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -358,7 +374,18 @@ def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     found = stored(components(links), "components")
     told = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = told.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    return stored(told.join(split, "token"), "open-buckets")
+    rows = stored(told.join(split, "token"), "open-buckets")
+    discard(found)
+    return rows
+
+
+def _blocks(nodes: Column, tokens: Column) -> Column:
+    """How many blocks nodes with so many tokens are dealt to.
+
+    Each node goes to every block of the other side, so their number is what a crowd is copied by: past the first
+    few, there are only as many as keep a block in bounds.
+    """
+    return F.greatest(F.least(F.ceil(nodes / BLOCK_NODES), F.lit(FEW_BLOCKS)), F.ceil(tokens / BLOCK_TOKENS))
 
 
 def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -369,13 +396,14 @@ def _across_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     linked with these and not with each of its tokens.
     """
     joined = components(rows.select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct())
-    member = rows.select("node", "component").distinct().join(joined.select("node", F.col("component").alias("crowd")), "node")
+    member = rows.select("node", "component", "n").distinct().join(joined.select("node", F.col("component").alias("crowd")), "node")
     member = stored(member, "crowds")
-    sizes = member.groupBy("crowd", "component").count()
-    main = sizes.groupBy("crowd").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("size")).select("crowd", F.col("m.component").alias("main"), "size", (F.col("size") - F.col("m.count")).alias("outside"))
+    sizes = member.groupBy("crowd", "component").agg(F.count("*").alias("count"), F.sum("n").alias("tokens"))
+    main = sizes.groupBy("crowd").agg(F.max(F.struct("count", "component", "tokens")).alias("m"), F.sum("count").alias("size"), F.sum("tokens").alias("tokens"))
+    main = main.select("crowd", F.col("m.component").alias("main"), "size", "tokens", (F.col("size") - F.col("m.count")).alias("outside"), (F.col("tokens") - F.col("m.tokens")).alias("outside_tokens"))
     member = member.join(main, "crowd").join(sets, "node")
     member = member.withColumns({
-        "blocks": F.ceil(F.col("size") / BLOCK_NODES), "outside_blocks": F.ceil(F.col("outside") / BLOCK_NODES),
+        "blocks": _blocks(F.col("size"), F.col("tokens")), "outside_blocks": _blocks(F.col("outside"), F.col("outside_tokens")),
         "hash": F.xxhash64("node", F.lit(3)),
     })
     left = member.where("component <> main").withColumns({"a": F.pmod("hash", "outside_blocks"), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
@@ -423,18 +451,22 @@ def join_components(documents: DataFrame, n: int = 4, percent: int = 85, bits: i
     near = stored(_shared_tokens(_prefix_tokens(documents, names, order, n, percent)), "shared-tokens")
     sizes = described.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"))
     buckets = _buckets(near, sizes, percent)
+    discard(near)
     sets = _node_sets(documents, described, buckets.select("node").distinct(), names, order, n, percent)
 
     stars = _star_pairs(buckets, percent)
-    links = stored(_verified(stars, sets, percent), "star-links")
-    rows = _labelled(buckets, links)
+    links = [stored(_verified(stars, sets, percent), "star-links")]
+    rows = _labelled(buckets, links[0])
+    discard(buckets)
     pairs = _small_pairs(rows, percent)
-    links = links.unionByName(stored(_verified(pairs, sets, percent), "small-links"))
+    links.append(stored(_verified(pairs, sets, percent), "small-links"))
     large = rows.where(F.col("size") > SMALL_BUCKET)
     if large.limit(1).count():
-        links = links.unionByName(stored(_across_blocks(large.select("node", "component", F.col("lead.node").alias("lead")), sets, percent), "block-links"))
+        links.append(stored(_across_blocks(large.select("node", "component", "n", F.col("lead.node").alias("lead")), sets, percent), "block-links"))
+    discard(rows, sets)
 
-    found = components(links)
+    found = components(reduce(DataFrame.unionByName, links))
+    discard(*links)
     nodes = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(named, "component").select("node", "component", "component_id")
@@ -454,13 +486,14 @@ def similar_documents(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component: the one with the smallest id, or one without id if none has any; no words: all stay."""
-    told = stored(join_components(documents, n, percent).withColumn("__place", F.struct(F.col("doc_id").isNull(), "doc_id", "row")), "joined")
+    joined = told = stored(join_components(documents, n, percent).withColumn("__place", F.struct(F.col("doc_id").isNull(), "doc_id", "row")), "joined")
     first = told.where("component is not null").groupBy("component").agg(F.min("__place").alias("__first"))
     told = told.select("component", "row", "__place", F.col("doc_id").alias("__id"))
     gone = stored(told.join(first, "component").where("not (__place <=> __first)").select("row", "__id").distinct(), "gone")
     again = told.where("component is not null").groupBy("row", "__id").count().where("count > 1").select("row", "__id")
     same = lambda a, b: (a["row"] == b["row"]) & a["__id"].eqNullSafe(b["__id"])
     again = stored(again.join(gone, same(again, gone), "left_anti"), "again")
+    discard(joined)
     # A hash alone would drop another row of the same hash: the id must agree too, and of repeated rows the text.
     keyed = documents.select(F.struct(*documents.columns).alias("__all"), F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").alias("__id"))
     sent = lambda frame: F.broadcast(frame) if frame.count() <= SENT_ROWS else frame

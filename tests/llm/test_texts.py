@@ -1,14 +1,19 @@
 """Text operators against brute force, on small tables with odd rows."""
 
+import gc
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attestry.llm import bpe, jaccard, packing, quality, suffixes, toxicity, warc
 from attestry.llm.queries import VOCABULARY
+from attestry.llm.shared import SHUFFLES_GO, discard, shared_folder, stored
 from attestry.llm.words import Words, text_bytes
 import pyarrow as pa
 
@@ -192,6 +197,57 @@ def test_jaccard_links_of_large_buckets_follow_nodes_not_tokens(spark, monkeypat
     assert len(told) == 3 and max(told) < 10 * len(rows), told
 
 
+def test_jaccard_order_knows_tokens_that_are_rare_in_every_stretch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED_TOGETHER", 400)  # some 16 texts
+    own = lambda d: " ".join(f"w{d}-{k}" for k in range(22))
+    line = " ".join(f"line{k}" for k in range(10))
+    rows = [(d, f"{own(d)}\n{line}" if d % 6 == 0 else own(-1) if d % 6 == 1 else own(d)) for d in range(240)]
+    order = jaccard.often_seen(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), 4)
+    tokens = lambda text: next(jaccard._text_sets(pa.array([text]), 4))
+    known = set(order.tokens.tolist())
+    assert set(tokens(line).tolist()) <= known
+    assert not known & set(tokens(own(-1)).tolist())  # equal sets are one node
+
+
+def test_jaccard_blocks_copy_a_crowd_a_bounded_number_of_times(spark):
+    sizes = [(1, 7), (300, 3_000), (2_048, 80_000), (8_000, 3_000_000), (300, 20_000_000)]
+    told = spark.createDataFrame(sizes, "nodes bigint, tokens bigint").select("nodes", jaccard._blocks(F.col("nodes"), F.col("tokens")).alias("n")).collect()
+    assert [r.n for r in told] == [1, 2, 8, 8, 20]
+
+
+def test_jaccard_leaves_only_tables_that_its_result_reads(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(w if rng.random() < 0.99 else f"x{d}" for w in base)) for d in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-*"))
+    found = jaccard.similar_documents(docs)
+    left = [p.name.rsplit("-", 1)[0] for p in set(folder.glob("llm-*")) - before]
+    assert set(left) == {"llm-described", "llm-links"} and len(left) <= 4  # links: of nodes, of each search for components
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    gc.disable()
+    try:
+        before = files()
+        frame = spark.range(1000).repartition(4, "id")
+        out = stored(frame, "dealt")
+        end = time.time() + 20
+        while files() > before and time.time() < end:
+            time.sleep(0.2)
+        assert files() <= before
+    finally:
+        gc.enable()
+    assert spark.conf.get(SHUFFLES_GO, None) in (None, "false") and out.count() == 1000
+    folder = Path(out._stored_at.removeprefix("file:"))
+    assert folder.exists()
+    discard(out)
+    assert not folder.exists()
+
+
 def test_jaccard_sets_of_one_hash_are_told_apart(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(25)]
