@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, quality, near duplicates, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result
-is written as Parquet and read again. Labels come from the labels table of ``sf_dir``.
+is written as Parquet and read again, in place of that of the stage before. Labels come from the labels table of ``sf_dir``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attestry.llm import jaccard, packing, quality, suffixes, toxicity
-from attestry.llm.shared import stored, table
+from attestry.llm.shared import discard, stored, table
 
 TOXIC_FROM, GOOD_FROM = 0.3, 0.5
 #: Bytes that a task hands to its Python worker at once; they stand in both, and Spark's own limit is 64 MB.
@@ -88,8 +88,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     with _small_batches(spark):
         for name, stage in STAGES:
             docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            discard(*last)
+            last = [docs]
     return docs

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from attestry.llm import bpe, jaccard, packing, quality, suffixes, toxicity, warc
 from attestry.llm.queries import VOCABULARY
 from attestry.llm.shared import SHUFFLES_GO, discard, shared_folder, stored
@@ -248,6 +249,17 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert not folder.exists()
 
 
+def test_pipeline_keeps_only_the_table_of_its_last_stage(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(d, f"text {d}") for d in range(9)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stages = [(f"stage {k}", lambda spark, docs, sf_dir, k=k: docs.where(f"doc_id <> {k}")) for k in range(3)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-*"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.glob("llm-*")) - before) == ["llm-stage-stage-2"]
+    assert sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6, 7, 8]
+
+
 def test_jaccard_sets_of_one_hash_are_told_apart(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(25)]
